@@ -24,11 +24,48 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), word_bpe(), end_id=2)
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lectern.llm.chat import format_conversations, read_back
+
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return read_back(format_conversations(turns, path), path)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.token_files import read_token_files, write_token_files
 
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), word_bpe(), end_id=1))
 
 
-QUERIES: dict[str, Query] = {"op1_packing": op1_packing, "op3_token_files": op3_token_files}
-ORACLES: dict[str, str] = {}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.quality import MEASURES, judge
+
+    return judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *MEASURES, "base_failed", "kept", "quality")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.line_dedup import dedup_lines
+
+    kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+def _oracles() -> dict[str, str]:
+    from lectern.llm import line_dedup
+
+    return {"op9_line_dedup": line_dedup.ORACLE_SQL}
+
+
+QUERIES: dict[str, Query] = {
+    "op1_packing": op1_packing,
+    "op2_chat": op2_chat,
+    "op3_token_files": op3_token_files,
+    "op8_quality": op8_quality,
+    "op9_line_dedup": op9_line_dedup,
+}
+ORACLES: dict[str, str] = _oracles()
