@@ -42,6 +42,13 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), word_bpe(), end_id=1))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.decontamination import contamination
+
+    found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.quality import MEASURES, judge
 
@@ -56,15 +63,16 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracles() -> dict[str, str]:
-    from lectern.llm import line_dedup
+    from lectern.llm import decontamination, line_dedup
 
-    return {"op9_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op6_decontamination": decontamination.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
 
 
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_chat": op2_chat,
     "op3_token_files": op3_token_files,
+    "op6_decontamination": op6_decontamination,
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
 }
