@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import table
+from lectern.llm.common import crc_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), word_bpe(), end_id=1))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.language_model import score
+
+    return score(table(spark, sf_dir, "documents"), crc_of_id("doc_id") % 7 == 2)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.decontamination import contamination
 
@@ -49,6 +55,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.quality import MEASURES, judge
 
@@ -72,7 +84,9 @@ QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_chat": op2_chat,
     "op3_token_files": op3_token_files,
+    "op4_language_model": op4_language_model,
     "op6_decontamination": op6_decontamination,
+    "op7_near_dedup": op7_near_dedup,
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
 }
