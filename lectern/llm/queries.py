@@ -48,6 +48,13 @@ def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), crc_of_id("doc_id") % 7 == 2)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.toxicity import toxicity
+
+    scored = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), crc_of_id("doc_id") % 5 == 0)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.decontamination import contamination
 
@@ -85,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op2_chat": op2_chat,
     "op3_token_files": op3_token_files,
     "op4_language_model": op4_language_model,
+    "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
     "op7_near_dedup": op7_near_dedup,
     "op8_quality": op8_quality,
