@@ -118,20 +118,19 @@ def suspicious(low: bytes) -> bool:
     sign = _SIGN_TABLE[x]
     if (sign[:-1] & letter[1:]).any() or (sign[1:] & letter[:-1] & (x[1:] != 33)).any():
         return True
-    lone = letter | sign
-    return bool(len(x) > 4 and (lone[:-4] & ~lone[1:-3] & lone[2:-2] & ~lone[3:-1] & lone[4:]).any())
+    lone, apart = letter | sign, _SEPARATOR_TABLE[x]
+    return bool(len(x) > 4 and (letter[:-4] & apart[1:-3] & lone[2:-2] & apart[3:-1] & lone[4:]).any())
 
 
-def _sign_table():
+def _table(signs):
     import numpy as np
 
     table = np.zeros(256, bool)
-    for c in (*SIGNS, "*"):
-        table[ord(c)] = True
+    table[[ord(c) for c in signs]] = True
     return table
 
 
-_SIGN_TABLE = _sign_table()
+_SIGN_TABLE, _SEPARATOR_TABLE = _table([*SIGNS, "*"]), _table(SEPARATORS)
 
 
 def char_model(docs: DataFrame) -> CharModel:
