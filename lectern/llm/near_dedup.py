@@ -3,19 +3,23 @@
 A text is the sequence of its shingles: hashes of SHINGLE consecutive words (lower-cased runs of letters and digits), of
 all words where there are fewer. A shingle's later occurrences are labelled by their number. For each of BANDS hash
 functions, the KEEP least labelled shingles are taken and put back in text order; two texts are candidates if any band's
-tuple is the same in both. So both content and order count, as edits do. With KEEP = 3 and BANDS = 20, texts that share
-0.8 of their labelled shingles in order are candidates with probability 0.9999994.
+tuple is the same in both. So both content and order count, as edits do. With KEEP = 4 and BANDS = 24, texts that share
+0.8 of their labelled shingles in order are candidates with probability 0.999997.
 
 Candidates are verified: the longest common subsequence of their shingles is found inside the band of the alignment
 matrix that a sufficient match cannot leave, and m matches of n1 and n2 shingles link the texts if
 m / (n1 + n2 - m) >= SIMILARITY.
 
 Texts with equal words are one node from the start, so groups of copies count once. In a bucket of candidates each node
-is first compared with the least one; links merge nodes to classes. Then the members of each bucket that are still in
-different classes are compared with their 1st, 2nd and 3rd, 4th to 7th ... next neighbours in the bucket, until all pairs
-that are in different classes were compared: pairs inside a class need no comparison, and no bucket is cut off. What is
-skipped without comparing the texts cannot be a link: pairs whose numbers of shingles or whose counts of shingles by
-hash value rule it out.
+is first compared with the one that shares most buckets with others, as an original does with its copies; links merge
+nodes to classes. What is left are buckets with members in different classes, mostly texts around a common passage:
+
+- A node stays open if enough of its shingles occur in open nodes of other classes to reach SIMILARITY with any text.
+- The open members of such a bucket are dealt out in blocks of BLOCK, every pair of blocks to a group of its own, so no
+  group is larger than two blocks. There all pairs of different classes are bounded from above by their counts of shared
+  shingles and of shingles by hash value, and only pairs that may reach SIMILARITY come out, to be verified.
+
+Both bounds are exact, so no link is lost and no bucket is cut off; pairs inside a class need no comparison.
 
 Null, empty and wordless texts are like nothing and have a class of their own. Rows of equal doc_id are one document: their
 texts share a class. A null doc_id gets a null class. Extra columns are ignored.
@@ -23,8 +27,6 @@ texts share a class. A null doc_id gets a null class. Extra columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,10 +34,11 @@ from lectern.llm.common import persisted, text_bytes
 from lectern.llm.components import components
 from lectern.llm.words import labelled, mix, shingles, words
 
-SHINGLE, BANDS, KEEP = 5, 20, 3
+SHINGLE, BANDS, KEEP = 5, 24, 4
 SIMILARITY = (4, 5)
 #: Counts of shingles by hash value that bound a pair's matches from above.
-PROFILE = 32
+PROFILE = 256
+BLOCK = 1024
 #: Numbers held at once while one text is sketched.
 SKETCH_CELLS = 1 << 20
 
@@ -118,8 +121,8 @@ def alike(a, b) -> bool:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, h1, h2, n, profile, sig) per row of docs with words; h1 and h2 identify the words."""
-    schema = "doc_id long, h1 long, h2 long, n int, profile array<int>, sig array<long>"
+    """(doc_id, h1, h2, n, sig) per row of docs with words; h1 and h2 identify the words, n counts shingles."""
+    schema = "doc_id long, h1 long, h2 long, n int, sig array<long>"
 
     def work(batches):
         import numpy as np
@@ -127,7 +130,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            ids, h1, h2, ns, profiles, sigs = [], [], [], [], [], []
+            ids, h1, h2, ns, sigs = [], [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True):
                 found = words(text)
                 if found:
@@ -137,11 +140,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                     h1.append((whole >> 64) - (1 << 63))
                     h2.append((whole & ((1 << 64) - 1)) - (1 << 63))
                     ns.append(len(keys))
-                    profiles.append(np.bincount((keys % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE))
                     sigs.append(sketch(keys).view(np.int64))
-            flat = lambda rows, kind, size: pa.ListArray.from_arrays(pa.array(range(0, size * len(rows) + 1, size), pa.int32()), pa.array(np.concatenate(rows) if rows else [], kind))
-            arrays = [pa.array(ids, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(ns, pa.int32()), flat(profiles, pa.int32(), PROFILE), flat(sigs, pa.int64(), BANDS)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "h1", "h2", "n", "profile", "sig"])
+            flat = pa.ListArray.from_arrays(pa.array(range(0, BANDS * len(sigs) + 1, BANDS), pa.int32()), pa.array(np.concatenate(sigs) if sigs else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(ns, pa.int32()), flat], ["doc_id", "h1", "h2", "n", "sig"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, schema)
 
@@ -172,13 +173,114 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "text_a", "b", "text_b").mapInArrow(work, "a long, b long")
 
 
-def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) that numbers of shingles alone don't rule out."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("profile").alias(f"p_{x}"))
+def text_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of the nodes in `ids` (node), one row a node."""
+    return texts.join(ids.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+
+
+def measured(open_texts: DataFrame) -> DataFrame:
+    """(node, root, n, usable, profile) of open texts (node, root, text): usable counts the shingles that occur in
+    another class's open texts."""
+
+    def explode(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for node, root, text in zip(batch.column("node").to_pylist(), batch.column("root").to_pylist(), text_bytes(batch.column("text")), strict=True):
+                keys, times = np.unique(shingles(words(text), SHINGLE), return_counts=True)
+                same = lambda x, n=len(keys): pa.array(np.full(n, x, np.int64))
+                yield pa.RecordBatch.from_arrays([same(node), same(root), pa.array(keys.view(np.int64)), pa.array(times.astype(np.int64))], ["node", "root", "shingle", "times"])
+
+    def profile(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            ns, bins = [], []
+            for text in text_bytes(batch.column("text")):
+                keys = shingles(words(text), SHINGLE)
+                ns.append(len(keys))
+                bins.append(np.bincount((keys % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), pa.array(ns, pa.int32()), pa.array(bins, pa.binary())], ["node", "root", "n", "profile"])
+
+    rows = persisted(open_texts.mapInArrow(explode, "node long, root long, shingle long, times long"), "shingles")
+    shared = persisted(rows.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("shingle"), "shared")
+    usable = rows.join(shared, "shingle").groupBy("node").agg(F.sum("times").alias("usable"))
+    return open_texts.mapInArrow(profile, "node long, root long, n int, profile binary").join(usable, "node")
+
+
+def across_classes(blocks: DataFrame) -> DataFrame:
+    """Pairs (a, b) that may match, from rows (band, i, j, half, node, root, n, usable, profile) sorted by (band, i, j) in
+    each partition, where a group holds the blocks i and j of a band: half 0 and 1, or 0 alone if they are the same."""
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        p, q = SIMILARITY
+        names = ("node", "root", "n", "usable")
+
+        def compare(group):
+            if len(group) < 2:
+                return None
+            node, root, n, usable = (np.array([r[k] for r in group], np.int64) for k in range(4))
+            bins = np.frombuffer(b"".join(r[4] for r in group), np.uint32).reshape(len(group), PROFILE)
+            half = np.array([r[5] for r in group])
+            ok = (root[:, None] != root[None, :]) & ((p + q) * np.minimum(usable[:, None], usable[None, :]) >= p * (n[:, None] + n[None, :]))
+            ok &= half[:, None] != half[None, :] if half.any() else node[:, None] < node[None, :]
+            ok &= node[:, None] < node[None, :] if not half.any() else (half[:, None] == 0)
+            out = []
+            for x in np.flatnonzero(ok.any(axis=1)):
+                ys = np.flatnonzero(ok[x])
+                most = np.minimum(bins[x], bins[ys]).sum(axis=1, dtype=np.int64)
+                out += [(int(node[x]), int(node[y])) for y in ys[(p + q) * most >= p * (n[x] + n[ys])]]
+            if out:
+                return pa.RecordBatch.from_arrays([pa.array([min(o) for o in out], pa.int64()), pa.array([max(o) for o in out], pa.int64())], ["a", "b"])
+            return None
+
+        now, group = None, []
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j")), strict=True)
+            rows = zip(*(batch.column(c).to_pylist() for c in (*names, "profile", "half")), strict=True)
+            for key, row in zip(keys, rows, strict=True):
+                if key != now:
+                    if (found := compare(group)) is not None:
+                        yield found
+                    now, group = key, []
+                group.append(row)
+        if (found := compare(group)) is not None:
+            yield found
+
+    return blocks.mapInArrow(work, "a long, b long").distinct()
+
+
+def remaining_pairs(members: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of members (band, node) of one bucket in different classes that may still match."""
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        ends = rows.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
+        return rows.join(ends, "band")
+
+    placed = members.select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = persisted(mixed(placed), "mixed")
+    ids = placed.select("node", "root").distinct()
+    open_texts = persisted(text_of(texts, ids).join(ids, "node"), "open_texts")
     p, q = SIMILARITY
-    most = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    joined = pairs.join(side("b"), "b").join(side("a"), "a")
-    return joined.filter((p + q) * most >= p * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    able = persisted(measured(open_texts).filter(q * F.col("usable") >= p * F.col("n")), "open")
+    still = mixed(placed.join(able.select("node"), "node"))
+    ranked = persisted(still.withColumn("i", F.floor((F.row_number().over(Window.partitionBy("band").orderBy("node")) - 1) / BLOCK).cast("int")), "ranked")
+    last = ranked.groupBy("band").agg(F.max("i").alias("last"))
+    # A block meets itself, those after it as the first half and those before it as the second.
+    meets = F.explode(F.sequence(F.lit(0), F.col("last")))
+    dealt = ranked.join(last, "band").select("band", "node", F.col("i").alias("own"), meets.alias("other"))
+    dealt = dealt.select("band", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("half"))
+    blocks = dealt.join(able, "node").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return across_classes(blocks)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -189,44 +291,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # A text's node is its least doc_id. One doc_id with several texts stands for all of them.
     placed = persisted(known.join(copies, ["h1", "h2"]), "placed")
     firsts = placed.filter("doc_id = node").dropDuplicates(["h1", "h2"])
-    nodes = persisted(firsts.select("node", "n", "profile", "h1", "h2"), "nodes")
     same = placed.filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
-    bands = firsts.select("node", F.explode("sig").alias("band")).distinct()
-    shared = persisted(bands.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).filter("size > 1"), "buckets")
-    members = persisted(bands.join(shared, "band"), "members")
+    bands = firsts.select("node", "n", F.explode("sig").alias("band"))
+    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = persisted(bands.join(persisted(sizes, "buckets"), "band"), "members")
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    asked = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    asked = persisted(possible(asked, nodes), "pairs")
-    links = [persisted(verified(asked, wanted(texts, asked)), "links")]
-    roots = persisted(components(links[0]), "roots")
-
-    # Buckets whose members are still in different classes.
-    reach = 1
-    while True:
-        open_ = members.filter("size > 2").join(roots, members["node"] == roots["node"], "left").select("band", members["node"], F.coalesce("root", members["node"]).alias("root"))
-        mixed = open_.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter((F.col("lo") < F.col("hi")) & (F.col("size") > reach)).select("band")
-        mixed = persisted(mixed, "mixed")
-        if mixed.isEmpty():
-            break
-        ranked = open_.join(mixed, "band").withColumn("k", F.row_number().over(Window.partitionBy("band").orderBy("node")))
-        ranked = persisted(ranked, "ranked")
-        steps = F.explode(F.sequence(F.lit(reach), F.lit(2 * reach - 1)))
-        ahead = ranked.select("band", F.col("node").alias("a"), F.col("root").alias("root_a"), "k", steps.alias("step")).withColumn("k", F.col("k") + F.col("step"))
-        pairs = ahead.join(ranked, ["band", "k"]).filter("root <> root_a").select("a", F.col("node").alias("b")).distinct()
-        pairs = persisted(possible(pairs, nodes).join(asked, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            links.append(persisted(verified(pairs, wanted(texts, pairs)), "links"))
-            asked = asked.union(pairs)
-            roots = persisted(components(reduce(DataFrame.union, links)), "roots")
-        reach *= 2
-
-    joined = persisted(components(reduce(DataFrame.union, links, same)), "classes")
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    busy = members.groupBy("node").agg(F.sum("size").alias("meets"))
+    ranked = persisted(members.join(busy, "node"), "busy")
+    chief = ranked.groupBy("band").agg(F.max(F.struct("meets", (-F.col("node")).alias("m"), "n")).alias("chief"))
+    p, q = SIMILARITY
+    near = q * F.least("n", "chief.n") >= p * F.greatest("n", "chief.n")
+    other = (-F.col("chief.m")).alias("other")
+    asked = ranked.join(persisted(chief, "chiefs"), "band").filter(near).select("node", other).filter("node <> other")
+    asked = persisted(asked.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
+    links = persisted(verified(asked, text_of(texts, ends_of(asked))), "links")
+    roots = persisted(components(links), "roots")
+
+    rest = persisted(remaining_pairs(members, roots, texts).join(asked, ["a", "b"], "left_anti"), "pairs")
+    more = persisted(verified(rest, text_of(texts, ends_of(rest))), "links")
+    classes = persisted(components(links.union(more).union(same)), "classes")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
-
-
-def wanted(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The texts of nodes in pairs, one row a node."""
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    return texts.join(ids, "node", "left_semi").dropDuplicates(["node"])
