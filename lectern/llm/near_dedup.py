@@ -313,3 +313,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = persisted(components(links.union(more).union(same)), "classes")
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """`docs` with one document of each class: that of the least doc_id, in one row. Rows with a null doc_id stay."""
+    firsts = near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
+    named = docs.filter("doc_id IS NOT NULL").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).union(docs.filter("doc_id IS NULL"))

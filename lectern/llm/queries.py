@@ -81,6 +81,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.suffix_dedup import dedup_substrings
+
+    kept = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def _oracles() -> dict[str, str]:
     from lectern.llm import decontamination, line_dedup
 
@@ -97,5 +104,6 @@ QUERIES: dict[str, Query] = {
     "op7_near_dedup": op7_near_dedup,
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES: dict[str, str] = _oracles()
