@@ -39,7 +39,8 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
 
 def crc_of_id(doc_id: str | Column) -> Column:
     """crc32 of an id's decimal text, as the train/held-out splits use it. A null id counts as the text ''."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary"))
+    column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
 
 
 def text_bytes(column) -> list[bytes]:

@@ -174,7 +174,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def text_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of the nodes in `ids` (node), one row a node."""
+    """The texts (node, text) of the nodes in `ids` (node), one row a node."""
     return texts.join(ids.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -296,7 +296,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = persisted(bands.join(persisted(sizes, "buckets"), "band"), "members")
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    # All later steps read these texts alone, so all documents' texts are shuffled once, at any size in the same way.
+    every = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    texts = persisted(text_of(every.hint("merge"), members), "candidates")
     busy = members.groupBy("node").agg(F.sum("size").alias("meets"))
     ranked = persisted(members.join(busy, "node"), "busy")
     chief = ranked.groupBy("band").agg(F.max(F.struct("meets", (-F.col("node")).alias("m"), "n")).alias("chief"))
