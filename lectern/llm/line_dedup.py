@@ -53,6 +53,8 @@ def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """`docs` (doc_id, text, ...) with shared lines gone from text, and n_lines, n_dropped."""
     keys, shared = shared_lines(docs, min_chars, min_docs)
+    # Stored, the few shared keys reach the join unordered: then Spark can split a key that most documents have.
+    shared = persisted(shared, "shared_lines")
     doomed = keys.join(shared, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     by_doc = doomed.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("key").alias("__gone"))
     lines = F.col("__lines")
