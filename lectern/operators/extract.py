@@ -58,13 +58,13 @@ def extract(pages: DataFrame, registry=REGISTRY) -> DataFrame:
     # All later steps read this table, so pages are parsed once.
     stamped = with_stamps(nodes(pages).withColumn("source", F.lit(""))).drop("source")
     rows = stored(stamped.join(light.select("page_id", "adapter"), "page_id"), "nodes")
-    dense = winners(rows).select("page_id", F.lit("density").alias("source"), "c_seq", "c_end")
+    dense = stored(winners(rows).select("page_id", F.lit("density").alias("source"), "c_seq", "c_end"), "winners")
     sited = rows.filter("adapter IS NOT NULL")
     if sited.isEmpty():
-        found = blocks_from(rows, dense)
+        found = stored(blocks_from(rows, dense), "blocks")
         content = None
     else:
-        parts = containers(sited, registry)
+        parts = stored(containers(sited, registry), "containers")
         found = stored(blocks_from(rows.withColumn("skip", furniture(registry)), parts.drop("label").unionByName(dense)), "blocks")
         content = _adapted(found, sited, parts, light, registry).select("page_id", F.col("blocks").alias("adapted"))
     dense = gathered(found.filter("source = 'density'")).select("page_id", F.col("blocks").alias("dense"))

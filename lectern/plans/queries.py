@@ -12,6 +12,7 @@ from lectern.functions import text as X
 from lectern.operators import accounting as A
 from lectern.operators.extract import extract
 from lectern.operators.speech import speechify, stats
+from lectern.plans.storage import stored
 from lectern.sources.tables import from_documents, from_pdf, from_selection, readable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,7 +138,7 @@ def labels_of_lengths(spark, sf_dir):
 
 
 def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(readable(table(spark, sf_dir, "pages")))
+    return stored(extract(readable(table(spark, sf_dir, "pages"))), "extractions")
 
 
 @query("SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\\.', '') AS host, starts_with(url, 'about:') OR starts_with(url, 'chrome://') AS blocked FROM pages")
