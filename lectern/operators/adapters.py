@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import collapse, host_matches
 from lectern.operators.nodes import TEXT, any_of, attr, below, css, has_class
+from lectern.plans.storage import stored
 
 
 @dataclass(frozen=True)
@@ -129,11 +130,7 @@ def _within(test: Column) -> Column:
 
 def _rank(choices: dict[str, tuple[str, ...]]) -> Column:
     """Place of the first selector of its adapter that a node matches."""
-    out = F.lit(None).cast("int")
-    for name, selectors in choices.items():
-        for k, s in reversed([*enumerate(selectors)]):
-            out = F.when((F.col("adapter") == name) & below(s, _within), k).otherwise(out)
-    return out
+    return F.coalesce(*[F.when((F.col("adapter") == name) & below(s, _within), k) for name, selectors in choices.items() for k, s in enumerate(selectors)])
 
 
 def _first(nodes: DataFrame, choices: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -171,13 +168,10 @@ def whole_text(nodes: DataFrame, picks: DataFrame) -> DataFrame:
 def pieces(nodes: DataFrame, registry=REGISTRY) -> DataFrame:
     """Blocks that are whole elements: titles first, then pieces in page order. (page_id, source, at, kind, level, text)."""
     titles = _first(nodes, {a.name: a.titles for a in registry if a.titles}).select("page_id", F.lit("adapter#0000").alias("source"), "seq", "end", F.lit("heading").alias("kind"), F.lit(1).alias("level"), F.lit("").alias("cut"), F.lit("").alias("before"))
-    spec = F.lit(None).cast("struct<kind:string,level:int,cut:string,before:string>")
-    for a in registry:
-        for selector, kind, level, cut, before in reversed(a.pieces):
-            one = F.struct(F.lit(kind).alias("kind"), F.lit(level).cast("int").alias("level"), F.lit(cut).alias("cut"), F.lit(before).alias("before"))
-            spec = F.when((F.col("adapter") == a.name) & css(selector), one).otherwise(spec)
+    one = lambda kind, level, cut, before: F.struct(F.lit(kind).alias("kind"), F.lit(level).cast("int").alias("level"), F.lit(cut).alias("cut"), F.lit(before).alias("before"))
+    spec = F.coalesce(*[F.when((F.col("adapter") == a.name) & css(selector), one(*how)) for a in registry for selector, *how in a.pieces])
     parts = nodes.withColumn("spec", spec).filter("spec IS NOT NULL").select("page_id", F.lit("adapter#3000").alias("source"), "seq", "end", "spec.*")
-    found = whole_text(nodes, titles.unionByName(parts))
+    found = stored(whole_text(nodes, stored(titles.unionByName(parts), "picks")), "pieces")
     cut = F.expr("CASE WHEN cut = '' THEN text ELSE regexp_replace(text, cut, '') END")
     text = F.when(F.col("kind") == "code", F.regexp_replace(F.regexp_replace("raw", r"(?m)[ \t]+$", ""), r"^\s+|\s+$", "")).otherwise(cut)
     return found.withColumn("said", text).filter("said <> ''").select("page_id", "source", F.col("seq").alias("at"), "kind", "level", F.concat("before", "said").alias("text"))
@@ -205,7 +199,9 @@ def finished(blocks: DataFrame, pages: DataFrame) -> DataFrame:
         | (site(STACK) & ~prose)
         | ((F.col("kind") != "code") & (F.char_length("text") < 2))
     )
+    # Stored, as four parts of the result read it.
     kept = rows.withColumns({"stopped": F.max(stop.cast("int")).over(upto) == 1, "gone": F.coalesce(drop, F.lit(False))}).filter("NOT stopped AND NOT gone")
+    kept = stored(kept, "adapted")
     files = kept.filter(site(GITHUB) & path.rlike(BLOB)).select("page_id", F.element_at(F.split(path, "/"), -1).alias("text")).distinct()
     none = F.lit(None)
     extra = lambda df, source, at, level: df.select("page_id", source.alias("source"), at.alias("at"), F.lit("heading").alias("kind"), F.lit(level).alias("level"), "text", none.cast("string").alias("uid"), none.cast(blocks.schema["meta"].dataType).alias("meta"))

@@ -156,7 +156,24 @@ def below(selector: str, inside) -> Column:
 
 
 def any_of(selectors) -> Column:
-    out = F.lit(False)
+    """Whether a node matches any selector; those of one class, id or tag are looked up together."""
+    import re
+
+    lone = {"class": [], "id": [], "tag": []}
+    rest = []
     for s in selectors:
+        kind = "class" if re.fullmatch(r"\.[\w-]+", s) else "id" if re.fullmatch(r"#[\w-]+", s) else "tag" if re.fullmatch(r"[\w-]+", s) else None
+        if kind is None:
+            rest.append(s)
+        else:
+            lone[kind].append(s.lstrip(".#"))
+    out = F.lit(False)
+    if lone["class"]:
+        out = out | F.arrays_overlap(F.split(attr("class"), r"\s+"), F.array(*map(F.lit, lone["class"])))
+    if lone["id"]:
+        out = out | attr("id").isin(*lone["id"])
+    if lone["tag"]:
+        out = out | F.col("tag").isin(*lone["tag"])
+    for s in rest:
         out = out | css(s)
-    return F.coalesce(out, F.lit(False))
+    return F.coalesce(~F.col("is_text") & out, F.lit(False))
