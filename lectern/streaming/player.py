@@ -2,7 +2,8 @@
 
 Events: (tab, at timestamp, type, index, total, bytes_billed, cache_hits, signature, error). A command sets the status; a
 progress report replaces only what it brings; a new document of the same signature keeps what was billed; navigation and
-closing clear a tab. A tab that is silent for IDLE is forgotten.
+closing clear a tab. With idle_ms, a tab that is silent for so long is forgotten; that suits triggers by processing time, as
+a query with timeouts never runs out of batches.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ STATE_SCHEMA = "status string, index int, total int, bytes_billed long, cache_hi
 #: The status that a command leads to.
 STATUS = {"extract": "extracting", "load": "buffering", "play": "playing", "resume": "playing", "pause": "paused", "stop": "idle", "error": "error"}
 EMPTY = ("idle", 0, 0, 0, 0, "", None)
-IDLE_MS = 6 * 3600 * 1000
 
 
 def step(state: tuple, event: dict) -> tuple:
@@ -41,7 +41,7 @@ def step(state: tuple, event: dict) -> tuple:
     return (STATUS.get(kind, status), index, total, billed, hits, signature, given("error", None) if kind == "error" else None)
 
 
-def states(events: DataFrame) -> DataFrame:
+def states(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """A row (tab, state) for each tab and micro-batch that has events of it."""
     import pandas as pd
 
@@ -52,16 +52,18 @@ def states(events: DataFrame) -> DataFrame:
         now = state.get if state.exists else EMPTY
         rows = pd.concat(list(frames)).sort_values("at", kind="stable")
         for event in rows.astype(object).where(rows.notna(), None).to_dict("records"):
-            now = step(tuple(now), event)
+            # pandas makes whole numbers with gaps floating ones.
+            now = step(tuple(now), {k: int(v) if isinstance(v, float) else v for k, v in event.items()})
         if now == EMPTY:
             state.remove()
         else:
             state.update(now)
-            state.setTimeoutDuration(IDLE_MS)
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
         names = [f.split()[0] for f in STATE_SCHEMA.split(", ")]
         yield pd.DataFrame([{"tab": key[0], **dict(zip(names, now, strict=True))}])
 
-    return events.groupBy("tab").applyInPandasWithState(fold, f"tab long, {STATE_SCHEMA}", STATE_SCHEMA, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("tab").applyInPandasWithState(fold, f"tab long, {STATE_SCHEMA}", STATE_SCHEMA, "update", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def last_settings(patches: DataFrame, window: str = "1 second") -> DataFrame:
