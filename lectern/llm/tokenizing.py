@@ -2,10 +2,8 @@
 
 `WordEncoder` serves tokenizers that drop white space and never join text across it: each run of non-space bytes
 has its ids wherever it stands, so the ids of a text are those of its words in order. Words recur, so they are
-looked up in a bounded table, and only new ones go through the tokenizer. Words of Latin-1 letters, with or without
-punctuation after them, are the same after normalising but for their case, and need its model alone; of the others,
-many go in one call, where a digit that is always a token of its own separates them; words that hold that digit are
-encoded one by one.
+looked up in a bounded table, and only new ones are encoded. Words of Latin-1 letters, with or without punctuation
+after them, are the same after normalising but for their case, and need the tokenizer's model alone.
 """
 
 from __future__ import annotations
@@ -16,84 +14,61 @@ import re
 import struct
 from collections.abc import Iterable
 
-import numpy as np
-
 #: Words remembered by one worker; the table is emptied when it is full, which changes speed only.
 REMEMBERED_WORDS = 300_000
-#: New words given to the tokenizer in one call.
-WORDS_A_CALL = 128
-SEPARATOR = b"0"
 PUNCTUATION = b",.;:!?"
 #: Letters A-Z of either case and those of Latin-1, as UTF-8.
 LATIN = re.compile("(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+".encode("latin-1"))
 #: A byte-level tokenizer writes the bytes that don't print as the letters from U+0100 on, in order.
 UNPRINTED = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
 BYTE_LETTERS = {byte: 0x100 + k for k, byte in enumerate(UNPRINTED)}
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit ids."""
+    return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
-class WordEncoder:
-    """Encodes texts as little-endian unsigned 32-bit ids with a tokenizer file that drops white space."""
+
+class WordEncoder(dict):
+    """Ids of words, packed, learned as they are met; `encode` gives those of texts."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED_WORDS):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._known: dict[bytes, bytes] = {}
+        self._tokenize = self._tokenizer.model.tokenize
         self._remembered = remembered
-        between = self._ids("0")
-        if len(between) != 1 or self._ids("a 0 a") != [*self._ids("a"), *between, *self._ids("a")]:
+        if self._ids("a b, c") != [*self._ids("a"), *self._ids("b"), *self._ids(","), *self._ids("c")]:
             raise ValueError("this tokenizer joins text across spaces or doesn't drop them")
-        self._between = between[0]
-        self._forget()
+        self._tails = {PUNCTUATION[k : k + 1]: packed(self._ids(chr(PUNCTUATION[k]))) for k in range(len(PUNCTUATION))} | {b"": b""}
 
     def _ids(self, text: str) -> list[int]:
         return self._tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _forget(self) -> None:
-        self._known.clear()
-        self._learn([PUNCTUATION[k : k + 1] for k in range(len(PUNCTUATION))])
-
-    def _learn(self, words: list[bytes]) -> None:
-        known, tokenize = self._known, self._tokenizer.model.tokenize
-        plain = []
-        for word in words:
-            core = word.rstrip(PUNCTUATION)
-            tail = known.get(word[len(core) :], b"" if core == word else None)
-            if tail is not None and (core.isalpha() or LATIN.fullmatch(core)):
-                ids = known.get(core)
-                if ids is None:
-                    got = [t.id for t in tokenize(core.decode("utf-8").lower().encode("utf-8").decode("latin-1").translate(BYTE_LETTERS))]
-                    known[core] = ids = struct.pack(f"<{len(got)}I", *got)
-                known[word] = ids + tail
-            elif SEPARATOR in word:
-                got = self._ids(word.decode("utf-8"))
-                known[word] = struct.pack(f"<{len(got)}I", *got)
-            else:
-                plain.append(word)
-        for at in range(0, len(plain), WORDS_A_CALL):
-            part = plain[at : at + WORDS_A_CALL]
-            ids = np.array(self._ids(b" 0 ".join(part).decode("utf-8")), dtype="<u4")
-            ends = np.flatnonzero(ids == self._between) * 4
-            packed = ids.tobytes()
-            for word, start, end in zip(part, [0, *(ends + 4).tolist()], [*ends.tolist(), len(packed)], strict=True):
-                known[word] = packed[start:end]
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self._remembered:
+            self.clear()
+        core = word.rstrip(PUNCTUATION)
+        tail = self._tails.get(word[len(core) :])
+        if tail and (core.isalpha() or LATIN.fullmatch(core)):
+            ids = self[core] + tail
+        elif word.isalpha():
+            ids = packed([t.id for t in self._tokenize(word.lower().decode())])
+        elif LATIN.fullmatch(word):
+            ids = packed([t.id for t in self._tokenize(word.decode().lower().encode().decode("latin-1").translate(BYTE_LETTERS))])
+        else:
+            ids = packed(self._ids(word.decode()))
+        self[word] = ids
+        return ids
 
     def encode(self, texts: Iterable[bytes]) -> list[bytes]:
-        """Ids of each text. Empty texts have none."""
-        out: list[bytes] = []
-        known = self._known
-        for text in texts:
-            words = (text.lower() if text.isascii() else text).split()
-            fresh = [w for w in {*words} if w not in known]
-            if fresh:
-                if len(known) + len(fresh) > self._remembered:
-                    self._forget()
-                    fresh = [*{*words}]
-                self._learn(fresh)
-            out.append(b"".join(map(known.__getitem__, words)))
-        return out
+        """Packed ids of each text. Empty texts have none."""
+        of = self.__getitem__
+        return [b"".join(map(of, (text.lower() if text.isascii() else text).split())) for text in texts]
 
 
 @functools.cache
