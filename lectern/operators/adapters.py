@@ -41,6 +41,7 @@ WIKI = Adapter(
         " #catlinks .catlinks .printfooter .sistersitebox .side-box .metadata .ambox .mbox-small .plainlinks .noprint .shortdescription .mw-kartographer-maplink .gallery .mw-halign-right"
         " .portalbox .portal .stub .asbox .succession-box .mw-collapsible.mw-collapsed .NavFrame .mw-authority-control sup.reference .nyms .citation-whole .ib-content".split()
     ),
+    pieces=((".thumbcaption", "figure", None, "", ""), ("figcaption", "figure", None, "", "")),
 )
 WIKI_STOP = tuple("references reference notes notes_and_references footnotes citations sources bibliography works_cited external_links see_also further_reading related_pages further_information literature anagrams references_2 further_reading_2".split())
 DOCS = Adapter("google-docs", ("docs.google.com",), (".doc-content", "#contents"), pieces=((".kix-paragraphrenderer", "paragraph", None, "", ""),), note="This document is drawn on a canvas, so its text can't be reached.")
@@ -185,10 +186,16 @@ def finished(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("text", F.when(site(WIKI), F.btrim(F.regexp_replace("text", r"(?i)\[\s*edit\s*\]", ""))).otherwise(F.col("text")))
     name = F.replace(F.btrim(F.regexp_replace(F.lower("text"), "[^a-z ]", "")), F.lit(" "), F.lit("_"))
     stop = (F.col("kind") == "heading") & ((site(WIKI) & name.isin(*WIKI_STOP)) | (site(BLOG) & (F.col("source") > "adapter#0000") & F.col("text").rlike(FOOTER)))
-    upto = Window.partitionBy("page_id").orderBy("source", "at").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("page_id", "source").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     page = Window.partitionBy("page_id")
     title = F.max(F.when(F.col("source") == "adapter#0000", F.col("text"))).over(page)
     prose = F.max((F.col("source") == "adapter#1000").cast("int")).over(page) == 1
+    # Captions that no block has are put at the end, but for those past the cut.
+    caption = site(WIKI) & (F.col("source") == "adapter#3000")
+    told = F.collect_list(F.when(F.col("source") == "adapter#1000", F.struct("at", "text"))).over(page)
+    cut_at = F.coalesce(F.min(F.when(stop, F.col("at"))).over(page), F.lit(2**31 - 1))
+    rows = rows.withColumns({"told": told, "cut_at": cut_at})
+    restated = F.exists("told", lambda b: (b["at"] < F.col("cut_at")) & F.contains(b["text"], F.col("text")))
     blob = path.rlike(BLOB) & ~path.rlike(MARKDOWN)
     drop = (
         (site(BLOG) & (F.char_length("text") <= 40) & F.col("text").rlike(CTA))
@@ -197,6 +204,7 @@ def finished(blocks: DataFrame, pages: DataFrame) -> DataFrame:
         | (site(GITHUB) & ((F.col("source") == "adapter#3000") != blob))
         | (site(NOTION) & (F.col("source") > "adapter#0000") & (F.col("text") == title))
         | (site(STACK) & ~prose)
+        | (caption & (restated | (F.col("at") >= F.col("cut_at")) | (F.char_length("text") < 3)))
         | ((F.col("kind") != "code") & (F.char_length("text") < 2))
     )
     # Stored, as four parts of the result read it.

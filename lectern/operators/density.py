@@ -18,6 +18,11 @@ NEGATIVE = (
     "popup|modal|overlay|drawer|dialog|toolbar|pager|pagination|paywall|advert|advertisement|ads|ad|sponsor|sponsored|widget|byline|tags|toc|skip)([-_ ]|$)"
 )
 STRONG = "articlebody|article-body|article__body|entry-content|post-content|post-body|story-body|markdown-body|rich-text"
+UNLIKELY = (
+    "(?i)-ad-|ai2html|banner|breadcrumbs|combx|comment|community|cover-wrap|disqus|extra|footer|gdpr|header|legends|menu|related|remark|replies|rss|shoutbox|sidebar|"
+    "skyscraper|social|sponsor|supplemental|ad-break|agegate|pagination|pager|popup|yom-remote"
+)
+MAYBE = "(?i)and|article|body|column|content|main|shadow"
 LEAST_CHARS, MOST_CANDIDATES, PROSE_CHARS, HELD, STEPS = 140, 300, 25, 0.92, 8
 
 
@@ -69,3 +74,15 @@ def winners(nodes: DataFrame) -> DataFrame:
     below = F.slice("path", F.array_position("path", F.col("w")).cast("int") + 1, F.size("path"))
     steps = steps.withColumn("way", below).filter((F.size("way") == 0) | ((F.size("way") <= STEPS) & (F.size(F.array_intersect("way", "heavy")) == F.size("way"))))
     return steps.groupBy("page_id").agg(F.max_by(F.struct(F.col("seq").alias("c_seq"), F.col("end").alias("c_end")), F.size("way")).alias("c")).select("page_id", "c.c_seq", "c.c_end")
+
+
+def article_score(nodes: DataFrame) -> DataFrame:
+    """(page_id, score, is_article): whether a page looks like an article, by the roots of its prose's lengths."""
+    named = F.concat(attr("class"), F.lit(" "), attr("id"))
+    breaks = nodes.filter("tag = 'br'").select("page_id", F.try_element_at("path", F.lit(-2)).alias("seq")).distinct().withColumn("breaks", F.lit(True))
+    lists = nodes.filter("tag = 'li'").select("page_id", F.col("seq").alias("li"), F.col("end").alias("li_end"))
+    rows = features(nodes).join(breaks, ["page_id", "seq"], "left")
+    prose = rows.filter((F.col("tag").isin("p", "pre", "article") | ((F.col("tag") == "div") & F.col("breaks"))) & ~F.col("veiled") & (F.col("chars") >= LEAST_CHARS) & ~(named.rlike(UNLIKELY) & ~named.rlike(MAYBE)))
+    listed = prose.filter("tag = 'p'").select("page_id", "seq").join(lists, "page_id").filter("seq > li AND seq < li_end").select("page_id", "seq").distinct()
+    sums = prose.join(listed, ["page_id", "seq"], "left_anti").groupBy("page_id").agg(F.sum(F.sqrt(F.col("chars") - LEAST_CHARS)).alias("score"))
+    return nodes.select("page_id").distinct().join(sums, "page_id", "left").select("page_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce(F.col("score") > 20, F.lit(False)).alias("is_article"))

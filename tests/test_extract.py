@@ -3,6 +3,7 @@
 import pytest
 
 from lectern.operators.adapters import REGISTRY
+from lectern.operators.density import article_score
 from lectern.operators.extract import NOTHING, extract
 from lectern.operators.nodes import nodes
 from lectern.sources.tables import from_documents, from_pdf, from_selection, is_pdf, readable
@@ -24,7 +25,7 @@ PAGES = {
     3: ("https://c.example/short", "<title>Short</title><body><p>Too short.</p></body>"),
     4: ("https://c.example/nothing", ""),
     5: ("https://d.example/two", f"<body><div class='sidebar'><ul>{'<li><a href=x>a link of the menu to follow</a></li>' * 20}</ul></div><div class='story'><p>{LONG}</p><p>{LONG}x</p></div></body>"),
-    10: ("https://en.wikipedia.org/wiki/X", f"<h1>X</h1><div id='mw-content-text'><div class='mw-parser-output'><table class='infobox'><tr><td>box</td><td>of facts</td></tr></table><p>{LONG}<sup class='reference'>[1]</sup></p><h2>History<span class='mw-editsection'>[edit]</span></h2><p>Old words.</p><h2 id='References'>References</h2><ul><li>some author name</li></ul></div></div>"),
+    10: ("https://en.wikipedia.org/wiki/X", f"<h1>X</h1><div id='mw-content-text'><div class='mw-parser-output'><table class='infobox'><tr><td>box</td><td>of facts</td></tr></table><p>{LONG}<sup class='reference'>[1]</sup></p><h2>History<span class='mw-editsection'>[edit]</span></h2><p>Old words.</p><div class='thumb'><div class='thumbcaption'>Tiny one</div></div><h2 id='References'>References</h2><div class='thumbcaption'>Late one</div><ul><li>some author name</li></ul></div></div>"),
     11: ("https://stackoverflow.com/questions/1/x", "<h1>Title here</h1><div id='question'><div class='s-prose'><p>What is this thing?</p></div><div class='comments'>meh</div></div><div class='answer' id='answer-1'><div class='s-prose'><p>First reply text.</p></div></div><div class='answer accepted-answer' id='answer-2'><div class='s-prose'><p>Right reply text.</p></div></div>"),
     12: ("https://arxiv.org/abs/2301.1", "<h1 class='title mathjax'><span>Title:</span> A Paper</h1><div class='authors'>Authors: A, B</div><blockquote class='abstract mathjax'>Abstract: We show things.</blockquote>"),
     13: ("https://github.com/a/b/blob/main/x.py", "<body><textarea id='read-only-cursor-text-area'>import os\nprint(1)\n</textarea></body>"),
@@ -91,7 +92,8 @@ def test_selection(found):
 
 def test_adapters(found):
     assert found[10].strategy == "adapter:wikipedia"
-    assert [t.strip() for _, t in said(found[10])] == [LONG.strip(), "History", "Old words."]
+    assert [t.strip() for _, t in said(found[10])] == [LONG.strip(), "History", "Old words.", "Tiny one"]
+    assert found[10].blocks[-1].kind == "figure"
     assert said(found[11]) == [("heading", "Title here"), ("heading", "Question"), ("paragraph", "What is this thing?"), ("heading", "Accepted answer"), ("paragraph", "Right reply text."), ("heading", "Answer 2"), ("paragraph", "First reply text.")]
     assert said(found[12]) == [("heading", "A Paper"), ("paragraph", "Authors: A, B"), ("heading", "Abstract"), ("paragraph", "We show things.")]
     assert said(found[13]) == [("heading", "x.py"), ("code", "import os\nprint(1)")] and found[13].blocks[1].meta.lines == 2
@@ -112,6 +114,12 @@ def test_nodes_are_intervals(spark):
     assert "".join(r.text for r in rows if r.tag == "#text") == "abcdx</p>e\xa0<"
 
 
+def test_article_score(spark):
+    pages = [(1, f"<p>{LONG * 4}</p><p>{LONG * 4}</p>"), (2, f"<ul><li><p>{LONG * 9}</p></li></ul>"), (3, f"<div class='sidebar'>{LONG * 9}<br></div>"), (4, f"<div>{LONG * 9}<br>x</div>"), (5, "<p>x</p>")]
+    got = {r.page_id: r.is_article for r in article_score(nodes(spark.createDataFrame(pages, "page_id long, html string"))).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: True, 5: False}
+
+
 def test_other_sources(spark):
     pdf = spark.createDataFrame([(1, "https://x.example/a%20b.pdf?v=1", [["one ", " two"], [" "], ["three"]]), (2, "https://x.example/", [[" "]])], "page_id long, url string, page_items array<array<string>>")
     a, b = sorted(from_pdf(pdf).collect(), key=lambda r: r.page_id)
