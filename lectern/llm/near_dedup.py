@@ -15,8 +15,8 @@ is first compared with the one that shares most buckets with others, as an origi
 nodes to classes. What is left are buckets with members in different classes, mostly texts around a common passage:
 
 - A node stays open if enough of its shingles occur in open nodes of other classes to reach SIMILARITY with any text.
-- The open members of such a bucket are dealt out in blocks of BLOCK, every pair of blocks to a group of its own, so no
-  group is larger than two blocks. There all pairs of different classes are bounded from above by their counts of shared
+- The open members of such a bucket are dealt out by hash in blocks of about BLOCK, every pair of blocks to a group of its
+  own, so no group is larger than about two blocks. There all pairs of different classes are bounded from above by their counts of shared
   shingles and of shingles by hash value, and only pairs that may reach SIMILARITY come out, to be verified.
 
 Both bounds are exact, so no link is lost and no bucket is cut off; pairs inside a class need no comparison.
@@ -27,7 +27,7 @@ texts share a class. A null doc_id gets a null class. Extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import persisted, text_bytes
@@ -273,11 +273,13 @@ def remaining_pairs(members: DataFrame, roots: DataFrame, texts: DataFrame) -> D
     p, q = SIMILARITY
     able = persisted(measured(open_texts).filter(q * F.col("usable") >= p * F.col("n")), "open")
     still = mixed(placed.join(able.select("node"), "node"))
-    ranked = persisted(still.withColumn("i", F.floor((F.row_number().over(Window.partitionBy("band").orderBy("node")) - 1) / BLOCK).cast("int")), "ranked")
-    last = ranked.groupBy("band").agg(F.max("i").alias("last"))
+    still = persisted(still.select("band", "node"), "still")
+    # Blocks by hash: sizes are summed before the shuffle, and no bucket is sorted in one task.
+    counts = persisted(still.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "block_counts")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # A block meets itself, those after it as the first half and those before it as the second.
-    meets = F.explode(F.sequence(F.lit(0), F.col("last")))
-    dealt = ranked.join(last, "band").select("band", "node", F.col("i").alias("own"), meets.alias("other"))
+    meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = still.join(counts, "band").select("band", "node", own.alias("own"), meets.alias("other"))
     dealt = dealt.select("band", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("half"))
     blocks = dealt.join(able, "node").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     return across_classes(blocks)
