@@ -289,7 +289,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id) for every row of `docs` (doc_id, text, ...); class_id is the least doc_id of its class."""
     rows = persisted(sketches(docs), "sketches")
     known = rows.filter("doc_id IS NOT NULL")
-    copies = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
+    # Stored, the least ids reach the join unordered: then Spark can split a text that very many documents have.
+    copies = persisted(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "copies")
     # A text's node is its least doc_id. One doc_id with several texts stands for all of them.
     placed = persisted(known.join(copies, ["h1", "h2"]), "placed")
     firsts = placed.filter("doc_id = node").dropDuplicates(["h1", "h2"])
