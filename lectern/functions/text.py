@@ -13,26 +13,34 @@ WS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEF
 S, NOT_S = f"[{WS}]", f"[^{WS}]"
 B, E = r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])", r"(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])"
 
+
+
+def at_word(first: str, rest: str) -> str:
+    """`first` and `rest` where a word starts. The letter stands before the test of what precedes it: it is looked for
+    quickly, and the test is made only where it is found."""
+    return f"{first}(?<![A-Za-z0-9_]{first}){rest}"
+
+
 #: Rewritings in their order, as (pattern, replacement).
 ABBREVIATIONS = (
-    (rf"(?i){B}e\.{S}?g\.{S}*", "for example, "),
-    (rf"(?i){B}i\.{S}?e\.{S}*", "that is, "),
-    (rf"(?i){B}etc\.(?={S}|$)", "et cetera"),
-    (rf"(?i){B}vs\.?(?={S})", "versus"),
-    (rf"(?i){B}cf\.(?={S})", "compare"),
-    (rf"(?i){B}viz\.(?={S})", "namely"),
-    (rf"(?i){B}approx\.(?={S})", "approximately"),
-    (rf"{B}Fig\.{S}*(?=[0-9])", "Figure "),
-    (rf"{B}Eq\.{S}*(?=[0-9])", "Equation "),
-    (rf"{B}Vol\.{S}*(?=[0-9])", "Volume "),
-    (rf"{B}No\.{S}*(?=[0-9])", "Number "),
-    (rf"{B}Dr\.{S}+", "Doctor "),
-    (rf"{B}Prof\.{S}+", "Professor "),
-    (rf"{B}Mr\.{S}+", "Mister "),
-    (rf"{B}Mrs\.{S}+", "Missus "),
-    (rf"{B}Ms\.{S}+", "Miss "),
-    (rf"{B}St\.{S}+", "Saint "),
-    (rf"(?i){B}et{S}+al\.", "and others"),
+    ("(?i)" + at_word("e", rf"\.{S}?g\.{S}*"), "for example, "),
+    ("(?i)" + at_word("i", rf"\.{S}?e\.{S}*"), "that is, "),
+    ("(?i)" + at_word("e", rf"tc\.(?={S}|$)"), "et cetera"),
+    ("(?i)" + at_word("v", rf"s\.?(?={S})"), "versus"),
+    ("(?i)" + at_word("c", rf"f\.(?={S})"), "compare"),
+    ("(?i)" + at_word("v", rf"iz\.(?={S})"), "namely"),
+    ("(?i)" + at_word("a", rf"pprox\.(?={S})"), "approximately"),
+    (at_word("F", rf"ig\.{S}*(?=[0-9])"), "Figure "),
+    (at_word("E", rf"q\.{S}*(?=[0-9])"), "Equation "),
+    (at_word("V", rf"ol\.{S}*(?=[0-9])"), "Volume "),
+    (at_word("N", rf"o\.{S}*(?=[0-9])"), "Number "),
+    (at_word("D", rf"r\.{S}+"), "Doctor "),
+    (at_word("P", rf"rof\.{S}+"), "Professor "),
+    (at_word("M", rf"r\.{S}+"), "Mister "),
+    (at_word("M", rf"rs\.{S}+"), "Missus "),
+    (at_word("M", rf"s\.{S}+"), "Miss "),
+    (at_word("S", rf"t\.{S}+"), "Saint "),
+    ("(?i)" + at_word("e", rf"t{S}+al\."), "and others"),
 )
 CURRENCY = (("\\$", "dollars"), ("₹", "rupees"), ("€", "euros"), ("£", "pounds"))
 UNITS = (
@@ -52,7 +60,7 @@ TAIL = (
     (f"{S}&{S}", " and "),
     (f"([0-9]){S}?%", "$1 percent"),
     ("#(?=[0-9])", "number "),
-    (f"(?i){B}and/or{E}", "and or"),
+    ("(?i)" + at_word("a", f"nd/or{E}"), "and or"),
     (f"{S}\\+{S}", " plus "),
     (f"{S}={S}", " equals "),
     (f"({NOT_S})@({NOT_S})", "$1 at $2"),
@@ -113,11 +121,11 @@ def expand_abbreviations(text: Column) -> Column:
 
 def collapse_urls(text: Column) -> Column:
     """Mail addresses to 'email at host', web addresses to their host read aloud."""
-    text = F.regexp_replace(text, rf"{B}[A-Za-z0-9_.+-]+@([A-Za-z0-9_-]+)\.[A-Za-z0-9_.]+", "email at $1")
-    # Hosts stand between two control characters while their dots are rewritten.
-    text = F.regexp_replace(text, rf"(?i){B}https?://(?:www\.)?([^{WS}/]+){NOT_S}*", "\u0002$1\u0003")
-    text = F.regexp_replace(text, rf"(?i){B}www\.([^{WS}/]+){NOT_S}*", "\u0002$1\u0003")
-    text = F.regexp_replace(text, "\\.(?=[^\u0002\u0003]*\u0003)", " dot ")
+    text = F.regexp_replace(text, rf"{B}[A-Za-z0-9_.+-]++@([A-Za-z0-9_-]+)\.[A-Za-z0-9_.]+", "email at $1")
+    # Hosts, which hold no white space, stand between two control characters while their dots are rewritten.
+    text = F.regexp_replace(text, "(?i)" + at_word("h", rf"ttps?://(?:www\.)?([^{WS}/]+){NOT_S}*"), "\u0002$1\u0003")
+    text = F.regexp_replace(text, "(?i)" + at_word("w", rf"ww\.([^{WS}/]+){NOT_S}*"), "\u0002$1\u0003")
+    text = F.regexp_replace(text, f"\\.(?=[^{WS}\u0002\u0003]*\u0003)", " dot ")
     return F.regexp_replace(text, "[\u0002\u0003]", "")
 
 
