@@ -1,8 +1,11 @@
 """Toxicity of noisy text (operator 5): restore disguised words, then score the restored text.
 
-Spans that look disguised (digits or signs among letters, letters three times in a row, single letters set apart) are
-lattices of the letters each character may stand for, with repeated letters and separators optional. Viterbi decoding
-under a character trigram model takes the likeliest word. The model's counts are over all documents and use no labels.
+Spans that may be disguised (a sign or digit touching a letter, doubled letters, three or more single characters set apart)
+are lattices of the letters each character may stand for. Repeated letters are optional; a run of separators, or a sign,
+either ends a word or doesn't. Viterbi decoding under a character trigram model takes the likeliest words. As doubled
+letters are common in plain text, dropping them also has to outweigh DISGUISED; the gains of pairs don't depend on each
+other, so pairs are weighed for a whole text at once, and only words that change are decoded. Exclamation marks that
+follow a word and are followed by no letter are punctuation. The model's counts are over all documents and use no labels.
 Words and word beginnings of the restored text are features of a logistic regression.
 
 It is fitted on at most SAMPLE labelled rows, those of least hash, so the few rows travel to the documents and no text is
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import text_bytes
+from lectern.llm.common import persisted, text_bytes
 from lectern.llm.words import words
 
 SAMPLE, FEATURES = 20_000, 4_000
@@ -37,13 +40,22 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 SEPARATORS = " .-_*"
 ALPHABET = 28  # edges of words, a-z, any other letter's byte
 _LEET, _SEP = re.escape("".join(SIGNS)).encode(), re.escape(SEPARATORS).encode()
-_SPACED = rb"(?<![a-z0-9])[a-z](?:[" + _SEP + rb"][a-z" + _LEET + rb"]){2,}(?![a-z0-9])"
-_MIXED = rb"[a-z" + _LEET + rb"]*(?:[a-z][*" + _LEET + rb"]+[a-z]|(?<![a-z0-9@.])[" + _LEET + rb"]{1,2}[a-z]{2})[a-z" + _LEET + rb"]*"
-_REPEATED = rb"[a-z]*([a-z])\1\1[a-z]*"
-SUSPECT = re.compile(_SPACED + rb"|" + _MIXED + rb"|" + _REPEATED)
+_ONE, _WORD = rb"[a-z" + _LEET + rb"]", rb"[a-z\x80-\xff" + _LEET + rb"]"
+_SPACED = rb"(?<!" + _WORD[:-1] + rb"])" + _ONE + rb"(?:[" + _SEP + rb"]+" + _ONE + rb"(?!" + _WORD + rb")){2,}"
+_TOUCHED = rb"[a-z](?:[*" + _LEET.replace(b"!", b"") + rb"]|!+[a-z])|[*" + _LEET + rb"][a-z]"
+#: What makes a span worth a look.
+SPACED, SUSPECT = re.compile(_SPACED), re.compile(_SPACED + rb"|" + _TOUCHED + rb"|([a-z])\1")
 #: Log probabilities of the channel.
-KEPT, DROPPED_REPEAT, DROPPED_SIGN, STOOD_FOR = math.log(0.9), math.log(0.5), math.log(0.005), math.log(0.4)
+KEPT, DROPPED_REPEAT, DROPPED_PAIR, STOOD_FOR = math.log(0.9), math.log(0.5), math.log(0.1), math.log(0.4)
+ENDED_BY_SIGN, ENDED_BY_MARK, MORE_SIGNS = math.log(0.005), math.log(0.9), math.log(0.05)
+JOINED, PARTED, PARTED_OTHERWISE = math.log(0.9), math.log(0.1), math.log(0.99)
+#: Of a word whose letters are doubled on purpose.
+DISGUISED = math.log(1e-6)
+#: Of a word that is none of the common ones.
+UNKNOWN = math.log(0.01)
 REMEMBERED = 100_000
+#: Words whose counts the model has, the longest of them, and states held at each character of a span.
+VOCABULARY, LONGEST, BEAM = 20_000, 20, 64
 
 
 def code(letter: str) -> int:
@@ -51,9 +63,9 @@ def code(letter: str) -> int:
 
 
 class CharModel:
-    """Log probabilities of a letter after two others, from trigram counts with shorter ones mixed in."""
+    """Log probabilities of a letter after two others, from trigram counts with shorter ones mixed in, and of common words."""
 
-    def __init__(self, counts):
+    def __init__(self, counts, frequent: dict[str, int] | None = None):
         import numpy as np
 
         three = np.asarray(counts, float).reshape((ALPHABET,) * 3)
@@ -61,11 +73,17 @@ class CharModel:
         share = (one + 1) / (one.sum() + ALPHABET)
         pair = (two + 20 * share) / (two.sum(axis=1, keepdims=True) + 20)
         triple = (three + 20 * pair[None]) / (three.sum(axis=2, keepdims=True) + 20)
-        self.log = np.log(triple).tolist()
+        log = np.log(triple)
+        self.log = log.tolist()
+        # What dropping the second x of w x x y gains.
+        x = np.arange(ALPHABET)
+        self.gain = DROPPED_REPEAT + log - log[:, x, x][:, :, None] - log[x, x, :][None]
         self.known: dict[bytes, bytes] = {}
+        # Words end once each, so pairs that end in an edge count all words.
+        self.frequent = {w: math.log(n / max(two[:, 0].sum(), n, 1)) for w, n in (frequent or {}).items()}
 
     def restore(self, span: bytes) -> bytes:
-        """The likeliest word behind a disguised span, without separators."""
+        """The likeliest words behind a span."""
         got = self.known.get(span)
         if got is None:
             if len(self.known) >= REMEMBERED:
@@ -75,51 +93,134 @@ class CharModel:
 
     def _decode(self, span: str) -> str:
         log = self.log
-        # States are the last two letters; each has its best log probability and its word so far.
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        # A letter may be a repetition where it stands three times in a row or more.
-        runs = [len(m[0]) for m in re.finditer(r"(.)\1*", span, re.DOTALL) for _ in m[0]]
-        for c, run in zip(span, runs, strict=True):
-            now: dict[tuple[int, int], tuple[float, str]] = {}
-
-            def offer(state, value, now=now):
-                if state not in now or value > now[state]:
-                    now[state] = value
-
-            for (a, b), (p, word) in best.items():
-                if c in SEPARATORS:
-                    offer((a, b), (p, word))
-                    continue
-                for letter in SIGNS.get(c, c):
-                    x = code(letter)
-                    offer((b, x), (p + log[a][b][x] + (KEPT if letter == c else STOOD_FOR), word + letter))
-                    if x == b and run > 2:
-                        offer((a, b), (p + DROPPED_REPEAT, word))
-                if c in SIGNS:
-                    offer((a, b), (p + log[a][b][0] + DROPPED_SIGN, word))
-            best = now
-        return max((p + log[a][b][0], word) for (a, b), (p, word) in best.items())[1]
+        # Dropped letters of a span without signs and separators need a reason, as such spans are common in plain text.
+        plain = span.isalpha()
+        # States are the open word and, in plain spans, whether any letter was dropped; each has its best log probability,
+        # what that was at the word's start, and what it came from, as nested pairs.
+        best: dict[tuple[str, bool], tuple[float, float, tuple | None]] = {("", False): (0.0, 0.0, None)}
+        parts = [(m[0][0], m[0]) for m in re.finditer(rf"[{re.escape(SEPARATORS)}]+|(.)\1*", span, re.DOTALL)]
+        usual = Counter(r for c, r in parts if c in SEPARATORS).most_common(1)
+
+        def last(word):
+            return (code(word[-2]) if len(word) > 1 else 0, code(word[-1]) if word else 0)
+
+        def ended(word, p, before):
+            if not word:
+                return p
+            a, b = last(word)
+            return max(p + log[a][b][0] + UNKNOWN, before + self.frequent.get(word, -math.inf))
+
+        for c, run in parts:
+            apart = c in SEPARATORS
+            for _ in range(1 if apart else len(run)):
+                now: dict[tuple[str, bool], tuple[float, float, tuple | None]] = {}
+
+                def offer(word, dropped, p, before, path, now=now):
+                    key = (word[-LONGEST - 1 :], dropped)
+                    if key not in now or p > now[key][0]:
+                        now[key] = (p, before, path)
+
+                for (word, dropped), (p, before, path) in best.items():
+                    a, b = last(word)
+                    if apart:
+                        offer(word, dropped, p + JOINED, before + JOINED, path)
+                        end = ended(word, p, before) + (PARTED if run == usual[0][0] else PARTED_OTHERWISE)
+                        offer("", dropped, end, end, (path, " "))
+                        continue
+                    for letter in SIGNS.get(c, c):
+                        x = code(letter)
+                        cost = 0.0 if plain else KEPT if letter == c else STOOD_FOR
+                        offer(word + letter, dropped, p + log[a][b][x] + cost, before + cost, (path, letter))
+                        if x == b and len(run) > (letter != c) + 1:
+                            cost = (DROPPED_REPEAT if plain or len(run) > 2 else DROPPED_PAIR) + (DISGUISED if plain and not dropped else 0.0)
+                            offer(word, plain, p + cost, before + cost, path)
+                    if c in SIGNS:
+                        end = ended(word, p, before) + (ENDED_BY_MARK if c == "!" else ENDED_BY_SIGN if word else MORE_SIGNS)
+                        offer("", dropped, end, end, (path, c))
+                best = now if len(now) <= BEAM else dict(sorted(now.items(), key=lambda x: -x[1][0])[:BEAM])
+        path, out = max(((ended(word, p, before), path) for (word, _), (p, before, path) in best.items()), key=lambda x: x[0])[1], []
+        while path:
+            path, letter = path
+            out.append(letter)
+        return "".join(reversed(out))
 
     def restored(self, text: bytes) -> bytes:
         """`text` lower-cased in ASCII, with disguised spans restored."""
         low = text.lower()
-        return SUSPECT.sub(lambda m: self.restore(m[0]), low) if suspicious(low) else low
+        if set_apart(low):
+            low = SPACED.sub(lambda m: self.restore(m[0]) if any(97 <= x < 123 for x in m[0]) else m[0], low)
+        out, at = [], 0
+        for start, end in self._words_to_decode(low):
+            word = low[start:end]
+            new = self.restore(word)
+            if new != word:
+                out += low[at:start], new
+                at = end
+        return b"".join([*out, low[at:]]) if out else low
+
+    def _words_to_decode(self, low: bytes):
+        """Starts and ends of runs of letters and signs that decoding may change."""
+        import numpy as np
+
+        x = np.frombuffer(b"  " + low + b"  ", np.uint8)
+        touched, same = _touched(x), _same(x)
+        pairs = np.flatnonzero(same)
+        if not len(pairs) and not touched.any():
+            return []
+        edge = np.diff((_letter(x) | _SIGN_TABLE[x]).view(np.int8))
+        starts, ends = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
+        codes = _CODE_TABLE[x]
+        gain = np.maximum(self.gain[codes[pairs - 1], codes[pairs], codes[pairs + 2]], 0)
+        # Letters that stand three times in a row are always looked at.
+        gain[same[pairs + 1] | same[pairs - 1]] = np.inf
+        total = np.bincount(np.searchsorted(starts, pairs, "right") - 1, gain, len(starts)).astype(float)
+        total[np.searchsorted(starts, np.flatnonzero(touched), "right") - 1] = np.inf
+        chosen = np.flatnonzero(total > UNKNOWN - DISGUISED)
+        return zip((starts[chosen] - 2).tolist(), (ends[chosen] - 2).tolist(), strict=True)
+
+
+def _letter(x):
+    return _CODE_TABLE[x] > 0
+
+
+def _same(x):
+    """Where a letter stands before itself."""
+    return (x[1:] == x[:-1]) & _letter(x[1:])
+
+
+def _touched(x):
+    """Which letters have a sign beside them; marks after words don't count."""
+    import numpy as np
+
+    letter, sign = _letter(x), _SIGN_TABLE[x]
+    out = np.zeros(len(x), bool)
+    out[1:] |= letter[1:] & sign[:-1]
+    out[:-1] |= letter[:-1] & sign[1:] & (x[1:] != 33)
+    return out
+
+
+def set_apart(low: bytes) -> bool:
+    """Whether three single characters in a row have only separators between them."""
+    import numpy as np
+
+    x = np.frombuffer(b" " + low + b" ", np.uint8)
+    one = _ONE_TABLE[x]
+    word = one | (x > 127)
+    lone = np.flatnonzero(one[1:-1] & ~word[:-2] & ~word[2:]) + 1
+    if len(lone) < 3:
+        return False
+    other = ~_SEPARATOR_TABLE[x]
+    other[lone] = False
+    others = np.cumsum(other)[lone]
+    return bool((others[2:] == others[:-2]).any())
 
 
 def suspicious(low: bytes) -> bool:
     """Whether any span could match SUSPECT; quicker than the pattern."""
     import numpy as np
 
-    x = np.frombuffer(low, np.uint8)
-    letter = (x - np.uint8(97)) < 26
-    same = (x[1:] == x[:-1]) & letter[1:]
-    if (same[1:] & same[:-1]).any():
-        return True
-    sign = _SIGN_TABLE[x]
-    if (sign[:-1] & letter[1:]).any() or (sign[1:] & letter[:-1] & (x[1:] != 33)).any():
-        return True
-    lone, apart = letter | sign, _SEPARATOR_TABLE[x]
-    return bool(len(x) > 4 and (letter[:-4] & apart[1:-3] & lone[2:-2] & apart[3:-1] & lone[4:]).any())
+    x = np.frombuffer(b" " + low + b" ", np.uint8)
+    return bool(_same(x).any()) or bool(_touched(x).any()) or set_apart(low)
 
 
 def _table(signs):
@@ -130,21 +231,34 @@ def _table(signs):
     return table
 
 
-_SIGN_TABLE, _SEPARATOR_TABLE = _table([*SIGNS, "*"]), _table(SEPARATORS)
+def _codes():
+    import numpy as np
+
+    table = np.zeros(256, np.int64)
+    table[97:123] = np.arange(1, 27)
+    return table
+
+
+_SIGN_TABLE, _ONE_TABLE, _SEPARATOR_TABLE = _table([*SIGNS, "*"]), _table([*SIGNS, *map(chr, range(97, 123))]), _table(SEPARATORS)
+_CODE_TABLE = _codes()
 
 
 def char_model(docs: DataFrame) -> CharModel:
-    """Trigram counts over all `docs` (text): summed in each task, then across tasks."""
+    """Trigram counts, and those of the most common words, VOCABULARY at most, over all `docs` (text): summed in each task, then
+    across tasks."""
 
     def work(batches):
         import numpy as np
         import pyarrow as pa
 
+        def rows(keys, n):
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(n, pa.int64())], ["key", "n"])
+
         table = np.zeros(256, np.int64)
         table[97:123] = np.arange(1, 27)
         table[65:91] = np.arange(1, 27)
         table[128:] = 27
-        total = np.zeros(ALPHABET**3, np.int64)
+        total, seen = np.zeros(ALPHABET**3, np.int64), Counter()
         for batch in batches:
             for text in text_bytes(batch.column("text")):
                 x = table[np.frombuffer(b"  " + text + b"  ", np.uint8)]
@@ -152,16 +266,38 @@ def char_model(docs: DataFrame) -> CharModel:
                 first = np.where(x[1:-1] == 0, 0, x[:-2])
                 use = (x[2:] > 0) | (x[1:-1] > 0)
                 total += np.bincount(((first * ALPHABET + x[1:-1]) * ALPHABET + x[2:])[use], minlength=len(total))
+                seen.update(words(text))
+            if len(seen) > REMEMBERED:
+                yield rows(*worth(seen))
+                seen.clear()
+        yield rows(*worth(seen))
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["code", "n"])
+        yield rows([f"{k}" for k in at.tolist()], total[at])
+
+    def worth(seen):
+        kept = [(w, n) for w, n in seen.items() if len(w) <= LONGEST and w.isalpha()]
+        return [w.decode() for w, _ in kept], [n for _, n in kept]
 
     import numpy as np
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(work, "code int, n long")
-    counts = np.zeros(ALPHABET**3)
-    for r in rows.groupBy("code").agg(F.sum("n").alias("n")).collect():
-        counts[r.code] = r.n
-    return CharModel(counts)
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(work, "key string, n long")
+    rows = persisted(rows.groupBy("key").agg(F.sum("n").alias("n")), "toxicity_counts")
+    # Words of about the same count are taken all or none; few numbers tell from which count on.
+    size, word = F.floor(F.log("n") * 100), F.col("key") >= "a"
+    taken, least = 0, math.inf
+    for r in sorted(rows.filter(word).groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):
+        taken += r["count"]
+        if taken > VOCABULARY:
+            break
+        least = r["size"]
+    counts, frequent = np.zeros(ALPHABET**3), {}
+    # Trigrams, whose keys are numbers, and VOCABULARY words at most.
+    for r in rows.filter(~word | (size >= least)).collect():
+        if r.key.isdigit():
+            counts[int(r.key)] = r.n
+        else:
+            frequent[r.key] = r.n
+    return CharModel(counts, frequent)
 
 
 def features(restored: bytes) -> set[bytes]:

@@ -105,6 +105,27 @@ def test_disguises_are_undone(letters, word):
         assert letters.restored(f"the {form.upper()} of".encode()) == f"the {word} of".encode()
 
 
+@pytest.mark.parametrize("word", ["moron", "idiot", "scum", "loser", "clown", "trash"])
+def test_wide_disguises_are_undone(letters, word):
+    spaced, doubled = " ".join(word), "".join(c * 2 for c in word)
+    signs = word.replace("i", "1").replace("o", "0").replace("s", "$")
+    forms = ["  ".join(word), "--".join(word), doubled, signs, " ".join(signs), signs + "!!"]
+    for form in forms:
+        assert letters.restored(f"the {form} of".encode()).replace(b"!", b"") == f"the {word} of".encode(), form
+    for one in ("a", "t h a t"):
+        assert letters.restored(f"the {one} {spaced} of".encode()) == f"the {one.replace(' ', '')} {word} of".encode()
+
+
+def test_signs_at_the_ends(spark):
+    """Words of which the corpus has the plain form."""
+    docs = spark.createDataFrame([("you are a moron, an ass and an idiot of no worth, a diot, a shit, as it is and as he was",)] * 50, "text string")
+    letters = tox.char_model(docs)
+    for form, word in (("idi07", "idiot"), ("a$$", "ass"), ("5h17", "shit"), ("d107", "diot"), ("1 d i o t", "idiot"), ("1d10t", "idiot"), ("4ss", "ass")):
+        assert letters.restored(f"you {form} of".encode()) == f"you {word} of".encode(), form
+    assert letters.restored(b"y o u a r e a m o r o n") == b"you are a moron"
+    assert letters.restored(b"1 2 3 4 and worth! 17") == b"1 2 3 4 and worth! 17"
+
+
 def test_plain_text_stays(letters):
     for text in ("a plain text, with 1234 and 12:30! all good... pass", "Zu wenig Ä Öl 漢字", "", "!!! ???"):
         assert letters.restored(text.encode()) == text.encode().lower()
