@@ -127,7 +127,7 @@ def _uax29_batches():
     return F.pandas_udf(split, T.ArrayType(T.StringType()))
 
 
-def sentences(text: Column, mode: str = "regex") -> Column:
+def sentences(text: Column, mode: str = "uax29") -> Column:
     """Sentences of a text that is tidied; `mode` as in Settings.sentences."""
     if mode not in ("regex", "uax29"):
         raise ValueError(f"no sentence mode {mode!r}")
