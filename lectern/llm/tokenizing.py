@@ -31,15 +31,18 @@ def packed(ids: list[int]) -> bytes:
 
 
 class WordEncoder(dict):
-    """Ids of words, packed, learned as they are met; `encode` gives those of texts."""
+    """Ids of words, packed, learned as they are met; `encode` gives those of texts.
 
-    def __init__(self, path: str, remembered: int = REMEMBERED_WORDS):
+    With `specials`, special tokens that a text holds literally get their own ids, as is the library's default.
+    """
+
+    def __init__(self, path: str, remembered: int = REMEMBERED_WORDS, specials: bool = False):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = not specials
         self._tokenize = self._tokenizer.model.tokenize
         self._remembered = remembered
         if self._ids("a b, c") != [*self._ids("a"), *self._ids("b"), *self._ids(","), *self._ids("c")]:
@@ -68,10 +71,10 @@ class WordEncoder(dict):
     def encode(self, texts: Iterable[bytes]) -> list[bytes]:
         """Packed ids of each text. Empty texts have none."""
         of = self.__getitem__
-        return [b"".join(map(of, (text.lower() if text.isascii() else text).split())) for text in texts]
+        return [b"".join(map(of, (text.lower() if text.isascii() and b"<|" not in text else text).split())) for text in texts]
 
 
 @functools.cache
 def encoder(path: str) -> WordEncoder:
     """One encoder a worker process, which later tasks find filled."""
-    return WordEncoder(path)
+    return WordEncoder(path, specials=True)

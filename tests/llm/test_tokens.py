@@ -132,3 +132,12 @@ def test_step_groups_balance():
     for n, g in zip(sizes, groups, strict=True):
         cost[g] += n + n * n / 4096
     assert max(cost.values()) < 1.1 * min(cost.values())
+
+
+def test_special_tokens_as_the_library_reads_them():
+    from lectern.llm.tokenizing import encoder
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(word_bpe())
+    for text in ("a <|endoftext|> b", "Xx<|startoftext|>Yy, <|ENDOFTEXT|>.", "<|endoftext|><|endoftext|>!", "É<|endoftext|> A", "<| A |>", "Plain TEXT."):
+        assert encoder(word_bpe()).encode([text.encode()])[0] == packed(t.encode(text, add_special_tokens=False).ids), text
