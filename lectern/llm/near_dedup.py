@@ -1,46 +1,46 @@
 """Near-duplicate documents by Order MinHash (operator 7).
 
-A text is the sequence of its shingles: hashes of SHINGLE consecutive words (lower-cased runs of letters and digits), of
-all words where there are fewer. A shingle's later occurrences are labelled by their number. For each of BANDS hash
-functions, the KEEP least labelled shingles are taken and put back in text order; two texts are candidates if any band's
-tuple is the same in both. So both content and order count, as edits do. With KEEP = 4 and BANDS = 24, texts that share
-0.8 of their labelled shingles in order are candidates with probability 0.999997.
+A text is the sequence of its words (runs of letters and digits, lower-cased). Two texts of n1 and n2 words are near copies
+if m / (n1 + n2 - m) >= SIMILARITY, m being their longest common subsequence of words, found by banded alignment: one
+changed word costs one word, wherever it stands.
 
-Candidates are verified: the longest common subsequence of their shingles is found inside the band of the alignment
-matrix that a sufficient match cannot leave, and m matches of n1 and n2 shingles link the texts if
-m / (n1 + n2 - m) >= SIMILARITY.
+Candidates come from Order MinHash. A text's k-mers are its runs of SHINGLE words, later occurrences labelled by their
+number. For each of BANDS hash functions the KEEP least labelled k-mers are taken and put back in text order; two texts are
+candidates if any band's tuple is the same in both. So both content and order count, as edits do. A pair that shares 0.46
+of its k-mers in order is a candidate with probability 0.992, one that shares 0.38, as texts of similarity 0.8 with
+changes at random places do, with 0.94. Texts of at most SHORT words, of which one change spoils most runs of five, use
+runs of SHORT_SHINGLE words and the SHORT_KEEP least; those within reach of the border have both sketches.
 
 Texts with equal words are one node from the start, so groups of copies count once. In a bucket of candidates each node
 is first compared with the one that shares most buckets with others, as an original does with its copies; links merge
-nodes to classes. What is left are buckets with members in different classes, mostly texts around a common passage:
+nodes to classes. What is left are buckets with members in different classes, mostly texts around a common passage. Their
+members are joined by prefix: near copies share at least (n1 + n2) / 3 - 1 pairs of neighbouring words, so with pairs
+ordered by rarity among those members, the first third of the shorter text's and the first two fifths of the longer one's
+must have one in common. A common passage's pairs are the most frequent and come last, so texts meet by what is their own.
 
-- A node stays open if enough of its shingles occur in open nodes of other classes to reach SIMILARITY with any text.
-- The open members of such a bucket are dealt out by hash in blocks of about BLOCK, every pair of blocks to a group of its
-  own, so no group is larger than about two blocks. There all pairs of different classes are bounded from above by their counts of shared
-  shingles and of shingles by hash value, and only pairs that may reach SIMILARITY come out, to be verified.
-
-Both bounds are exact, so no link is lost and no bucket is cut off; pairs inside a class need no comparison.
+Before texts are fetched, counts of words by hash value bound m from above. All these bounds are exact, so no candidate is
+lost and no bucket is cut off; pairs inside a class need no comparison.
 
 Null, empty and wordless texts are like nothing and have a class of their own. Rows of equal doc_id are one document: their
-texts share a class. A null doc_id gets a null class. Extra columns are ignored.
+texts share a class, and each is compared. A null doc_id gets a null class. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import persisted, text_bytes
 from lectern.llm.components import components
 from lectern.llm.words import labelled, mix, shingles, words
 
-SHINGLE, BANDS, KEEP = 5, 24, 4
+SHINGLE, BANDS, KEEP = 5, 48, 3
+SHORT, SHORT_SHINGLE, SHORT_KEEP = 40, 2, 2
 SIMILARITY = (4, 5)
-#: Counts of shingles by hash value that bound a pair's matches from above.
-PROFILE = 256
-BLOCK = 1024
+#: Bins of words' counts: about a quarter as many as words, between these.
+LEAST_BINS, MOST_BINS = 16, 4096
 #: Numbers held at once while one text is sketched.
-SKETCH_CELLS = 1 << 20
+SKETCH_CELLS = 1 << 16
 
 
 def enough(n1: int, n2: int) -> int:
@@ -49,29 +49,69 @@ def enough(n1: int, n2: int) -> int:
     return -(-p * (n1 + n2) // (p + q))
 
 
-def sketch(keys, bands: int = BANDS, keep: int = KEEP):
-    """A number for each band: the tuple of its `keep` least labelled shingles in text order."""
+def sketch(keys, keep: int = KEEP, first: int = 0, bands: int = BANDS):
+    """A number for each band: the tuple of its `keep` least labelled k-mers in text order. Bands count from `first`."""
     import numpy as np
 
     marked = labelled(keys)
-    salts = mix(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    factors = mix(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     keep = min(keep, len(marked))
-    total = np.arange(bands, dtype=np.uint64)
+    total = np.arange(first, first + bands, dtype=np.uint64)
     together = max(1, SKETCH_CELLS // max(1, len(marked)))
     for k in range(0, bands, together):
-        ranks = mix(marked[None, :] ^ salts[k : k + together, None])
-        at = np.argpartition(ranks, keep - 1, axis=1)[:, :keep] if keep < len(marked) else np.tile(np.arange(keep), (len(ranks), 1))
-        least = np.take_along_axis(ranks, np.sort(at, axis=1), axis=1)
-        for column in least.T:
+        ranks = marked[None, :] * factors[k : k + together, None]
+        rows, found = np.arange(len(ranks)), []
+        for _ in range(keep):
+            found.append(ranks.argmin(axis=1))
+            ranks[rows, found[-1]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        for column in marked[np.sort(np.stack(found), axis=0)]:
             total[k : k + together] = mix(total[k : k + together] + column)
     return total
 
 
+def sketched(found: list[bytes]):
+    """All bands of a text's words."""
+    import numpy as np
+
+    p, q = SIMILARITY
+    parts = []
+    if len(found) > SHORT:
+        parts.append(sketch(shingles(found, SHINGLE)))
+    if p * len(found) <= q * SHORT:
+        parts.append(sketch(shingles(found, SHORT_SHINGLE), SHORT_KEEP, BANDS))
+    return np.concatenate(parts)
+
+
+def profile(keys) -> bytes:
+    """Counts of words by hash value, as unsigned 16-bit numbers; none where a count is larger."""
+    import numpy as np
+
+    bins = min(MOST_BINS, max(LEAST_BINS, 1 << (max(1, len(keys) // 4) - 1).bit_length()))
+    counts = np.bincount((keys & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
+    return counts.astype(np.uint16).tobytes() if counts.max() < 1 << 16 else b""
+
+
+def may_match(n1: int, one: bytes, n2: int, two: bytes) -> bool:
+    """Whether texts of these numbers of words and profiles can have enough words in common."""
+    import numpy as np
+
+    need = enough(n1, n2)
+    if need > min(n1, n2):
+        return False
+    if not one or not two:
+        return True
+    x, y = np.frombuffer(one, np.uint16), np.frombuffer(two, np.uint16)
+    if len(x) != len(y):
+        bins = min(len(x), len(y))
+        x, y = (v.reshape(-1, bins).sum(axis=0, dtype=np.int64) for v in (x, y))
+    return int(np.minimum(x, y).sum(dtype=np.int64)) >= need
+
+
 def common_in_band(a, b, need: int) -> int:
     """Length of the longest common subsequence of a and b inside the band that `need` matches cannot leave.
 
     Rows are elements of b; the set bits of a number stand for the columns of a at which the row's count doesn't grow,
-    shifted along with the band."""
+    shifted along with the band. So are those of each element's places, which enter the band one by one."""
     n, m = len(a), len(b)
     left, right = m - need, n - need  # unmatched elements that either side can have
     if left < 0 or right < 0:
@@ -79,6 +119,7 @@ def common_in_band(a, b, need: int) -> int:
     places: dict[int, list[int]] = {}
     for i, x in enumerate(a):
         places.setdefault(x, []).append(i)
+    masks = dict.fromkeys(places, (0, 0, 0))  # set bits, the column of bit 0, places that have entered
     width = left + right + 1
     full = (1 << width) - 1
     low, row, done = -left, full, 0  # column `low` is bit 0
@@ -87,18 +128,23 @@ def common_in_band(a, b, need: int) -> int:
             done += 1 - (row & 1) if low >= 0 else 0
             row = (row >> 1) | (1 << (width - 1))
             low += 1
-        here = 0
-        for i in places.get(y, ()):
-            if low <= i < low + width:
-                here |= 1 << (i - low)
-        if here:
-            hit = row & here
-            row = ((row + hit) | (row & ~here)) & full
+        if y in places:
+            here, at, entered = masks[y]
+            here = here >> (low - at) if low >= at else here << (at - low)
+            of = places[y]
+            while entered < len(of) and of[entered] < low + width:
+                if of[entered] >= low:
+                    here |= 1 << (of[entered] - low)
+                entered += 1
+            masks[y] = here, low, entered
+            if here:
+                hit = row & here
+                row = ((row + hit) | (row & ~here)) & full
     return done + width - row.bit_count()
 
 
 def alike(a, b) -> bool:
-    """Whether two arrays of shingles match well enough."""
+    """Whether two arrays of words match well enough."""
     import numpy as np
 
     n1, n2 = len(a), len(b)
@@ -121,8 +167,8 @@ def alike(a, b) -> bool:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, h1, h2, n, sig) per row of docs with words; h1 and h2 identify the words, n counts shingles."""
-    schema = "doc_id long, h1 long, h2 long, n int, sig array<long>"
+    """(doc_id, h1, h2, n, profile, sig) per row of docs with words; h1 and h2 identify the words, n counts them."""
+    schema = "doc_id long, h1 long, h2 long, n int, profile binary, sig array<long>"
 
     def work(batches):
         import numpy as np
@@ -130,159 +176,118 @@ def sketches(docs: DataFrame) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            ids, h1, h2, ns, sigs = [], [], [], [], []
+            ids, h1, h2, ns, profiles, sigs = [], [], [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True):
                 found = words(text)
                 if found:
                     whole = xxhash.xxh3_128_intdigest(b" ".join(found))
-                    keys = shingles(found, SHINGLE)
                     ids.append(doc_id)
                     h1.append((whole >> 64) - (1 << 63))
                     h2.append((whole & ((1 << 64) - 1)) - (1 << 63))
-                    ns.append(len(keys))
-                    sigs.append(sketch(keys).view(np.int64))
-            flat = pa.ListArray.from_arrays(pa.array(range(0, BANDS * len(sigs) + 1, BANDS), pa.int32()), pa.array(np.concatenate(sigs) if sigs else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(ns, pa.int32()), flat], ["doc_id", "h1", "h2", "n", "sig"])
+                    ns.append(len(found))
+                    profiles.append(profile(shingles(found, 1)))
+                    sigs.append(sketched(found).view(np.int64))
+            ends = np.cumsum([0, *map(len, sigs)])
+            flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs) if sigs else [], pa.int64()))
+            arrays = [pa.array(ids, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(ns, pa.int32()), pa.array(profiles, pa.binary()), flat]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "h1", "h2", "n", "profile", "sig"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, schema)
 
 
+def _chosen(batch, keep):
+    """The pairs (a, b) of a batch for which `keep` is true."""
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+
+def possible(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The pairs (a, b) that profiles (node, n, profile) don't rule out."""
+    side = lambda x: profiles.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("profile").alias(f"p_{x}"))
+
+    def work(batches):
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("n_a", "p_a", "n_b", "p_b"))
+            yield _chosen(batch, [may_match(*row) for row in zip(*columns, strict=True)])
+
+    joined = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
+    return joined.select("a", "n_a", "p_a", "b", "n_b", "p_b").mapInArrow(work, "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts (node, text) match."""
+    """The pairs (a, b) whose texts (node, text) match. Pairs without a text on either side don't; repeated pairs come out
+    as often as they came in."""
     side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
 
     def work(batches):
-        import pyarrow as pa
+        held: dict[bytes, object] = {}
 
-        held: dict[int, object] = {}
-
-        def of(node, text):
-            if node not in held:
+        def of(text):
+            if text not in held:
                 if len(held) >= 64:
                     held.clear()
-                held[node] = shingles(words(text), SHINGLE)
-            return held[node]
+                held[text] = shingles(words(text), 1)
+            return held[text]
 
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            both = zip(a, text_bytes(batch.column("text_a")), b, text_bytes(batch.column("text_b")), strict=True)
-            keep = [alike(of(u, x), of(v, y)) for u, x, v, y in both]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(a, keep, strict=True) if k], pa.int64()), pa.array([x for x, k in zip(b, keep, strict=True) if k], pa.int64())], ["a", "b"])
+            both = zip(text_bytes(batch.column("text_a")), text_bytes(batch.column("text_b")), strict=True)
+            yield _chosen(batch, [alike(of(x), of(y)) for x, y in both])
 
     joined = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
     return joined.select("a", "text_a", "b", "text_b").mapInArrow(work, "a long, b long")
 
 
-def text_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts (node, text) of the nodes in `ids` (node), one row a node."""
-    return texts.join(ids.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+def of_nodes(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts (node, text) of the nodes in `ids` (node)."""
+    return texts.join(ids.select("node").distinct(), "node", "left_semi")
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
 
 
-def measured(open_texts: DataFrame) -> DataFrame:
-    """(node, root, n, usable, profile) of open texts (node, root, text): usable counts the shingles that occur in
-    another class's open texts."""
-
-    def explode(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            for node, root, text in zip(batch.column("node").to_pylist(), batch.column("root").to_pylist(), text_bytes(batch.column("text")), strict=True):
-                keys, times = np.unique(shingles(words(text), SHINGLE), return_counts=True)
-                same = lambda x, n=len(keys): pa.array(np.full(n, x, np.int64))
-                yield pa.RecordBatch.from_arrays([same(node), same(root), pa.array(keys.view(np.int64)), pa.array(times.astype(np.int64))], ["node", "root", "shingle", "times"])
-
-    def profile(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            ns, bins = [], []
-            for text in text_bytes(batch.column("text")):
-                keys = shingles(words(text), SHINGLE)
-                ns.append(len(keys))
-                bins.append(np.bincount((keys % np.uint64(PROFILE)).astype(np.int64), minlength=PROFILE).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), pa.array(ns, pa.int32()), pa.array(bins, pa.binary())], ["node", "root", "n", "profile"])
-
-    rows = persisted(open_texts.mapInArrow(explode, "node long, root long, shingle long, times long"), "shingles")
-    shared = persisted(rows.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("shingle"), "shared")
-    usable = rows.join(shared, "shingle").groupBy("node").agg(F.sum("times").alias("usable"))
-    return open_texts.mapInArrow(profile, "node long, root long, n int, profile binary").join(usable, "node")
-
-
-def across_classes(blocks: DataFrame) -> DataFrame:
-    """Pairs (a, b) that may match, from rows (band, i, j, half, node, root, n, usable, profile) sorted by (band, i, j) in
-    each partition, where a group holds the blocks i and j of a band: half 0 and 1, or 0 alone if they are the same."""
+def neighbours(texts: DataFrame) -> DataFrame:
+    """(node, root, said, n, gram) for each labelled pair of neighbouring words of texts (node, root, text); `said` tells texts
+    of a node apart."""
 
     def work(batches):
         import numpy as np
         import pyarrow as pa
+        import xxhash
 
-        p, q = SIMILARITY
-        names = ("node", "root", "n", "usable")
-
-        def compare(group):
-            if len(group) < 2:
-                return None
-            node, root, n, usable = (np.array([r[k] for r in group], np.int64) for k in range(4))
-            bins = np.frombuffer(b"".join(r[4] for r in group), np.uint32).reshape(len(group), PROFILE)
-            half = np.array([r[5] for r in group])
-            ok = (root[:, None] != root[None, :]) & ((p + q) * np.minimum(usable[:, None], usable[None, :]) >= p * (n[:, None] + n[None, :]))
-            ok &= half[:, None] != half[None, :] if half.any() else node[:, None] < node[None, :]
-            ok &= node[:, None] < node[None, :] if not half.any() else (half[:, None] == 0)
-            out = []
-            for x in np.flatnonzero(ok.any(axis=1)):
-                ys = np.flatnonzero(ok[x])
-                most = np.minimum(bins[x], bins[ys]).sum(axis=1, dtype=np.int64)
-                out += [(int(node[x]), int(node[y])) for y in ys[(p + q) * most >= p * (n[x] + n[ys])]]
-            if out:
-                return pa.RecordBatch.from_arrays([pa.array([min(o) for o in out], pa.int64()), pa.array([max(o) for o in out], pa.int64())], ["a", "b"])
-            return None
-
-        now, group = None, []
         for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j")), strict=True)
-            rows = zip(*(batch.column(c).to_pylist() for c in (*names, "profile", "half")), strict=True)
-            for key, row in zip(keys, rows, strict=True):
-                if key != now:
-                    if (found := compare(group)) is not None:
-                        yield found
-                    now, group = key, []
-                group.append(row)
-        if (found := compare(group)) is not None:
-            yield found
+            for node, root, text in zip(batch.column("node").to_pylist(), batch.column("root").to_pylist(), text_bytes(batch.column("text")), strict=True):
+                found = words(text)
+                grams = labelled(shingles(found, 2)).view(np.int64)
+                same = lambda x, n=len(grams): pa.array(np.full(n, x, np.int64))
+                yield pa.RecordBatch.from_arrays([same(node), same(root), same(xxhash.xxh32_intdigest(text)), same(len(found)), pa.array(grams)], ["node", "root", "said", "n", "gram"])
 
-    return blocks.mapInArrow(work, "a long, b long").distinct()
+    return texts.mapInArrow(work, "node long, root long, said long, n long, gram long")
 
 
 def remaining_pairs(members: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of members (band, node) of one bucket in different classes that may still match."""
-
-    def mixed(rows: DataFrame) -> DataFrame:
-        ends = rows.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-        return rows.join(ends, "band")
-
+    """Pairs (a, b) of nodes in buckets (band, node) of several classes that differ in class and may still match."""
     placed = members.select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = persisted(mixed(placed), "mixed")
-    ids = placed.select("node", "root").distinct()
-    open_texts = persisted(text_of(texts, ids).join(ids, "node"), "open_texts")
+    placed = persisted(placed, "placed")
+    mixed = persisted(placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band"), "mixed")
+    ids = persisted(placed.join(mixed, "band").select("node", "root").distinct(), "open")
+    grams = persisted(neighbours(of_nodes(texts, ids).join(ids, "node")), "grams")
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    shared = grams.join(persisted(counts.select("gram", "often"), "shared"), "gram")
+    # Pairs of words that no other class has come first; of a text that has fewer shared ones than any near copy must
+    # share, nothing is left.
+    one = Window.partitionBy("node", "said")
+    usable = F.count(F.lit(1)).over(one)
+    nth = F.col("n") - 1 - F.col("usable") + F.row_number().over(one.orderBy("often", "gram"))
+    prefix = shared.withColumn("usable", usable).filter("usable >= ceil(0.6 * n) - 1").withColumn("nth", nth).filter("nth <= floor(0.4 * n) + 1")
+    prefix = persisted(prefix.select("gram", "node", "root", "n", (F.col("nth") <= F.floor(F.col("n") / 3) + 1).alias("first")), "prefixes")
     p, q = SIMILARITY
-    able = persisted(measured(open_texts).filter(q * F.col("usable") >= p * F.col("n")), "open")
-    still = mixed(placed.join(able.select("node"), "node"))
-    still = persisted(still.select("band", "node"), "still")
-    # Blocks by hash: sizes are summed before the shuffle, and no bucket is sorted in one task.
-    counts = persisted(still.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "block_counts")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    # A block meets itself, those after it as the first half and those before it as the second.
-    meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = still.join(counts, "band").select("band", "node", own.alias("own"), meets.alias("other"))
-    dealt = dealt.select("band", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("half"))
-    blocks = dealt.join(able, "node").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return across_classes(blocks)
+    x, y = prefix.filter("first").alias("x"), prefix.alias("y")
+    near = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
+    near &= (p * F.col("y.n") <= q * F.col("x.n")) & (F.col("x.root") != F.col("y.root"))
+    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & near)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -299,9 +304,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = persisted(bands.join(persisted(sizes, "buckets"), "band"), "members")
 
-    # All later steps read these texts alone, so all documents' texts are shuffled once, at any size in the same way.
+    # All later steps read these texts and profiles alone, so all documents' texts are shuffled once, at any size in the
+    # same way.
+    inside = members.select("node").distinct()
+    profiles = persisted(firsts.select("node", "n", "profile").join(inside, "node", "left_semi"), "profiles")
     every = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    texts = persisted(text_of(every.hint("merge"), members), "candidates")
+    texts = persisted(of_nodes(every.hint("merge"), members).distinct(), "candidates")
     busy = members.groupBy("node").agg(F.sum("size").alias("meets"))
     ranked = persisted(members.join(busy, "node"), "busy")
     chief = ranked.groupBy("band").agg(F.max(F.struct("meets", (-F.col("node")).alias("m"), "n")).alias("chief"))
@@ -310,18 +318,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     other = (-F.col("chief.m")).alias("other")
     asked = ranked.join(persisted(chief, "chiefs"), "band").filter(near).select("node", other).filter("node <> other")
     asked = persisted(asked.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
-    links = persisted(verified(asked, text_of(texts, ends_of(asked))), "links")
+    able = persisted(possible(asked, profiles), "possible")
+    links = persisted(verified(able, of_nodes(texts, ends_of(able))), "links")
     roots = persisted(components(links), "roots")
 
     rest = persisted(remaining_pairs(members, roots, texts).join(asked, ["a", "b"], "left_anti"), "pairs")
-    more = persisted(verified(rest, text_of(texts, ends_of(rest))), "links")
+    able = persisted(possible(rest, profiles), "possible")
+    more = persisted(verified(able, of_nodes(texts, ends_of(able))), "links")
     classes = persisted(components(links.union(more).union(same)), "classes")
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each class: that of the least doc_id, in one row. Rows with a null doc_id stay."""
+    """`docs` with one document of each class: that of the least doc_id, in one row. Of rows that share this doc_id the one
+    of the least text stays (a null one last), then that of the least hash of its columns. Rows with a null doc_id stay."""
     firsts = near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).union(docs.filter("doc_id IS NULL"))
+    named = docs.filter("doc_id IS NOT NULL").join(firsts, "doc_id", "left_semi").select(docs.columns)
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind]
+    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*hashed))
+    named = named.withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").drop("__nth")
+    return named.union(docs.filter("doc_id IS NULL"))

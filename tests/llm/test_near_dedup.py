@@ -1,7 +1,9 @@
 """Operator 7, against all pairs."""
 
+import difflib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -20,9 +22,14 @@ def longest_common(a, b):
     return row[-1]
 
 
-def runs(text):
-    w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").lower())
-    return [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+def said(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").lower())
+
+
+def similar(a, b):
+    """Whether two lists of words are near copies, by the whole matrix; quick bounds first."""
+    bound = lambda m: 5 * m >= 4 * (len(a) + len(b) - m)
+    return bound((Counter(a) & Counter(b)).total()) and bound(longest_common(a, b))
 
 
 def brute(docs):
@@ -34,14 +41,12 @@ def brute(docs):
             x = parent[x]
         return x
 
-    said = [(d, runs(t)) for d, t in docs if runs(t)]
-    for k, (d, a) in enumerate(said):
-        for e, b in said[:k]:
-            if min(len(a), len(b)) * 5 >= 4 * max(len(a), len(b)):
-                m = longest_common(a, b)
-                if 5 * m >= 4 * (len(a) + len(b) - m):
-                    x, y = sorted((root(d), root(e)))
-                    parent[y] = x
+    texts = [(d, said(t)) for d, t in docs if said(t)]
+    for k, (d, a) in enumerate(texts):
+        for e, b in texts[:k]:
+            if similar(a, b):
+                x, y = sorted((root(d), root(e)))
+                parent[y] = x
     return {d: root(d) for d, _ in docs}
 
 
@@ -82,9 +87,7 @@ def families(seed=5):
     return list(enumerate(docs, 1))
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_families(spark, monkeypatch, block):
-    monkeypatch.setattr(nd, "BLOCK", block)
+def test_families(spark):
     docs = families()
     got = {r.doc_id: r.class_id for r in nd.near_duplicates(spark.createDataFrame([(d, t, "x") for d, t in docs], DOCS)).collect()}
     want = brute(docs)
@@ -92,6 +95,63 @@ def test_families(spark, monkeypatch, block):
     assert got == want
 
 
+def test_real_near_copies(spark, tiny):
+    """Against word-level ratios of another algorithm, over all pairs."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").collect()
+    texts = [(r.doc_id, said(r.text)) for r in docs if said(r.text)]
+    pairs = []
+    for k, (d, a) in enumerate(texts):
+        for e, b in texts[:k]:
+            n = len(a) + len(b)
+            if a != b and 18 * (Counter(a) & Counter(b)).total() >= 16 * n / 2 and difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() >= 8 / 9:
+                pairs.append((d, e))
+    assert len(pairs) >= 5
+    got = {r.doc_id: r.class_id for r in nd.near_duplicates(spark.read.parquet(f"{tiny}/documents.parquet")).collect()}
+    assert sum(got[d] == got[e] for d, e in pairs) >= 0.95 * len(pairs)
+
+
+def test_short_and_spoiled_texts_meet():
+    """Shares of pairs with a common band: short texts with one word changed, long ones with changes at random places."""
+    rng = random.Random(4)
+    word = lambda: b"%d" % rng.randrange(10**6)
+
+    def share(n, changes, tries=150):
+        met = 0
+        for _ in range(tries):
+            a = [word() for _ in range(n)]
+            b = list(a)
+            for at in rng.sample(range(n), changes):
+                b[at] = word()
+            met += bool(set(nd.sketched(a).tolist()) & set(nd.sketched(b).tolist()))
+        return met / tries
+
+    assert share(9, 1) > 0.97 and share(10, 1) > 0.97 and share(20, 2) > 0.97 and share(38, 4) > 0.97
+    assert share(45, 4) > 0.85 and share(150, 9) > 0.95 and share(150, 16) > 0.85
+
+
+def test_profiles_bound_the_matches():
+    rng = random.Random(9)
+    for _ in range(300):
+        pool = [b"%d" % rng.randrange(10**6) for _ in range(rng.choice([5, 60, 900]))]
+        a = [rng.choice(pool) for _ in range(rng.randint(1, 400))]
+        b = [rng.choice(pool) if rng.random() < 0.1 else w for w in a][: rng.randint(1, 400)]
+        x, y = nd.shingles(a, 1), nd.shingles(b, 1)
+        if (Counter(a) & Counter(b)).total() >= nd.enough(len(a), len(b)):
+            assert nd.may_match(len(a), nd.profile(x), len(b), nd.profile(y))
+    many = nd.shingles([b"a"] * 70_000, 1)
+    assert nd.profile(many) == b"" and nd.may_match(70_000, b"", 70_000, b"")
+
+
+def test_a_document_with_two_texts(spark):
+    rng = random.Random(8)
+    one, two = ([f"w{rng.randrange(9999)}" for _ in range(60)] for _ in range(2))
+    near = lambda t: " ".join([*t[:30], "new", *t[31:]])
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, near(one)), (3, near(two)), (4, "other words")]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], DOCS)
+    assert {r.doc_id: r.class_id for r in nd.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert sorted((r.doc_id, r.text) for r in nd.keep_one(docs).collect()) == [(1, min(" ".join(one), " ".join(two))), (4, "other words")]
+
+
 def test_edges(spark, edges, nothing):
     extra = spark.createDataFrame([(None, "a b c d", "en", "s", 7), (20, "A, B; c d", "en", "s", 9), (21, "a b c d", "en", "s", 7), (21, "quite another text of some words", "en", "s", 3), (22, "Quite another text of some words!", "en", "s", 3)], edges.schema)
     got = nd.near_duplicates(edges.union(extra))
