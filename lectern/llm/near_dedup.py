@@ -17,6 +17,8 @@ nodes to classes. What is left are buckets with members in different classes, mo
 members are joined by prefix: near copies share at least (n1 + n2) / 3 - 1 pairs of neighbouring words, so with pairs
 ordered by rarity among those members, the first third of the shorter text's and the first two fifths of the longer one's
 must have one in common. A common passage's pairs are the most frequent and come last, so texts meet by what is their own.
+Texts of which a common passage is so much that it reaches into that part are joined by their rarest words in the same way,
+of which the first ninth and the first fifth do; so they meet by their own words unless they are hardly more than a passage.
 
 Before texts are fetched, counts of words by hash value bound m from above. All these bounds are exact, so no candidate is
 lost and no bucket is cut off; pairs inside a class need no comparison.
@@ -37,8 +39,10 @@ from lectern.llm.words import labelled, mix, shingles, words
 SHINGLE, BANDS, KEEP = 5, 48, 3
 SHORT, SHORT_SHINGLE, SHORT_KEEP = 40, 2, 2
 SIMILARITY = (4, 5)
-#: Bins of words' counts: about a quarter as many as words, between these.
+#: Bins of words' counts: about half as many as words, between these.
 LEAST_BINS, MOST_BINS = 16, 4096
+#: Pairs of words that more open texts have don't make texts meet by themselves.
+COMMON = 32
 #: Numbers held at once while one text is sketched.
 SKETCH_CELLS = 1 << 16
 
@@ -83,12 +87,17 @@ def sketched(found: list[bytes]):
 
 
 def profile(keys) -> bytes:
-    """Counts of words by hash value, as unsigned 16-bit numbers; none where a count is larger."""
+    """Counts of words by hash value, in one byte each if they fit, in two otherwise; none where a count is larger."""
     import numpy as np
 
-    bins = min(MOST_BINS, max(LEAST_BINS, 1 << (max(1, len(keys) // 4) - 1).bit_length()))
+    bins = bins_for(len(keys))
     counts = np.bincount((keys & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
-    return counts.astype(np.uint16).tobytes() if counts.max() < 1 << 16 else b""
+    most = counts.max()
+    return counts.astype(np.uint8 if most < 1 << 8 else np.uint16).tobytes() if most < 1 << 16 else b""
+
+
+def bins_for(n: int) -> int:
+    return min(MOST_BINS, max(LEAST_BINS, 1 << (max(1, n // 2) - 1).bit_length()))
 
 
 def may_match(n1: int, one: bytes, n2: int, two: bytes) -> bool:
@@ -100,7 +109,7 @@ def may_match(n1: int, one: bytes, n2: int, two: bytes) -> bool:
         return False
     if not one or not two:
         return True
-    x, y = np.frombuffer(one, np.uint16), np.frombuffer(two, np.uint16)
+    x, y = (np.frombuffer(p, np.uint8 if len(p) == bins_for(n) else np.uint16) for n, p in ((n1, one), (n2, two)))
     if len(x) != len(y):
         bins = min(len(x), len(y))
         x, y = (v.reshape(-1, bins).sum(axis=0, dtype=np.int64) for v in (x, y))
@@ -247,9 +256,9 @@ def ends_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
 
 
-def neighbours(texts: DataFrame) -> DataFrame:
-    """(node, root, said, n, gram) for each labelled pair of neighbouring words of texts (node, root, text); `said` tells texts
-    of a node apart."""
+def runs_of(texts: DataFrame, words_together: int) -> DataFrame:
+    """(node, root, said, n, key, keys) for each labelled run of so many words of texts (node, root, text): n counts words,
+    keys runs, and `said` tells texts of a node apart."""
 
     def work(batches):
         import numpy as np
@@ -259,35 +268,55 @@ def neighbours(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for node, root, text in zip(batch.column("node").to_pylist(), batch.column("root").to_pylist(), text_bytes(batch.column("text")), strict=True):
                 found = words(text)
-                grams = labelled(shingles(found, 2)).view(np.int64)
-                same = lambda x, n=len(grams): pa.array(np.full(n, x, np.int64))
-                yield pa.RecordBatch.from_arrays([same(node), same(root), same(xxhash.xxh32_intdigest(text)), same(len(found)), pa.array(grams)], ["node", "root", "said", "n", "gram"])
+                keys = labelled(shingles(found, words_together)).view(np.int64)
+                same = lambda x, n=len(keys): pa.array(np.full(n, x, np.int64))
+                yield pa.RecordBatch.from_arrays([same(node), same(root), same(xxhash.xxh32_intdigest(text)), same(len(found)), pa.array(keys), same(len(keys))], ["node", "root", "said", "n", "key", "keys"])
+
+    return texts.mapInArrow(work, "node long, root long, said long, n long, key long, keys long")
+
+
+def prefixes(rows: DataFrame, shorter: str, longer: str, least: str) -> DataFrame:
+    """(key, often, node, root, n, left, first) of the rarest keys of each text of `rows`, so many as two matching texts need to
+    have one in common: `longer` for the longer one, and `first` tells whether a key is among the `shorter` of the shorter
+    one; `left` counts it and those after it. A text with fewer than `least` keys that other classes have matches nothing."""
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    shared = rows.join(persisted(counts.select("key", "often"), "shared"), "key")
+    one = Window.partitionBy("node", "said")
+    # Keys that no other class has come first.
+    usable, nth = F.count(F.lit(1)).over(one), F.expr("keys - usable") + F.row_number().over(one.orderBy("often", "key"))
+    rarest = shared.withColumn("usable", usable).filter(f"usable >= {least}").withColumn("nth", nth).filter(f"nth <= {longer}")
+    return persisted(rarest.select("key", "often", "node", "root", "n", F.expr("keys - nth + 1 AS left"), F.expr(f"nth <= {shorter}").alias("first")), "prefixes")
+
 
-    return texts.mapInArrow(work, "node long, root long, said long, n long, gram long")
+def meeting(prefix: DataFrame, together: str) -> DataFrame:
+    """Pairs (a, b) of different classes and near lengths with a key in common after which either has enough keys left, if
+    matching texts x and y share so many keys as `together` says. The first key that they share is one such."""
+    p, q = SIMILARITY
+    x, y = prefix.filter("first").alias("x"), prefix.alias("y")
+    near = F.expr(f"(x.n < y.n OR x.n = y.n AND x.node < y.node) AND {p} * y.n <= {q} * x.n AND x.root <> y.root AND least(x.left, y.left) >= {together}")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & near)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def remaining_pairs(members: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes in buckets (band, node) of several classes that differ in class and may still match."""
+    """Pairs (a, b) of nodes in buckets (band, node) of several classes that differ in class and may still match.
+
+    With m = p (n1 + n2) / (p + q) common words, n1 <= n2 and p n2 <= q n1, the prefixes follow from the numbers of words,
+    m, and of pairs of neighbours, 3 m - n1 - n2 - 1, that both must share."""
     placed = members.select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = persisted(placed, "placed")
     mixed = persisted(placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band"), "mixed")
     ids = persisted(placed.join(mixed, "band").select("node", "root").distinct(), "open")
-    grams = persisted(neighbours(of_nodes(texts, ids).join(ids, "node")), "grams")
-    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-    shared = grams.join(persisted(counts.select("gram", "often"), "shared"), "gram")
-    # Pairs of words that no other class has come first; of a text that has fewer shared ones than any near copy must
-    # share, nothing is left.
-    one = Window.partitionBy("node", "said")
-    usable = F.count(F.lit(1)).over(one)
-    nth = F.col("n") - 1 - F.col("usable") + F.row_number().over(one.orderBy("often", "gram"))
-    prefix = shared.withColumn("usable", usable).filter("usable >= ceil(0.6 * n) - 1").withColumn("nth", nth).filter("nth <= floor(0.4 * n) + 1")
-    prefix = persisted(prefix.select("gram", "node", "root", "n", (F.col("nth") <= F.floor(F.col("n") / 3) + 1).alias("first")), "prefixes")
+    own = persisted(of_nodes(texts, ids).join(ids, "node"), "open_texts")
     p, q = SIMILARITY
-    x, y = prefix.filter("first").alias("x"), prefix.alias("y")
-    near = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
-    near &= (p * F.col("y.n") <= q * F.col("x.n")) & (F.col("x.root") != F.col("y.root"))
-    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & near)
-    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    grams = persisted(runs_of(own, 2), "grams")
+    prefix = prefixes(grams, f"n - ceil({2 * (2 * p - q)} * n / {p + q}) + 1", f"n - ceil({2 * p - q} * n / {q}) + 1", f"ceil({2 * p - q} * n / {q}) - 1")
+    # Texts that are common passages for the most part would all meet at them. These meet by their rarest words as well.
+    crowd = persisted(prefix.filter(F.col("often") > COMMON).select("node").distinct(), "crowd")
+    single = persisted(runs_of(of_nodes(own, crowd), 1), "words")
+    rare = prefixes(single, f"n - ceil({2 * p} * n / {p + q}) + 1", f"n - ceil({p} * n / {q}) + 1", f"ceil({p} * n / {q})")
+    grams_needed, words_needed = f"{2 * p - q} * (x.n + y.n) / {p + q} - 1", f"{p} * (x.n + y.n) / {p + q}"
+    return meeting(prefix.filter(F.col("often") <= COMMON), grams_needed).union(meeting(rare, words_needed)).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
