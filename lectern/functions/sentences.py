@@ -79,7 +79,8 @@ def uax29(text: str) -> list[str]:
             "at": regex.compile(r"\p{SB=AT}"),
             "number": regex.compile(r"\p{SB=NU}"),
             "upper": regex.compile(r"\p{SB=UP}"),
-            "cased_before": regex.compile(rf"[\p{{SB=UP}}\p{{SB=LO}}]{_IGNORED}\Z"),
+            "cased": regex.compile(r"[\p{SB=UP}\p{SB=LO}]"),
+            "ignored": regex.compile(r"[\p{SB=EX}\p{SB=FO}]"),
             "lower_ahead": regex.compile(rf"(?:[^\p{{SB=LE}}\p{{SB=UP}}\p{{SB=LO}}\p{{SB=SE}}\r\n\p{{SB=ST}}\p{{SB=AT}}])*\p{{SB=LO}}"),
             "goes_on": regex.compile(r"[\p{SB=SC}\p{SB=ST}\p{SB=AT}]"),
         }
@@ -93,7 +94,7 @@ def uax29(text: str) -> list[str]:
             bare = not m["close"] and not m["space"]
             if full and bare and r["number"].match(text, end):  # SB6
                 continue
-            if full and bare and r["upper"].match(text, end) and r["cased_before"].search(text[start : m.start()]):  # SB7
+            if full and bare and r["upper"].match(text, end) and _cased_before(text, start, m.start()):  # SB7
                 continue
             if full and r["lower_ahead"].match(text, end):  # SB8
                 continue
@@ -109,6 +110,14 @@ def uax29(text: str) -> list[str]:
 _RULES: dict | None = None
 
 
+def _cased_before(text: str, start: int, at: int) -> bool:
+    """Whether the last character from `start` up to `at`, of those that count, is a letter with case."""
+    at -= 1
+    while at >= start and _RULES["ignored"].match(text, at):
+        at -= 1
+    return at >= start and bool(_RULES["cased"].match(text, at))
+
+
 def uax29_sentences(text: Column) -> Column:
     """Trimmed Unicode sentences of the trimmed text, repaired after abbreviations; in Arrow batches."""
     return rejoin_abbreviations(_uax29_batches()(text))

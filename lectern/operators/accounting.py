@@ -7,6 +7,9 @@ one cache is the whole table, running totals are taken in ranges that are summed
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,9 +45,13 @@ def cache_key(text: Column, voice_id: Column, model: Column, speed: Column | flo
 
 
 def hits_and_misses(log: DataFrame, key: str, order: list[str], by: tuple[str, ...] = ()) -> DataFrame:
-    """`log` with hit: a request is a miss the first time its key is seen in its cache."""
-    seen = Window.partitionBy(*by, key).orderBy(*order)
-    return log.withColumn("hit", F.row_number().over(seen) > 1)
+    """`log` with hit: a request is a miss the first time its key is seen in its cache. `order` tells rows apart; rows that
+    tie for the first are all misses. A null key is a key. The first of a key is found before anything is shuffled, so a
+    key of most rows is no single task's."""
+    keys = [*by, key]
+    firsts = log.groupBy(*[F.col(c).alias(f"__{c}") for c in keys]).agg(F.min(F.struct(*order)).alias("__first"))
+    same = functools.reduce(operator.and_, [log[c].eqNullSafe(firsts[f"__{c}"]) for c in keys])
+    return log.join(firsts, same).withColumn("hit", F.struct(*order) > F.col("__first")).drop("__first", *[f"__{c}" for c in keys])
 
 
 def against_cache(requests: DataFrame, cache: DataFrame) -> DataFrame:

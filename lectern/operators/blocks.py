@@ -71,12 +71,6 @@ def inside(test: Column, strictly_before: bool = True) -> Column:
     return F.coalesce(F.max(F.when(test, F.col("end"))).over(frame), F.lit(0)) > F.col("seq")
 
 
-def nearest(test: Column, name: str) -> Column:
-    """Number of the innermost node with the property whose subtree holds this one, by its ancestors."""
-    marked = F.collect_list(F.when(test, F.col("seq"))).over(_order().rowsBetween(Window.unboundedPreceding, 0))
-    return F.array_max(F.array_intersect(marked, F.col("path"))).alias(name)
-
-
 def subtree_sums(rows: DataFrame, by: tuple[str, ...] = BY, **sums: Column) -> DataFrame:
     """Sums over the nodes below each element, without itself: (by, seq, names)."""
     wanted = rows.select(*by, "seq", "path", *[v.alias(k) for k, v in sums.items()])
@@ -133,7 +127,8 @@ def blocks_from(nodes: DataFrame, containers: DataFrame) -> DataFrame:
     rows = rows.withColumn("own", last_head).withColumn("at", F.when(F.col("own.end") > F.col("seq"), F.col("own.seq")))
     rows = rows.filter("at IS NOT NULL").withColumn("live", alive_text)
     rows = rows.withColumns({"in_caption": inside(F.col("tag") == "figcaption"), "in_annotation": inside(F.coalesce(F.col("tag").isin("annotation", "annotation-xml"), F.lit(False)))})
-    rows = rows.withColumns({"row": nearest(F.col("tag") == "tr", "row"), "cell": nearest(F.coalesce(F.col("tag").isin("td", "th"), F.lit(False)), "cell")})
+    inner = lambda c: F.when(F.col(c) >= F.col("at"), F.col(c))
+    rows = rows.withColumns({"row": inner("in_row"), "cell": inner("in_cell")})
 
     piece = F.struct("seq", "text")
     joined = lambda test: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(test, piece))), lambda p: p["text"]), "")
@@ -229,4 +224,4 @@ def gathered(blocks: DataFrame) -> DataFrame:
     return whole.select(*BY, numbered(without_restated(F.col("blocks").cast(f"array<{BLOCK.simpleString()}>"))).alias("blocks"))
 
 
-__all__ = ["any_of", "blocks_from", "gathered", "hidden", "inside", "kind_of", "nearest", "numbered", "subtree_sums", "with_stamps", "without_restated"]
+__all__ = ["any_of", "blocks_from", "gathered", "hidden", "inside", "kind_of", "numbered", "subtree_sums", "with_stamps", "without_restated"]

@@ -28,7 +28,7 @@ ENDS = {
     "th": (("td", "th"), ("tr", "table")),
     "option": (("option",), ("select",)),
 }
-NODE_SCHEMA = "page_id long, seq int, end int, path array<int>, is_text boolean, tag string, attrs map<string,string>, text string"
+NODE_SCHEMA = "page_id long, seq int, end int, path array<int>, is_text boolean, tag string, attrs map<string,string>, text string, in_row int, in_cell int"
 
 
 class _Rows(HTMLParser):
@@ -95,6 +95,15 @@ class _Rows(HTMLParser):
             self._text(data, TEXT)
 
 
+def _innermost(rows: list[list], tags: tuple[str, ...]) -> list[int | None]:
+    """For each row, the number of the innermost element with one of these tags that it is in or is."""
+    out: list[int | None] = []
+    for k, (_, path, is_text, tag, _, _) in enumerate(rows):
+        above = path if is_text else path[:-1]
+        out.append(k if not is_text and tag in tags else out[above[-1]] if above else None)
+    return out
+
+
 def nodes(pages: DataFrame) -> DataFrame:
     """NODE_SCHEMA rows of `pages` (page_id, html). Markup that can't be read gives no rows."""
 
@@ -108,11 +117,13 @@ def nodes(pages: DataFrame) -> DataFrame:
                 except (AssertionError, ValueError):
                     rows = []
                 cols = [*zip(*rows, strict=True)] or [[] for _ in range(6)]
+                places = [_innermost(rows, tags) for tags in (("tr",), ("td", "th"))]
                 kinds = [pa.int32(), pa.list_(pa.int32()), pa.bool_(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
                 maps = [None if m is None else [*m.items()] for m in cols[4]]
                 arrays = [pa.array(c, k) for c, k in zip((*cols[:4], maps, cols[5]), kinds, strict=True)]
                 head = [pa.array([page_id] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int32())]
-                yield pa.RecordBatch.from_arrays([*head, *arrays], ["page_id", "seq", "end", "path", "is_text", "tag", "attrs", "text"])
+                arrays += [pa.array(p, pa.int32()) for p in places]
+                yield pa.RecordBatch.from_arrays([*head, *arrays], ["page_id", "seq", "end", "path", "is_text", "tag", "attrs", "text", "in_row", "in_cell"])
 
     return pages.select("page_id", "html").mapInArrow(work, NODE_SCHEMA)
 

@@ -178,19 +178,19 @@ def page_stats(spark, sf_dir):
 
 
 @query(
-    f"""SELECT doc_id AS page_id, CAST(len(list_filter([{_collapse_sql("coalesce(text, '') || ' ' || lang")}, {_collapse_sql("source")}], lambda t: t <> '')) AS INTEGER) AS paragraphs, 'a b.pdf' AS title FROM documents"""
+    f"""SELECT doc_id AS page_id, CAST(len(list_filter([{_collapse_sql("coalesce(text, '') || ' ' || lang")}, {_collapse_sql("source")}], lambda t: t <> '')) AS INTEGER) AS paragraphs, array_to_string(list_filter([{_collapse_sql("coalesce(text, '') || ' ' || lang")}, {_collapse_sql("source")}], lambda t: t <> ''), '|') AS said, 'a b.pdf' AS title FROM documents"""
 )
 def pdf_items(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     items = F.array(F.array(F.coalesce("text", F.lit("")), F.col("lang")), F.array("source"), F.array(F.lit("  ")))
     out = from_pdf(docs.select(F.col("doc_id").alias("page_id"), F.lit("https://x.example/d/a%20b.pdf?v=1").alias("url"), items.alias("page_items")))
-    return out.select("page_id", F.size("blocks").alias("paragraphs"), "title")
+    return out.select("page_id", F.size("blocks").alias("paragraphs"), F.array_join("blocks.text", "|").alias("said"), "title")
 
 
-@query(f"SELECT conv_id * 1000 + turn AS page_id, length({_collapse_sql('text')}) > 20 AS ok FROM conversations")
+@query(f"SELECT conv_id * 1000 + turn AS page_id, length({_collapse_sql('text')}) > 20 AS ok, CASE WHEN length({_collapse_sql('text')}) > 20 THEN {_collapse_sql('text')} ELSE '' END AS said FROM conversations")
 def selections(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
-    return from_selection(turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"), F.lit("https://x.example/").alias("url"), F.col("text").alias("selection"))).select("page_id", "ok")
+    return from_selection(turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("page_id"), F.lit("https://x.example/").alias("url"), F.col("text").alias("selection"))).select("page_id", "ok", F.array_join("blocks.text", "|").alias("said"))
 
 
 # --- accounting --------------------------------------------------------------------------------------------------------
@@ -306,3 +306,134 @@ def voices_merged(spark, sf_dir):
 @query("SELECT o_orderkey, (o_orderkey % 700) = 429 OR (o_orderkey % 700) BETWEEN 500 AND 599 AS retry FROM orders")
 def retryable(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", A.retryable(F.col("o_orderkey") % 700).alias("retry"))
+
+
+# --- more of the cache, the player and the labels --------------------------------------------------------------------
+
+
+@query(f"SELECT key, greatest(created_at, free) AS last_used, bytes FROM ({_CACHE}) LEFT JOIN (SELECT key, max(ts) AS free FROM ({_LOG}) WHERE model = 'free' AND event_id % 2 = 0 GROUP BY key) USING (key)")
+def cache_touched(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    cache = _cache(log).select("key", F.col("created_at").alias("last_used"), "bytes")
+    return A.touched(cache, log.filter("model = 'free' AND event_id % 2 = 0").select("key", F.col("ts").alias("at")))
+
+
+@query(f"SELECT event_id, key FROM ({_LOG}) WHERE key IN (SELECT key FROM ({_CACHE}) WHERE bytes > 500)")
+def cache_has(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    return A.has(log, _cache(log).filter("bytes > 500")).select("event_id", "key")
+
+
+@query(
+    f"""WITH c AS ({_CACHE}), old AS (SELECT key FROM (SELECT *, sum(bytes) OVER (ORDER BY last_used, key ROWS UNBOUNDED PRECEDING) AS cum, sum(bytes) OVER () AS total FROM c) WHERE total - (cum - bytes) > 50000)
+    SELECT key, bytes FROM c WHERE key NOT IN (SELECT key FROM old) UNION ALL SELECT 'new:' || key, bytes FROM c WHERE bytes < 300"""
+)
+def cache_put_over_quota(spark, sf_dir):
+    """Stores new keys into a full cache, which makes room first."""
+    cache = _cache(_log(spark, sf_dir))
+    rows = cache.filter("bytes < 300").withColumn("key", F.concat(F.lit("new:"), "key"))
+    return A.put_over_quota(cache, rows, 100_000).select("key", "bytes")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def in_flight(spark, sf_dir):
+    return A.in_flight(table(spark, sf_dir, "events").select("user_id", "event_type"), "user_id", "event_type")
+
+
+@query(
+    """SELECT o_orderkey, CASE s WHEN 401 THEN 'key' WHEN 402 THEN 'balance' WHEN 429 THEN 'rate' ELSE CASE WHEN s >= 500 AND s < 600 THEN 'server' ELSE 'other' END END AS hint
+    FROM (SELECT o_orderkey, o_orderkey % 700 AS s FROM orders)"""
+)
+def error_hints(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", A.error_hint(F.col("o_orderkey") % 700).alias("hint"))
+
+
+@query(
+    """SELECT CAST(s_suppkey AS VARCHAR) AS id, coalesce(CASE WHEN s_nationkey % 3 > 0 THEN s_name END, 'Untitled') AS title, coalesce(CASE WHEN s_nationkey % 2 = 0 THEN 'en,hi' END, '') AS languages,
+    coalesce(CASE WHEN s_nationkey % 4 > 0 THEN s_nationkey END, 0) AS likes, coalesce(CASE WHEN s_nationkey > 4 THEN s_name END, '') AS author, CASE WHEN s_nationkey % 2 = 0 THEN 'https://x.example/' || s_suppkey END AS sample FROM supplier"""
+)
+def voices_normalized(spark, sf_dir):
+    n, none = F.col("s_nationkey"), F.array().cast("array<string>")
+    raw = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("id"), F.when(n % 3 > 0, F.col("s_name")).alias("title"), F.when(n % 2 == 0, F.array(F.lit("en"), F.lit("hi"))).alias("languages"), none.alias("tags"),
+        F.when(n % 4 > 0, n).alias("likes"), F.lit(0).alias("tasks"), F.when(n > 4, F.col("s_name")).alias("author"), F.lit(None).cast("string").alias("description"),
+        F.concat(F.when(n % 2 == 0, "https://x.example/").otherwise("javascript:"), F.col("s_suppkey").cast("string")).alias("sample_url"),
+    )
+    return A.normalized_voices(raw).select("id", "title", F.array_join("languages", ",").alias("languages"), "likes", "author", A.safe_sample(F.col("sample_url")).alias("sample"))
+
+
+_RUNGS = ", ".join(map(str, X.SPEEDS))
+
+
+@query(
+    f"""WITH s AS (SELECT o_orderkey, (o_orderkey % 300) / 100.0 AS speed FROM orders), r AS (SELECT unnest([{_RUNGS}]::DOUBLE[]) AS rung, unnest(range(1, {len(X.SPEEDS)} + 1)) AS i),
+    l AS (SELECT list(rung ORDER BY i) AS rungs FROM r), a AS (SELECT o_orderkey, coalesce(min(i) FILTER (WHERE abs(rung - speed) < 0.001), min(i) FILTER (WHERE rung >= speed), {len(X.SPEEDS)}) AS i FROM s, r GROUP BY o_orderkey)
+    SELECT o_orderkey, rungs[least(greatest(i + 1, 1), {len(X.SPEEDS)})] AS faster, rungs[least(greatest(i - 1, 1), {len(X.SPEEDS)})] AS slower FROM a, l"""
+)
+def speeds(spark, sf_dir):
+    speed = (F.col("o_orderkey") % 300) / 100.0
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.nudge_speed(speed, 1).cast("double").alias("faster"), X.nudge_speed(speed, -1).cast("double").alias("slower"))
+
+
+@query(
+    f"""SELECT conv_id, turn, {_collapse_sql("text || ' pause ' || role")} AS shown, CASE role WHEN 'user' THEN 'quote' WHEN 'assistant' THEN 'plain' ELSE 'skipped' END AS class,
+    CASE WHEN n = 0 THEN '' WHEN floor(n / 60 + 0.5) < 1 THEN 'under a minute' ELSE CAST(CAST(floor(n / 60 + 0.5) AS BIGINT) AS VARCHAR) || ' min listen' END AS lasts
+    FROM (SELECT *, CAST(coalesce(length(text), 0) AS DOUBLE) AS n FROM conversations)"""
+)
+def displayed_turns(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    kind = F.when(F.col("role") == "user", "quote").when(F.col("role") == "assistant", "paragraph").otherwise("code")
+    marked = F.concat("text", F.lit(" [break] pause [long-break] "), "role")
+    return turns.select("conv_id", "turn", X.display_text(marked).alias("shown"), X.display_class(kind).alias("class"), X.duration_label(F.coalesce(F.char_length("text"), F.lit(0))).alias("lasts"))
+
+
+@query(
+    """SELECT o_orderkey, format('{:,}', b) || ' bytes · ' || CASE WHEN p = 0 THEN 'free model' WHEN b / 1e6 * p > 0 AND b / 1e6 * p < 0.01 THEN 'under a cent' ELSE '$' || printf('%.3f', b / 1e6 * p) END
+      || CASE WHEN r > 0 THEN ' · ' || r || ' reused' ELSE '' END AS cost,
+    CASE r WHEN 0 THEN 'Sentence ' || (i + 1) || ' of 40' WHEN 1 THEN 'Paused · ' || (i + 1) || ' of 40' WHEN 2 THEN 'Buffering audio…' ELSE '40 sentences ready' END AS status
+    FROM (SELECT o_orderkey, CAST(o_orderkey * 37 % 100000 AS BIGINT) AS b, CASE WHEN o_orderkey % 2 = 0 THEN 0.0 ELSE 15.0 END::DOUBLE AS p, o_orderkey % 4 AS r, o_orderkey % 40 AS i FROM orders)"""
+)
+def player_labels(spark, sf_dir):
+    n = F.col("o_orderkey")
+    status = F.element_at(F.array(*map(F.lit, ("playing", "paused", "buffering", "idle"))), (n % 4 + 1).cast("int"))
+    cost = X.cost_label((n * 37 % 100_000).cast("long"), F.when(n % 2 == 0, 0.0).otherwise(15.0), n % 4)
+    return table(spark, sf_dir, "orders").select("o_orderkey", cost.alias("cost"), X.status_label(status, n % 40, F.lit(40)).alias("status"))
+
+
+@query(
+    r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || chr(13) || chr(10) || chr(13) || 'end  ' || chr(10), '\r\n?', chr(10), 'g'), '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g') AS code,
+    coalesce(nullif(trim(CASE WHEN doc_id % 3 = 0 THEN ' ' WHEN doc_id % 3 = 1 THEN 'pt-BR' END), ''), nullif(lang, ''), 'en') AS first FROM documents"""
+)
+def cleaned_code(spark, sf_dir):
+    """Texts read as code, and the language that the first non-blank source names."""
+    source = F.when(F.col("doc_id") % 3 == 0, " ").when(F.col("doc_id") % 3 == 1, " pt-BR , en")
+    code = X.clean_code(F.concat("text", F.lit("\r\n\rend  \n")))
+    return table(spark, sf_dir, "documents").select("doc_id", code.alias("code"), X.detect_lang(source, F.col("lang")).alias("first"))
+
+
+@query(f"SELECT doc_id, instr({_collapse_sql('text')}, substr({_collapse_sql('substr(text, 30, 90)')}, 1, 40)) - 1 AS place FROM documents")
+def aligned_sentences(spark, sf_dir):
+    """Where a spoken part of a text stands in it."""
+    said = F.concat(F.lit("[long-break] "), F.substring("text", 30, 90), F.lit(" [break]"))
+    return _texts(spark, sf_dir).select("doc_id", X.align_sentence(F.col("text"), said).cast("long").alias("place"))
+
+
+@query(
+    """SELECT n_nationkey, 'Table with 2 rows. Row 1: Name, ' || n_name || CASE WHEN n_nationkey % 3 > 0 THEN '; Key, ' || n_nationkey ELSE '' END || '. Row 2: Name, x; Key, ' || n_regionkey || '; tail.' AS said,
+    'Table. ' || n_name AS plain FROM nation"""
+)
+def read_tables(spark, sf_dir):
+    """Tables read with each cell under its header, and without cells."""
+    key = F.col("n_nationkey").cast("string")
+    head, one = F.array(F.lit("Name"), F.lit("Key"), F.lit("")), F.array(F.concat(F.lit(" "), "n_name"), F.when(F.col("n_nationkey") % 3 > 0, key).otherwise(" "))
+    cells = F.array(head, one, F.array(F.lit("x"), F.col("n_regionkey").cast("string"), F.lit("tail ")))
+    return table(spark, sf_dir, "nation").select("n_nationkey", X.linearize_table(F.col("n_name"), cells).alias("said"), X.linearize_table(F.col("n_name"), F.lit(None).cast("array<array<string>>")).alias("plain"))
+
+
+@query(
+    f"""SELECT page_id, k, list_contains([{', '.join(repr(u) for u in X.UNREADABLE)}], start) AS blocked FROM pages, (SELECT unnest([{', '.join(repr(u) for u in X.UNREADABLE)}, 'https://x.example/', '']) AS start, unnest(range({len(X.UNREADABLE)} + 2)) AS k)"""
+)
+def blocked_addresses(spark, sf_dir):
+    """Every kind of address that is never read, and two that are."""
+    starts = F.array(*map(F.lit, (*X.UNREADABLE, "https://x.example/", "")))
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(starts).alias("k", "start")).select("page_id", F.col("k").cast("long").alias("k"), X.blocked_url(F.concat("start", F.col("page_id").cast("string"))).alias("blocked"))

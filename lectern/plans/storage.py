@@ -5,18 +5,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Where none is configured it is the warehouse's, and in a local session,
+    where there is one machine only, a temporary one."""
+    root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
+    if not root:
+        local = spark.sparkContext.master.startswith("local")
+        root = tempfile.mkdtemp(prefix="lectern-") if local else spark.conf.get("spark.sql.warehouse.dir")
+        spark.conf.set(CHECKPOINT_DIR, root)
+    return root.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder; callers own what they write there."""
+    return f"{shared_root(spark)}/lectern/{uuid.uuid4().hex}/{name}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of `df`, written once: later steps read the same rows however often they are computed again."""
     spark = df.sparkSession
-    root = spark.conf.get(CHECKPOINT_DIR, None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set(CHECKPOINT_DIR, root)
-    path = f"{root.rstrip('/')}/lectern/{uuid.uuid4().hex}/{name}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

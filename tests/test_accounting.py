@@ -101,3 +101,10 @@ def test_voices(spark):
 def test_statuses(spark):
     got = spark.createDataFrame([(401,), (429,), (500,), (599,), (600,)], "s int").select(A.retryable(F.col("s")).alias("r"), A.error_hint(F.col("s")).alias("h")).collect()
     assert [tuple(x) for x in got] == [(False, "key"), (True, "rate"), (True, "server"), (True, "server"), (False, "other")]
+
+
+def test_hits_with_null_keys_and_ties(spark):
+    log = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, None, "x"), (4, None, "x"), (5, "a", "y"), (1, "a", "x")], "n int, k string, c string")
+    got = sorted((r.n, r.k or "", r.c, r.hit) for r in A.hits_and_misses(log, "k", ["n"], ("c",)).collect())
+    assert got == [(1, "a", "x", False), (1, "a", "x", False), (2, "a", "x", True), (3, "", "x", False), (4, "", "x", True), (5, "a", "y", False)]
+    assert A.hits_and_misses(log.limit(0), "k", ["n"]).count() == 0
