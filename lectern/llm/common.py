@@ -2,39 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
+from lectern.plans.storage import shared_path, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only where none is configured (tests)."""
-    root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
-    if not root:
-        root = tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set(CHECKPOINT_DIR, root)
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder; callers own what they write there."""
-    return f"{shared_root(spark)}/lectern/{uuid.uuid4().hex}/{name}"
-
-
 def persisted(df: DataFrame, name: str) -> DataFrame:
-    """The rows of `df`, written once to the shared folder: lineage ends there and losing an executor costs nothing."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """The rows of `df`, written once to the shared folder: lineage ends there and losing an executor costs nothing. Repeated
+    rows stay, and a table without rows keeps its columns."""
+    return stored(df, name)
 
 
 def crc_of_id(doc_id: str | Column) -> Column:
@@ -48,3 +29,6 @@ def text_bytes(column) -> list[bytes]:
     import pyarrow as pa
 
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
+
+
+__all__ = ["crc_of_id", "persisted", "shared_path", "table", "text_bytes"]

@@ -54,6 +54,8 @@ DISGUISED = math.log(1e-6)
 #: Of a word that is none of the common ones.
 UNKNOWN = math.log(0.01)
 REMEMBERED = 100_000
+#: Longer spans are decoded in parts of at most so many characters, which are remembered like spans.
+PART = 1_000
 #: Words whose counts the model has, the longest of them, and states held at each character of a span.
 VOCABULARY, LONGEST, BEAM = 20_000, 20, 64
 
@@ -83,7 +85,10 @@ class CharModel:
         self.frequent = {w: math.log(n / max(two[:, 0].sum(), n, 1)) for w, n in (frequent or {}).items()}
 
     def restore(self, span: bytes) -> bytes:
-        """The likeliest words behind a span."""
+        """The likeliest words behind a span. Spans of more than PART characters are decoded part by part, cut behind the
+        last separators of each if there are any: no disguised word is that long, and long runs of signs recur."""
+        if len(span) > PART:
+            return b"".join(self.restore(part) for part in _parts(span))
         got = self.known.get(span)
         if got is None:
             if len(self.known) >= REMEMBERED:
@@ -179,6 +184,19 @@ class CharModel:
         return zip((starts[chosen] - 2).tolist(), (ends[chosen] - 2).tolist(), strict=True)
 
 
+def _parts(span: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(span):
+        part = span[at : at + PART]
+        if at + PART < len(span):
+            bare = part.rstrip(SEPARATORS.encode())
+            ends = [bare.rfind(c) for c in SEPARATORS.encode()]
+            part = part[: max(ends) + 1] or part
+        out.append(part)
+        at += len(part)
+    return out
+
+
 def _letter(x):
     return _CODE_TABLE[x] > 0
 

@@ -2,6 +2,8 @@
 
 import itertools
 import math
+import random
+import time
 import zlib
 from collections import Counter
 
@@ -116,6 +118,21 @@ def test_wide_disguises_are_undone(letters, word):
         assert letters.restored(f"the {one} {spaced} of".encode()) == f"the {one.replace(' ', '')} {word} of".encode()
 
 
+@pytest.mark.parametrize("unit", ["1", "!", "|", "a1", "a ", "a.-", "a", "abc1", "-", "x" + "-" * 40])
+def test_long_runs_take_linear_time(letters, unit):
+    began = time.time()
+    out = letters.restored((unit * 400_000)[:400_000].encode() + b" and he said so")
+    assert out.endswith(b" and he said so") and time.time() - began < 10
+
+
+def test_parts_of_long_spans_are_the_span():
+    rng = random.Random(6)
+    for _ in range(50):
+        span = "".join(rng.choices("ab1 -_", [5, 5, 1, rng.choice([0, 2]), 1, 1], k=rng.randint(1, 5000))).encode()
+        parts = tox._parts(span)
+        assert b"".join(parts) == span and all(0 < len(p) <= tox.PART for p in parts)
+
+
 def test_signs_at_the_ends(spark):
     """Words of which the corpus has the plain form."""
     docs = spark.createDataFrame([("you are a moron, an ass and an idiot of no worth, a diot, a shit, as it is and as he was",)] * 50, "text string")
