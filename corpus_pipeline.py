@@ -35,17 +35,17 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7."""
+    """Operator 7. Of each class the least doc_id stays; null, empty and wordless texts and null ids stay."""
     return keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6."""
+    """Operator 6. Rows are judged each by itself; null texts have no words and stay."""
     return contamination(docs, table(spark, sf_dir, "benchmark")).filter("NOT contaminated").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1."""
+    """Operator 1. Null texts are their end id alone; repeated rows are packed each."""
     return pack_documents(docs, word_bpe(), end_id=2)
 
 
