@@ -19,6 +19,7 @@ ordered by rarity among those members, the first third of the shorter text's and
 must have one in common. A common passage's pairs are the most frequent and come last, so texts meet by what is their own.
 Texts of which a common passage is so much that it reaches into that part are joined by their rarest words in the same way,
 of which the first ninth and the first fifth do; so they meet by their own words unless they are hardly more than a passage.
+A common key must leave enough words behind it in both texts, which parts those that are.
 
 Before texts are fetched, counts of words by hash value bound m from above. All these bounds are exact, so no candidate is
 lost and no bucket is cut off; pairs inside a class need no comparison.
@@ -43,6 +44,8 @@ SIMILARITY = (4, 5)
 LEAST_BINS, MOST_BINS = 16, 4096
 #: Pairs of words that more open texts have don't make texts meet by themselves.
 COMMON = 32
+#: Common words whose counts are known where texts of little else are put in order.
+RANKED = 1 << 16
 #: Numbers held at once while one text is sketched.
 SKETCH_CELLS = 1 << 16
 
@@ -275,17 +278,67 @@ def runs_of(texts: DataFrame, words_together: int) -> DataFrame:
     return texts.mapInArrow(work, "node long, root long, said long, n long, key long, keys long")
 
 
-def prefixes(rows: DataFrame, shorter: str, longer: str, least: str) -> DataFrame:
-    """(key, often, node, root, n, left, first) of the rarest keys of each text of `rows`, so many as two matching texts need to
-    have one in common: `longer` for the longer one, and `first` tells whether a key is among the `shorter` of the shorter
-    one; `left` counts it and those after it. A text with fewer than `least` keys that other classes have matches nothing."""
+def prefixes(rows: DataFrame, shorter: str, longer: str, least: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rarest keys of each text of `rows`, so many as two matching texts need to have one in common: (key, node, root, n,
+    left, first) of those that at most COMMON texts have, the texts (node, root, said, n, keys, cold) whose part reaches into
+    the common ones, and the common keys (key, often).
+
+    The longer one of two texts needs `longer`; `first` tells whether a key is among the `shorter` of the shorter one, and
+    `left` counts it and those after it. Keys that no other class has come first, then rare ones; `cold` counts both. A text
+    with fewer than `least` keys that other classes have matches nothing. Common keys leave before texts are sorted."""
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-    shared = rows.join(persisted(counts.select("key", "often"), "shared"), "key")
+    counts = persisted(counts.select("key", "often"), "shared")
+    common = persisted(counts.filter(F.col("often") > COMMON), "common")
+    cold = rows.join(common.select("key"), "key", "left_anti").join(counts.filter(F.col("often") <= COMMON), "key", "left")
     one = Window.partitionBy("node", "said")
-    # Keys that no other class has come first.
-    usable, nth = F.count(F.lit(1)).over(one), F.expr("keys - usable") + F.row_number().over(one.orderBy("often", "key"))
-    rarest = shared.withColumn("usable", usable).filter(f"usable >= {least}").withColumn("nth", nth).filter(f"nth <= {longer}")
-    return persisted(rarest.select("key", "often", "node", "root", "n", F.expr("keys - nth + 1 AS left"), F.expr(f"nth <= {shorter}").alias("first")), "prefixes")
+    cold = cold.withColumn("unshared", F.count(F.when(F.col("often").isNull(), 1)).over(one)).withColumn("cold", F.count(F.lit(1)).over(one))
+    nth = F.col("unshared") + F.row_number().over(one.orderBy(F.col("often").asc_nulls_last(), "key"))
+    cold = persisted(cold.withColumn("nth", nth).filter(f"nth <= {longer} AND keys - unshared >= {least} OR nth = unshared + 1").select("key", "often", "node", "root", "said", "n", "keys", "unshared", "cold", "nth"), "cold")
+    texts = rows.select("node", "root", "said", "n", "keys").distinct()
+    known = cold.filter("nth = unshared + 1").select("node", "said", "cold", "unshared")
+    whole = texts.join(known, ["node", "said"], "left").fillna(0, ["cold", "unshared"])
+    crowd = persisted(whole.filter(f"cold < {longer} AND keys - unshared >= {least}").select("node", "root", "said", "n", "keys", "cold"), "crowd")
+    fine = cold.filter(f"often IS NOT NULL AND nth <= {longer} AND keys - unshared >= {least}")
+    return _placed(fine, shorter), crowd, common
+
+
+def _placed(rows: DataFrame, shorter: str) -> DataFrame:
+    return rows.select("key", "node", "root", "n", F.expr("keys - nth + 1 AS left"), F.expr(f"nth <= {shorter}").alias("first"))
+
+
+def spared(texts: DataFrame, often: dict[int, int]) -> DataFrame:
+    """(key, node, root, n, left, first) as of prefixes(), of words of texts (node, root, text, said) that are not among
+    `cold`, of which there are fewer than the prefix holds. Words in `often`, the most common ones, come last, by their
+    counts; any order does that is the same in all texts."""
+    import numpy as np
+
+    known = np.array(sorted(often), np.int64)
+    sent = texts.sparkSession.sparkContext.broadcast((known, np.array([often[k] for k in known.tolist()], np.int64)))
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        p, q = SIMILARITY
+        names = ("node", "root", "said", "cold")
+        for batch in batches:
+            for node, root, said, cold, text in zip(*(batch.column(c).to_pylist() for c in names), text_bytes(batch.column("text")), strict=True):
+                if xxhash.xxh32_intdigest(text) != said:
+                    continue
+                found, cold = words(text), cold or []
+                n, keys = len(found), labelled(shingles(found, 1)).view(np.int64)
+                known, counts = sent.value
+                at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+                count = np.where(known[at] == keys, counts[at], 0) if len(known) else np.zeros(n, np.int64)
+                order = np.lexsort((keys, count))
+                order = order[~np.isin(keys[order], np.array(cold, np.int64))]
+                longer, shorter = n + 1 + (-p * n // q), n + 1 + (-2 * p * n // (p + q))
+                nth = np.arange(len(cold) + 1, longer + 1)[: len(order)]
+                same = lambda x, k=len(nth): pa.array(np.full(k, x, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[order[: len(nth)]]), same(node), same(root), same(n), pa.array(n - nth + 1), pa.array(nth <= shorter)], ["key", "node", "root", "n", "left", "first"])
+
+    return texts.mapInArrow(work, "key long, node long, root long, n long, left long, first boolean")
 
 
 def meeting(prefix: DataFrame, together: str) -> DataFrame:
@@ -310,13 +363,18 @@ def remaining_pairs(members: DataFrame, roots: DataFrame, texts: DataFrame) -> D
     own = persisted(of_nodes(texts, ids).join(ids, "node"), "open_texts")
     p, q = SIMILARITY
     grams = persisted(runs_of(own, 2), "grams")
-    prefix = prefixes(grams, f"n - ceil({2 * (2 * p - q)} * n / {p + q}) + 1", f"n - ceil({2 * p - q} * n / {q}) + 1", f"ceil({2 * p - q} * n / {q}) - 1")
-    # Texts that are common passages for the most part would all meet at them. These meet by their rarest words as well.
-    crowd = persisted(prefix.filter(F.col("often") > COMMON).select("node").distinct(), "crowd")
+    prefix, crowd, _ = prefixes(grams, f"n - ceil({2 * (2 * p - q)} * n / {p + q}) + 1", f"n - ceil({2 * p - q} * n / {q}) + 1", f"ceil({2 * p - q} * n / {q}) - 1")
+    met = meeting(prefix, f"{2 * p - q} * (x.n + y.n) / {p + q} - 1")
+    # Texts that are common passages for the most part meet by their rarest words, and by common ones if few are left.
     single = persisted(runs_of(of_nodes(own, crowd), 1), "words")
-    rare = prefixes(single, f"n - ceil({2 * p} * n / {p + q}) + 1", f"n - ceil({p} * n / {q}) + 1", f"ceil({p} * n / {q})")
-    grams_needed, words_needed = f"{2 * p - q} * (x.n + y.n) / {p + q} - 1", f"{p} * (x.n + y.n) / {p + q}"
-    return meeting(prefix.filter(F.col("often") <= COMMON), grams_needed).union(meeting(rare, words_needed)).distinct()
+    shorter, longer, together = f"n - ceil({2 * p} * n / {p + q}) + 1", f"n - ceil({p} * n / {q}) + 1", f"{p} * (x.n + y.n) / {p + q}"
+    rare, plain, common = prefixes(single, shorter, longer, f"ceil({p} * n / {q})")
+    cold = single.join(common.select("key"), "key", "left_anti").join(plain, ["node", "said"], "left_semi").groupBy("node", "said").agg(F.collect_list("key").alias("cold"))
+    spare = own.join(plain.select("node", "said").join(cold, ["node", "said"], "left"), "node")
+    # At most RANKED rows of two numbers, which only put keys in order.
+    ranks = common.orderBy(F.desc("often"), "key").limit(RANKED).collect()
+    last = persisted(spared(spare.select("node", "root", "text", "said", "cold"), {r.key: r.often for r in ranks}), "last")
+    return met.union(meeting(rare, together)).union(meeting(last, together)).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

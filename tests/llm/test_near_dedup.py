@@ -87,7 +87,9 @@ def families(seed=5):
     return list(enumerate(docs, 1))
 
 
-def test_families(spark):
+@pytest.mark.parametrize("common", [32, 2])
+def test_families(spark, monkeypatch, common):
+    monkeypatch.setattr(nd, "COMMON", common)
     docs = families()
     got = {r.doc_id: r.class_id for r in nd.near_duplicates(spark.createDataFrame([(d, t, "x") for d, t in docs], DOCS)).collect()}
     want = brute(docs)
