@@ -73,3 +73,53 @@ def test_equal_ids_with_other_texts(spark):
 def test_merged_spans():
     starts, ends = sd.merged_spans(np.array([5, 0, 7, 30]), np.array([9, 5, 12, 31]))
     assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == [(0, 12), (30, 31)]
+
+
+def rotations(x):
+    """The order of the rotations of x by their first 128 bytes, by doubling."""
+    rank = x.astype(np.int64)
+    for k in (1, 2, 4, 8, 16, 32, 64):
+        key = rank * (len(x) + 256) + np.roll(rank, -k)
+        order = np.argsort(key, kind="stable")
+        rank[order] = np.cumsum(np.concatenate([[0], np.diff(key[order]) != 0]))
+    return order
+
+
+def merged_transforms(one, two, rounds=100):
+    """Merges the Burrows-Wheeler transforms of two shards: each round sorts the interleave, stably, by the transforms'
+    symbols, so after k rounds suffixes stand in the order of k bytes; blocks are those of equal ones. Returns each place's
+    shard, suffix and block."""
+    orders = [rotations(one), rotations(two)]
+    shard, block = np.repeat([0, 1], [len(one), len(two)]), np.zeros(len(one) + len(two), np.int64)
+    for _ in range(rounds):
+        symbol = np.empty(len(shard), np.uint8)
+        for k, x in enumerate((one, two)):
+            symbol[shard == k] = x[orders[k] - 1]
+        order = np.argsort(symbol, kind="stable")
+        shard, before, symbol = shard[order], block[order], symbol[order]
+        block = np.cumsum(np.concatenate([[0], (np.diff(symbol.astype(int)) != 0) | (np.diff(before) != 0)]))
+    place = np.empty(len(shard), np.int64)
+    for k in (0, 1):
+        place[shard == k] = orders[k]
+    return shard, place, block
+
+
+def test_like_merged_transforms(spark):
+    """The method by the book on two shards: its repeated intervals are what the operator removes."""
+    rng = random.Random(12)
+    parts = ["".join(rng.choices("abcd", k=rng.choice([60, 130, 400]))) for _ in range(8)]
+    docs = [(d, "".join(rng.choices(parts, k=3)) + "".join(rng.choices("abcd", k=90))) for d in range(40)]
+    shards = [np.frombuffer("".join(t + "\0" for _, t in docs[k : k + 20]).encode(), np.uint8) for k in (0, 20)]
+    shard, place, block = merged_transforms(*shards)
+    at = place + shard * len(shards[0])
+    whole = np.concatenate(shards)
+    ends = np.flatnonzero(whole == 0)
+    inside = ends[np.searchsorted(ends, at)] - at >= 100
+    firsts = np.full(block.max() + 1, len(whole))
+    np.minimum.at(firsts, block[inside], at[inside])
+    gone = np.zeros(len(whole), bool)
+    for start in at[inside & (at != firsts[block])]:
+        gone[start : start + 100] = True
+    want = dict(zip((d for d, _ in docs), np.add.reduceat(gone, np.concatenate([[0], ends[:-1] + 1])).tolist(), strict=True))
+    got = sd.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sum(want.values()) > 5000 and {r.doc_id: r.n_removed for r in got} == want
