@@ -44,7 +44,7 @@ SIMILARITY = (4, 5)
 LEAST_BINS, MOST_BINS = 16, 4096
 #: Pairs of words that more open texts have don't make texts meet by themselves.
 COMMON = 32
-#: Common words whose counts are known where texts of little else are put in order.
+#: Common keys that every task is told.
 RANKED = 1 << 16
 #: Numbers held at once while one text is sketched.
 SKETCH_CELLS = 1 << 16
@@ -259,9 +259,32 @@ def ends_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
 
 
-def runs_of(texts: DataFrame, words_together: int) -> DataFrame:
-    """(node, root, said, n, key, keys) for each labelled run of so many words of texts (node, root, text): n counts words,
-    keys runs, and `said` tells texts of a node apart."""
+def tallied(texts: DataFrame, words_together: int) -> DataFrame:
+    """(key, often, lo, hi) of labelled runs of so many words in each batch of texts (root, text): how many texts have one,
+    and the least and the largest root of those."""
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            each = [labelled(shingles(words(text), words_together)).view(np.int64) for text in text_bytes(batch.column("text"))]
+            root = np.repeat(batch.column("root").to_numpy(zero_copy_only=False).astype(np.int64), [len(k) for k in each])
+            keys, at, often = np.unique(np.concatenate([*each, np.empty(0, np.int64)]), return_inverse=True, return_counts=True)
+            lo, hi = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.int64).min)
+            np.minimum.at(lo, at, root)
+            np.maximum.at(hi, at, root)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (keys, often, lo, hi))], ["key", "often", "lo", "hi"])
+
+    return texts.select("root", "text").mapInArrow(work, "key long, often long, lo long, hi long")
+
+
+def runs_of(texts: DataFrame, words_together: int, without: dict[int, int]) -> DataFrame:
+    """(node, root, said, n, key, keys) for each labelled run of so many words of texts (node, root, text), but for those in
+    `without`, and once for each text with a null key: n counts words, keys runs, and `said` tells texts of a node apart."""
+    import numpy as np
+
+    sent = texts.sparkSession.sparkContext.broadcast(np.array(sorted(without), np.int64))
 
     def work(batches):
         import numpy as np
@@ -272,34 +295,41 @@ def runs_of(texts: DataFrame, words_together: int) -> DataFrame:
             for node, root, text in zip(batch.column("node").to_pylist(), batch.column("root").to_pylist(), text_bytes(batch.column("text")), strict=True):
                 found = words(text)
                 keys = labelled(shingles(found, words_together)).view(np.int64)
-                same = lambda x, n=len(keys): pa.array(np.full(n, x, np.int64))
-                yield pa.RecordBatch.from_arrays([same(node), same(root), same(xxhash.xxh32_intdigest(text)), same(len(found)), pa.array(keys), same(len(keys))], ["node", "root", "said", "n", "key", "keys"])
+                left = keys[~np.isin(keys, sent.value)]
+                same = lambda x, n=len(left) + 1: pa.array(np.full(n, x, np.int64))
+                yield pa.RecordBatch.from_arrays([same(node), same(root), same(xxhash.xxh32_intdigest(text)), same(len(found)), pa.array([*left.tolist(), None], pa.int64()), same(len(keys))], ["node", "root", "said", "n", "key", "keys"])
 
     return texts.mapInArrow(work, "node long, root long, said long, n long, key long, keys long")
 
 
-def prefixes(rows: DataFrame, shorter: str, longer: str, least: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rarest keys of each text of `rows`, so many as two matching texts need to have one in common: (key, node, root, n,
-    left, first) of those that at most COMMON texts have, the texts (node, root, said, n, keys, cold) whose part reaches into
-    the common ones, and the common keys (key, often).
+def prefixes(given: DataFrame, words_together: int, shorter: str, longer: str, least: str) -> tuple[DataFrame, DataFrame, DataFrame, dict[int, int]]:
+    """The rarest keys, which are runs of so many words, of each text of `given` (node, root, text), so many as two matching
+    texts need to have one in common: (key, node, root, n, left, first) of those that at most COMMON texts have; the texts
+    (node, root, said, n, keys, cold) whose part reaches into the common ones; the keys (node, said, key) that are not
+    common; and counts of the RANKED most common ones.
 
     The longer one of two texts needs `longer`; `first` tells whether a key is among the `shorter` of the shorter one, and
     `left` counts it and those after it. Keys that no other class has come first, then rare ones; `cold` counts both. A text
-    with fewer than `least` keys that other classes have matches nothing. Common keys leave before texts are sorted."""
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("often"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    with fewer than `least` keys that other classes have matches nothing. Common keys leave before texts are sorted, most of
+    them before they are exploded."""
+    counts = tallied(given, words_together).groupBy("key").agg(F.sum("often").alias("often"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi")
     counts = persisted(counts.select("key", "often"), "shared")
     common = persisted(counts.filter(F.col("often") > COMMON), "common")
-    cold = rows.join(common.select("key"), "key", "left_anti").join(counts.filter(F.col("often") <= COMMON), "key", "left")
+    # At most RANKED rows of two numbers, which only save rows and put keys in order.
+    ranks = {r.key: r.often for r in common.orderBy(F.desc("often"), "key").limit(RANKED).collect()}
+    rows = persisted(runs_of(given, words_together, ranks), "runs")
+    plain = rows.filter("key IS NOT NULL").join(common.select("key"), "key", "left_anti")
+    cold = plain.join(counts.filter(F.col("often") <= COMMON), "key", "left")
     one = Window.partitionBy("node", "said")
     cold = cold.withColumn("unshared", F.count(F.when(F.col("often").isNull(), 1)).over(one)).withColumn("cold", F.count(F.lit(1)).over(one))
     nth = F.col("unshared") + F.row_number().over(one.orderBy(F.col("often").asc_nulls_last(), "key"))
     cold = persisted(cold.withColumn("nth", nth).filter(f"nth <= {longer} AND keys - unshared >= {least} OR nth = unshared + 1").select("key", "often", "node", "root", "said", "n", "keys", "unshared", "cold", "nth"), "cold")
-    texts = rows.select("node", "root", "said", "n", "keys").distinct()
+    texts = rows.filter("key IS NULL").select("node", "root", "said", "n", "keys").distinct()
     known = cold.filter("nth = unshared + 1").select("node", "said", "cold", "unshared")
     whole = texts.join(known, ["node", "said"], "left").fillna(0, ["cold", "unshared"])
     crowd = persisted(whole.filter(f"cold < {longer} AND keys - unshared >= {least}").select("node", "root", "said", "n", "keys", "cold"), "crowd")
     fine = cold.filter(f"often IS NOT NULL AND nth <= {longer} AND keys - unshared >= {least}")
-    return _placed(fine, shorter), crowd, common
+    return _placed(fine, shorter), crowd, plain.select("node", "said", "key"), ranks
 
 
 def _placed(rows: DataFrame, shorter: str) -> DataFrame:
@@ -362,18 +392,15 @@ def remaining_pairs(members: DataFrame, roots: DataFrame, texts: DataFrame) -> D
     ids = persisted(placed.join(mixed, "band").select("node", "root").distinct(), "open")
     own = persisted(of_nodes(texts, ids).join(ids, "node"), "open_texts")
     p, q = SIMILARITY
-    grams = persisted(runs_of(own, 2), "grams")
-    prefix, crowd, _ = prefixes(grams, f"n - ceil({2 * (2 * p - q)} * n / {p + q}) + 1", f"n - ceil({2 * p - q} * n / {q}) + 1", f"ceil({2 * p - q} * n / {q}) - 1")
+    prefix, crowd, _, _ = prefixes(own, 2, f"n - ceil({2 * (2 * p - q)} * n / {p + q}) + 1", f"n - ceil({2 * p - q} * n / {q}) + 1", f"ceil({2 * p - q} * n / {q}) - 1")
     met = meeting(prefix, f"{2 * p - q} * (x.n + y.n) / {p + q} - 1")
     # Texts that are common passages for the most part meet by their rarest words, and by common ones if few are left.
-    single = persisted(runs_of(of_nodes(own, crowd), 1), "words")
+    crowded = persisted(of_nodes(own, crowd), "crowded")
     shorter, longer, together = f"n - ceil({2 * p} * n / {p + q}) + 1", f"n - ceil({p} * n / {q}) + 1", f"{p} * (x.n + y.n) / {p + q}"
-    rare, plain, common = prefixes(single, shorter, longer, f"ceil({p} * n / {q})")
-    cold = single.join(common.select("key"), "key", "left_anti").join(plain, ["node", "said"], "left_semi").groupBy("node", "said").agg(F.collect_list("key").alias("cold"))
-    spare = own.join(plain.select("node", "said").join(cold, ["node", "said"], "left"), "node")
-    # At most RANKED rows of two numbers, which only put keys in order.
-    ranks = common.orderBy(F.desc("often"), "key").limit(RANKED).collect()
-    last = persisted(spared(spare.select("node", "root", "text", "said", "cold"), {r.key: r.often for r in ranks}), "last")
+    rare, plain, cold, ranks = prefixes(crowded, 1, shorter, longer, f"ceil({p} * n / {q})")
+    cold = cold.join(plain, ["node", "said"], "left_semi").groupBy("node", "said").agg(F.collect_list("key").alias("cold"))
+    spare = crowded.join(plain.select("node", "said").join(cold, ["node", "said"], "left"), "node")
+    last = persisted(spared(spare.select("node", "root", "text", "said", "cold"), ranks), "last")
     return met.union(meeting(rare, together)).union(meeting(last, together)).distinct()
 
 
