@@ -1,14 +1,16 @@
 """Benchmark decontamination (operator 6): a prefix-filtered join of documents with windows of benchmark items.
 
-A window is SIZE consecutive words of an item, or all words of a shorter one. Documents that contain a window contain
-each of its words, so its rarest word is a sufficient prefix at full containment: words are ordered by the number of
-documents of the whole input that hold them, and only the rarest one of each window is joined with documents' words. A
-match gives the window's place in the document by the word's place in the window; it must lie inside the document, and
-then the whole window is compared there.
-
-Items are taken in blocks of a bounded number of windows. A block travels to the tasks whole, each block is a pass over
-the documents for words' counts and one for the join, and neither pass shuffles texts. So any number of items works, and
-what travels has a fixed bound.
+A window is SIZE consecutive words of an item, or all words of a shorter one. Its tokens are its runs of two words (the word
+itself where there is one only). A document that contains a window contains each of its tokens, so any one token is a
+sufficient prefix at full containment: tokens are ordered by how often the whole input has them, and only the rarest one of
+each window is joined. A match gives the window's place by the token's place in it; it must lie inside the document, and then
+all its words are compared.
+
+Everything is a Spark join, so both sides may be of any size. Two passes over the documents, one counting tokens and one
+looking for prefixes, emit only tokens that pass a filter of a fixed number of bits; what it lets through by mistake finds
+no partner in the join. Around a prefix the SIZE - 1 words on either side travel along, which is all a comparison needs:
+texts are never shuffled. Equal surroundings are compared once, so a passage of a third of all documents is a few rows
+there, and copies of a text count once. What was found is joined with the documents by two 64-bit hashes of the text.
 
 Null texts have no words. Items without words have no window and never occur. Repeated rows are judged each by itself;
 items of equal item_id count once. A null item_id is reported as the string 'null'. Other columns pass through; those
@@ -17,80 +19,134 @@ with names of the result's columns are replaced.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.common import persisted, text_bytes
-from lectern.llm.words import words
+from lectern.llm.words import mix, word_hashes, words
 
 SIZE = 10
-BLOCK_WINDOWS = 20_000
+#: Bits of the filter, as a power of two: half a megabyte, whatever the tables' size.
+FILTER_BITS = 22
+#: Places that a task holds before it hands them on.
+HELD = 50_000
 
 
-def windows_of(item_words: list[bytes], size: int = SIZE) -> list[tuple[bytes, ...]]:
+def windows_of(item_words: list[bytes], size: int = SIZE) -> list[list[bytes]]:
     size = min(size, len(item_words))
-    return [tuple(item_words[i : i + size]) for i in range(len(item_words) - size + 1)] if size else []
+    return [item_words[i : i + size] for i in range(len(item_words) - size + 1)] if size else []
+
+
+def pairs_of(text_words: list[bytes]):
+    """Hashes of single words, and of runs of two words."""
+    import numpy as np
+
+    one = np.fromiter(map(word_hashes().__getitem__, text_words), np.uint64, len(text_words))
+    return mix(one), mix(mix(one[:-1]) + one[1:])
+
+
+def item_windows(items: DataFrame, size: int) -> DataFrame:
+    """(item, window) once each; a window is its words with blanks between, and `tokens` their hashes by place."""
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), text_bytes(batch.column("text")), strict=True):
+                cuts = windows_of(words(text), size)
+                tokens = [(two if len(w) > 1 else one).view("int64").tolist() for w in cuts for one, two in [pairs_of(w)]]
+                columns = pa.array([item] * len(cuts), pa.string()), pa.array([b" ".join(w) for w in cuts], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(tokens, pa.list_(pa.int64()))], ["item", "window", "tokens"])
+
+    given = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text"))
+    return given.mapInArrow(cut, "item string, window string, tokens array<long>").dropDuplicates(["item", "window"])
+
+
+def token_filter(tokens: DataFrame, log2_bits: int):
+    """Bits set at two places for each token: at most 2^log2_bits / 64 rows reach the driver."""
+    import numpy as np
+
+    mask = (1 << log2_bits) - 1
+    slots = tokens.select(F.explode(F.array(F.col("token").bitwiseAND(mask), F.shiftrightunsigned("token", 32).bitwiseAND(mask))).alias("slot"))
+    bits = np.zeros(max(1, (mask + 1) // 64), np.uint64)
+    for row in slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("set")).collect():
+        bits[row.at] = row.set & 0xFFFFFFFFFFFFFFFF
+    return bits
+
 
+def passing(hashes, bits):
+    """Which hashes have both bits set."""
+    import numpy as np
 
-def blocks_of(items: DataFrame, size: int, block_windows: int) -> Iterator[dict[tuple, set]]:
-    """Windows with the items that have them, at most block_windows (item, window) pairs at a time. Partitions come to
-    the driver one by one."""
-    block: dict[tuple, set] = {}
-    held = 0
-    for row in items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
-        for window in windows_of(words((row.text or "").encode("utf-8")), size):
-            block.setdefault(window, set()).add("null" if row.item_id is None else row.item_id)
-            held += 1
-            if held >= block_windows:
-                yield block
-                block, held = {}, 0
-    if block:
-        yield block
+    mask, low, six, unit = np.uint64(len(bits) * 64 - 1), np.uint64(63), np.uint64(6), np.uint64(1)
+    held = np.ones(len(hashes), bool)
+    for slot in (hashes & mask, (hashes >> np.uint64(32)) & mask):
+        held &= ((bits[slot >> six] >> (slot & low)) & unit).astype(bool)
+    return held
 
 
-def rarity(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
-    """The number of documents with each word of a block's vocabulary, over all documents."""
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+def occurrences(docs: DataFrame, tokens: DataFrame, log2_bits: int) -> DataFrame:
+    """(token, n): how often the documents have each token that passes the filter of `tokens`."""
+    held = docs.sparkSession.sparkContext.broadcast(token_filter(tokens, log2_bits))
 
     def count(batches):
+        import numpy as np
         import pyarrow as pa
 
-        seen: Counter = Counter()
-        known = wanted.value
         for batch in batches:
-            for text in text_bytes(batch.column("text")):
-                seen.update(known.intersection(words(text)))
-        yield pa.RecordBatch.from_arrays([pa.array([*seen], pa.binary()), pa.array([*seen.values()], pa.int64())], ["word", "n"])
+            found = [h[passing(h, held.value)] for text in text_bytes(batch.column("text")) if (w := words(text)) for h in pairs_of(w)]
+            values, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n, pa.int64())], ["token", "n"])
 
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word binary, n long")
-    return {bytes(r.word): r.n for r in parts.groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    return docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def prefix_index(block: dict[tuple, set], counts: dict[bytes, int]) -> dict[bytes, list[tuple[int, list[bytes], list[str]]]]:
-    """For the rarest word of each window: its place there, the window, its items."""
-    index: dict[bytes, list] = {}
-    for window, items in block.items():
-        k = min(range(len(window)), key=lambda k: (counts.get(window[k], 0), window[k]))
-        if counts.get(window[k], 0):
-            index.setdefault(window[k], []).append((k, [*window], sorted(items)))
-    return index
+def prefixes(windows: DataFrame, docs: DataFrame, log2_bits: int) -> DataFrame:
+    """(token, place, window, length): the rarest token of each window of which the documents have every token."""
+    tokens = windows.dropDuplicates(["window"]).select("window", F.posexplode("tokens").alias("place", "token"))
+    tokens = tokens.join(occurrences(docs, tokens, log2_bits), "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = tokens.groupBy("window").agg(F.min(F.struct("n", "token", "place")).alias("r"))
+    return rarest.filter("r.n > 0").select("r.token", "r.place", "window", F.size(F.split("window", " ")).alias("length"))
 
 
-def find(doc_words: list[bytes], index: dict) -> tuple[list[tuple[int, int]], set[str]]:
-    """Spans of occurring windows, and their items."""
-    spans, items = [], set()
-    n = len(doc_words)
-    for at in [i for i, w in enumerate(doc_words) if w in index]:
-        for k, window, of in index[doc_words[at]]:
-            start = at - k
-            if start >= 0 and start + len(window) <= n and doc_words[start : start + len(window)] == window:
-                spans.append((start, start + len(window)))
-                items.update(of)
-    return spans, items
+def surroundings(docs: DataFrame, tokens: DataFrame, size: int, log2_bits: int) -> DataFrame:
+    """(a, b, at, token, before, around): places of the documents' prefixes, with the words around and how many of them are
+    before. Equal texts of a batch give theirs once."""
+    held = docs.sparkSession.sparkContext.broadcast(token_filter(tokens, log2_bits))
+
+    def look(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        names = ["a", "b", "at", "token", "before", "around"]
+        out: list[list] = [[] for _ in names]
+
+        def taken():
+            columns = [pa.array(x, pa.int64()) for x in out[:5]]
+            for x in out[:5]:
+                x.clear()
+            around = pa.array(out[5], pa.binary()).cast(pa.string())
+            out[5].clear()
+            return pa.RecordBatch.from_arrays([*columns, around], names)
+
+        for batch in batches:
+            seen = set()
+            for a, b, text in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), text_bytes(batch.column("text")), strict=True):
+                if (a, b) in seen or not (w := words(text)):
+                    continue
+                seen.add((a, b))
+                for hashes in pairs_of(w):
+                    places = np.flatnonzero(passing(hashes, held.value))
+                    for at, token in zip(places.tolist(), hashes[places].view(np.int64).tolist(), strict=True):
+                        start = max(0, at - size + 1)
+                        for column, value in zip(out, (a, b, at, token, at - start, b" ".join(w[start : at + size])), strict=True):
+                            column.append(value)
+                        if len(out[0]) >= HELD:
+                            yield taken()
+        yield taken()
+
+    return docs.select("a", "b", "text").mapInArrow(look, "a long, b long, at long, token long, before long, around string")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -103,45 +159,61 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def _counted(batches):
+    """Appends n_words."""
+    import pyarrow as pa
+
+    for batch in batches:
+        n = pa.array([len(words(text)) for text in text_bytes(batch.column("text"))], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns, n], [*batch.schema.names, "n_words"])
+
+
+def _summed(batches):
+    """Spans merged, and the words in them counted."""
+    import pyarrow as pa
+
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    for batch in batches:
+        hits = [merged([(s["start"], s["end"]) for s in spans]) for spans in batch.column("spans").to_pylist()]
+        n = pa.array([sum(e - s for s, e in x) for x in hits], pa.int64())
+        spans = pa.array([[{"start": s, "end": e} for s, e in x] for x in hits], pa.list_(span))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), n, spans, batch.column("items")], ["a", "b", "n_hit", "hits", "items"])
+
+
+def _text_key() -> list[Column]:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
+def found_windows(docs: DataFrame, windows: DataFrame, size: int, log2_bits: int) -> DataFrame:
+    """(a, b, n_hit, hits, items) of each text with a window; `docs` has a, b and text."""
+    chosen = persisted(prefixes(windows, docs, log2_bits), "prefixes")
+    places = persisted(surroundings(docs, chosen.select("token"), size, log2_bits), "surroundings")
+    inside = (F.col("place") <= F.col("before")) & (F.col("before") - F.col("place") + F.col("length") <= F.size("near"))
+    there = F.array_join(F.slice("near", (F.col("before") - F.col("place") + 1).cast("int"), F.col("length")), " ")
+    each = places.select("token", "before", "around").distinct().withColumn("near", F.split("around", " ")).join(chosen, "token").filter(inside).filter(there == F.col("window"))
+    each = each.join(windows.select("window", "item"), "window")
+    # For each surrounding its windows' spans, counted from the prefix, and the items.
+    span = F.struct((-F.col("place")).cast("long").alias("start"), (F.col("length") - F.col("place")).cast("long").alias("end"))
+    known = persisted(each.groupBy("token", "before", "around").agg(F.collect_set(span).alias("near"), F.collect_set("item").alias("of")), "known")
+    moved = F.transform("near", lambda s: F.struct((s.start + F.col("at")).alias("start"), (s.end + F.col("at")).alias("end")))
+    hits = places.join(known, ["token", "before", "around"]).select("a", "b", moved.alias("spans"), "of")
+    whole = hits.groupBy("a", "b").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("of")))).alias("items"))
+    return whole.mapInArrow(_summed, "a long, b long, n_hit long, hits array<struct<start:long,end:long>>, items array<string>")
+
+
+def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, log2_bits: int = FILTER_BITS) -> DataFrame:
     """`docs` (text, ...) with n_words, n_hit, hits (spans of words), items (ids) and contaminated."""
-    spark = docs.sparkSession
-    found = {"n_words": "long", "n_hit": "long", "hits": "array<struct<start:long,end:long>>", "items": "array<string>", "contaminated": "boolean"}
-    plain = docs.drop(*found).withColumn("text", F.col("text").cast("string"))
-    names = plain.columns
-    span_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    kinds = [T.LongType(), T.LongType(), span_type, T.ArrayType(T.StringType()), T.BooleanType()]
-    schema = T.StructType([*plain.schema.fields, *(T.StructField(n, k) for n, k in zip(found, kinds, strict=True))])
-
-    def passed(given: DataFrame, index, first: bool) -> DataFrame:
-        held = spark.sparkContext.broadcast(index)
-
-        def join(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                out: list[list] = [[], [], [], [], []]
-                before = None if first else list(zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True))
-                for row, text in enumerate(text_bytes(batch.column("text"))):
-                    doc_words = words(text)
-                    spans, items = find(doc_words, held.value)
-                    if before:
-                        spans += [(s["start"], s["end"]) for s in before[row][0]]
-                        items.update(before[row][1])
-                    spans = merged(spans)
-                    for col, value in zip(out, (len(doc_words), sum(e - s for s, e in spans), [{"start": s, "end": e} for s, e in spans], sorted(items), bool(spans)), strict=True):
-                        col.append(value)
-                types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string()), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, out, types)], [*names, *found])
-
-        return given.mapInArrow(join, schema)
-
-    out = None
-    for block in blocks_of(items, size, block_windows):
-        index = prefix_index(block, rarity(plain, {w for window in block for w in window}))
-        # Between blocks the rows are stored, so that a task holds one block at a time.
-        out = passed(plain, index, True) if out is None else passed(persisted(out, "hits"), index, False)
-    return passed(plain, {}, True) if out is None else out
+    plain = docs.drop("n_words", "n_hit", "hits", "items", "contaminated").withColumn("text", F.col("text").cast("string"))
+    a, b = _text_key()
+    windows = persisted(item_windows(items, size), "windows")
+    found = persisted(found_windows(plain.select(a.alias("a"), b.alias("b"), "text"), windows, size, log2_bits), "hits").withColumnsRenamed({"a": "__a", "b": "__b"})
+    counted = plain.mapInArrow(_counted, T.StructType([*plain.schema.fields, T.StructField("n_words", T.LongType())]))
+    # Stored, its size is known: Spark sends it to the tasks where it is below its threshold, and shuffles otherwise.
+    out = counted.withColumns({"__a": a, "__b": b}).join(found, ["__a", "__b"], "left")
+    none = F.array().cast("array<string>"), F.array().cast("array<struct<start:long,end:long>>")
+    out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "hits": F.coalesce("hits", none[1]), "items": F.coalesce("items", none[0])})
+    return out.drop("__a", "__b").withColumn("contaminated", F.col("n_hit") > 0)
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

@@ -36,23 +36,23 @@ def got(df):
     return sorted((r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in df.collect())
 
 
-@pytest.mark.parametrize("block", [20_000, 37])
-def test_all_documents(spark, tiny, block):
+@pytest.mark.parametrize("bits", [22, 8])
+def test_all_documents(spark, tiny, bits):
     docs, items = table(spark, tiny, "documents"), table(spark, tiny, "benchmark")
     want = brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
     assert any(r[4] for r in want)
-    assert got(contamination(docs, items, block_windows=block)) == want
+    assert got(contamination(docs, items, log2_bits=bits)) == want
 
 
-ITEMS = [(1, "Zu WENIG ä öl"), (2, None), (3, ""), (4, "a b c d e f g a b c d"), (4, "other same line"), (5, "word1 tail1 word2 tail2, word3 tail3 word4 tail4 word5 tail5 word6"), (None, "漢字 \U0001f600"), (6, "f g a")]
+ITEMS = [(1, "Zu WENIG ä öl"), (2, None), (3, ""), (4, "a b c d e f g a b c d"), (4, "other same line"), (5, "word1 tail1 word2 tail2, word3 tail3 word4 tail4 word5 tail5 word6"), (None, "漢字 \U0001f600"), (6, "f g a"), (7, "more"), (7, "SAME"), (8, "same"), (9, "x x x")]
 
 
-@pytest.mark.parametrize("block", [20_000, 2])
-def test_edges(spark, edges, nothing, block):
+@pytest.mark.parametrize("bits", [22, 6])
+def test_edges(spark, edges, nothing, bits):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = edges.withColumn("items", edges.lang).withColumn("n_hit", edges.lang)
     want = brute([(r.doc_id, r.text) for r in edges.collect()], ITEMS)
     assert sum(r[4] for r in want) >= 4
-    assert got(contamination(docs, items, block_windows=block)) == want
-    assert got(contamination(nothing, items, block_windows=block)) == []
-    assert not any(r[4] for r in got(contamination(docs, items.limit(0), block_windows=block)))
+    assert got(contamination(docs, items, log2_bits=bits)) == want
+    assert got(contamination(nothing, items, log2_bits=bits)) == []
+    assert not any(r[4] for r in got(contamination(docs, items.limit(0), log2_bits=bits)))
