@@ -1,9 +1,9 @@
 """Line dedup (operator 9): lines that many documents share stay in one document only.
 
 Lines are exploded to hashes of their normalised form, distinct documents are counted for each hash, and lines over the
-threshold are dropped from all documents but the one with the largest doc_id; what stays is joined by position. Each
-document gives a hash once, and counts are summed before the shuffle, so a line of a third of all documents is a few
-rows there. Only hashes travel, not lines; two 64-bit hashes make a key.
+threshold are dropped from all documents but the one with the largest doc_id; what stays is joined by position. Counts are
+summed before the shuffle, so a line of a third of all documents is a few rows there. Only hashes and positions travel, not
+lines; two 64-bit hashes make a key. A text's positions are taken away as a set, in time that grows with its lines.
 
 Null and empty texts are one empty line. Rows with equal doc_ids are one document for counting, and each keeps or loses
 lines alike. A null doc_id is a document of its own that is never the one to keep a line. Other columns pass through;
@@ -41,10 +41,16 @@ def _hashes(line: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b"))
 
 
+def _copy() -> Column:
+    """Tells different texts of one doc_id apart: their positions differ."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(key, doc_id) of every long line, and (key, keeper) of the keys that at least min_docs documents have."""
-    long_lines = F.filter(lines_of(F.col("text")), lambda x: F.char_length(F.btrim(x, F.lit(BLANK))) >= min_chars)
-    keys = persisted(docs.select("doc_id", F.explode(F.array_distinct(F.transform(long_lines, _hashes))).alias("key")), "line_keys")
+    """(key, doc_id, copy, pos) of every long line, and (key, keeper) of the keys that at least min_docs documents have."""
+    every = docs.select("doc_id", _copy().alias("copy"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
+    long_lines = every.filter(F.char_length(F.btrim("line", F.lit(BLANK))) >= min_chars)
+    keys = persisted(long_lines.select("doc_id", "copy", "pos", _hashes(F.col("line")).alias("key")), "line_keys")
     held = keys.groupBy("key", "doc_id").agg(F.count(F.lit(1)))
     shared = held.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= min_docs)
     return keys, shared
@@ -56,15 +62,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     # Stored, the few shared keys reach the join unordered: then Spark can split a key that most documents have.
     shared = persisted(shared, "shared_lines")
     doomed = keys.join(shared, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    by_doc = doomed.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("key").alias("__gone"))
-    lines = F.col("__lines")
-    gone = F.col("__gone")
-    kept = F.when(gone.isNull(), lines).otherwise(
-        F.filter(lines, lambda x: (F.char_length(F.btrim(x, F.lit(BLANK))) < min_chars) | ~F.array_contains(gone, _hashes(x)))
-    )
-    joined = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["__id"]), "left").withColumn("__lines", lines_of(F.col("text"))).withColumn("__kept", kept)
+    by_doc = doomed.groupBy(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy")).agg(F.collect_set("pos").alias("__gone"))
+    lines, gone = F.col("__lines"), F.col("__gone")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    kept = F.when(gone.isNull(), lines).otherwise(F.transform(stay, lambda i: F.get(lines, i)))
+    same = docs["doc_id"].eqNullSafe(by_doc["__id"]) & (_copy() == by_doc["__copy"])
+    joined = docs.join(by_doc, same, "left").withColumn("__lines", lines_of(F.col("text"))).withColumn("__kept", kept)
     out = joined.withColumns({"text": F.concat_ws("\n", "__kept"), "n_lines": F.size("__lines").cast("long"), "n_dropped": (F.size("__lines") - F.size("__kept")).cast("long")})
-    return out.drop("__id", "__gone", "__lines", "__kept")
+    return out.drop("__id", "__copy", "__gone", "__lines", "__kept")
 
 
 ORACLE_SQL = """
