@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.common import persisted, text_bytes
-from lectern.llm.words import mix, word_hashes, words
+from lectern.llm.words import word_hashes, words
 
 SIZE = 10
 #: Bits of the filter, as a power of two: half a megabyte, whatever the tables' size.
@@ -38,12 +38,14 @@ def windows_of(item_words: list[bytes], size: int = SIZE) -> list[list[bytes]]:
     return [item_words[i : i + size] for i in range(len(item_words) - size + 1)] if size else []
 
 
-def pairs_of(text_words: list[bytes]):
-    """Hashes of single words, and of runs of two words."""
+def tokens_of(text_words: list[bytes], single: bool):
+    """Hashes of runs of two words; with `single`, of single words too, as a second array. Hashes of words are uniform
+    already, so a sum is enough here; a collision costs a comparison, no more."""
     import numpy as np
 
     one = np.fromiter(map(word_hashes().__getitem__, text_words), np.uint64, len(text_words))
-    return mix(one), mix(mix(one[:-1]) + one[1:])
+    two = one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:]
+    return (two, one) if single else (two,)
 
 
 def item_windows(items: DataFrame, size: int) -> DataFrame:
@@ -55,7 +57,7 @@ def item_windows(items: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for item, text in zip(batch.column("item").to_pylist(), text_bytes(batch.column("text")), strict=True):
                 cuts = windows_of(words(text), size)
-                tokens = [(two if len(w) > 1 else one).view("int64").tolist() for w in cuts for one, two in [pairs_of(w)]]
+                tokens = [tokens_of(w, True)[len(w) == 1].view("int64").tolist() for w in cuts]
                 columns = pa.array([item] * len(cuts), pa.string()), pa.array([b" ".join(w) for w in cuts], pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(tokens, pa.list_(pa.int64()))], ["item", "window", "tokens"])
 
@@ -64,26 +66,32 @@ def item_windows(items: DataFrame, size: int) -> DataFrame:
 
 
 def token_filter(tokens: DataFrame, log2_bits: int):
-    """Bits set at two places for each token: at most 2^log2_bits / 64 rows reach the driver."""
+    """Bits set at two places for each token, and whether a token is a single word. `tokens` (token, window): at most
+    2^log2_bits / 64 rows reach the driver."""
     import numpy as np
 
     mask = (1 << log2_bits) - 1
-    slots = tokens.select(F.explode(F.array(F.col("token").bitwiseAND(mask), F.shiftrightunsigned("token", 32).bitwiseAND(mask))).alias("slot"))
+    places = F.array(F.col("token").bitwiseAND(mask), F.shiftrightunsigned("token", 32).bitwiseAND(mask))
+    slots = tokens.select((~F.col("window").contains(" ")).alias("single"), F.explode(places).alias("slot"))
+    row_bits = F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("set")
+    rows = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(row_bits, F.max("single").alias("single")).collect()
     bits = np.zeros(max(1, (mask + 1) // 64), np.uint64)
-    for row in slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("set")).collect():
+    for row in rows:
         bits[row.at] = row.set & 0xFFFFFFFFFFFFFFFF
-    return bits
+    return bits, any(row.single for row in rows)
 
 
 def passing(hashes, bits):
-    """Which hashes have both bits set."""
+    """Places of the hashes that have both bits set."""
     import numpy as np
 
     mask, low, six, unit = np.uint64(len(bits) * 64 - 1), np.uint64(63), np.uint64(6), np.uint64(1)
-    held = np.ones(len(hashes), bool)
-    for slot in (hashes & mask, (hashes >> np.uint64(32)) & mask):
-        held &= ((bits[slot >> six] >> (slot & low)) & unit).astype(bool)
-    return held
+    at = None
+    for shift in (np.uint64(0), np.uint64(32)):
+        slot = ((hashes if at is None else hashes[at]) >> shift) & mask
+        there = np.flatnonzero((bits[slot >> six] >> (slot & low)) & unit)
+        at = there if at is None else at[there]
+    return at
 
 
 def occurrences(docs: DataFrame, tokens: DataFrame, log2_bits: int) -> DataFrame:
@@ -94,8 +102,9 @@ def occurrences(docs: DataFrame, tokens: DataFrame, log2_bits: int) -> DataFrame
         import numpy as np
         import pyarrow as pa
 
+        bits, single = held.value
         for batch in batches:
-            found = [h[passing(h, held.value)] for text in text_bytes(batch.column("text")) if (w := words(text)) for h in pairs_of(w)]
+            found = [h[passing(h, bits)] for text in text_bytes(batch.column("text")) if (w := words(text)) for h in tokens_of(w, single)]
             values, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n, pa.int64())], ["token", "n"])
 
@@ -119,6 +128,7 @@ def surroundings(docs: DataFrame, tokens: DataFrame, size: int, log2_bits: int)
         import numpy as np
         import pyarrow as pa
 
+        bits, single = held.value
         names = ["a", "b", "at", "token", "before", "around"]
         out: list[list] = [[] for _ in names]
 
@@ -136,8 +146,8 @@ def surroundings(docs: DataFrame, tokens: DataFrame, size: int, log2_bits: int)
                 if (a, b) in seen or not (w := words(text)):
                     continue
                 seen.add((a, b))
-                for hashes in pairs_of(w):
-                    places = np.flatnonzero(passing(hashes, held.value))
+                for hashes in tokens_of(w, single):
+                    places = passing(hashes, bits)
                     for at, token in zip(places.tolist(), hashes[places].view(np.int64).tolist(), strict=True):
                         start = max(0, at - size + 1)
                         for column, value in zip(out, (a, b, at, token, at - start, b" ".join(w[start : at + size])), strict=True):
@@ -188,7 +198,7 @@ def _text_key() -> list[Column]:
 def found_windows(docs: DataFrame, windows: DataFrame, size: int, log2_bits: int) -> DataFrame:
     """(a, b, n_hit, hits, items) of each text with a window; `docs` has a, b and text."""
     chosen = persisted(prefixes(windows, docs, log2_bits), "prefixes")
-    places = persisted(surroundings(docs, chosen.select("token"), size, log2_bits), "surroundings")
+    places = persisted(surroundings(docs, chosen, size, log2_bits), "surroundings")
     inside = (F.col("place") <= F.col("before")) & (F.col("before") - F.col("place") + F.col("length") <= F.size("near"))
     there = F.array_join(F.slice("near", (F.col("before") - F.col("place") + 1).cast("int"), F.col("length")), " ")
     each = places.select("token", "before", "around").distinct().withColumn("near", F.split("around", " ")).join(chosen, "token").filter(inside).filter(there == F.col("window"))
