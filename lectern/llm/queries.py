@@ -88,10 +88,43 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.search import index, item_terms, search
+
+    asked = item_terms(table(spark, sf_dir, "benchmark"))
+    return search(index(table(spark, sf_dir, "documents").select("doc_id", "text"), asked), asked)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.sharding import SHARDS, read_shards, rendezvous, write_shards
+
+    rows = read_shards(spark, write_shards(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    text = F.coalesce("text", F.lit(""))
+    grown = rendezvous(F.col("doc_id"), [1.0] * (SHARDS + 1))
+    return rows.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot", grown.alias("grown_shard"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.line_dedup import LOWER, UPPER
+    from lectern.llm.merkle import COLUMNS, digest, fold, manifest, proof, proven
+
+    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    lowered = digest(*[F.translate("text", UPPER, LOWER) if c == "text" else c for c in COLUMNS])
+    rows = docs.select("doc_id", "source", digest(*COLUMNS).alias("digest"), F.when(crc_of_id("doc_id") % 5 == 0, lowered).alias("changed"))
+    checked = proven(manifest(rows, "source", "doc_id")).select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", proof(F.col("path")).alias("proof_sha256"), fold(F.coalesce("changed", "digest"), F.col("path")).alias("folded_root"))
+    return checked.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def _oracles() -> dict[str, str]:
-    from lectern.llm import decontamination, line_dedup
+    from lectern.llm import decontamination, line_dedup, merkle, search, sharding
 
-    return {"op6_decontamination": decontamination.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}
+    return {
+        "op6_decontamination": decontamination.ORACLE_SQL,
+        "op9_line_dedup": line_dedup.ORACLE_SQL,
+        "op11_search": search.ORACLE_SQL,
+        "op12_sharding": sharding.ORACLE_SQL,
+        "op13_merkle_manifest": merkle.ORACLE_SQL,
+    }
 
 
 QUERIES: dict[str, Query] = {
@@ -105,5 +138,8 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_search": op11_search,
+    "op12_sharding": op12_sharding,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = _oracles()
