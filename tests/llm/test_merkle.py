@@ -36,6 +36,8 @@ def whole(rows):
     groups = defaultdict(list)
     for r in rows:
         groups[r["source"]].append((r["doc_id"] is not None, r["doc_id"] or 0, leaf(r)))
+    if not groups:
+        return []
     order = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
     trees = [grow([x[2] for x in sorted(groups[s])]) for s in order]
     root, above = grow([t[0] for t in trees])
