@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,7 +12,8 @@ from lectern.functions.text import NOT_S, S, WS, B, trimmed
 
 #: Words whose full stop doesn't end a sentence.
 ABBREVIATED = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Jr", "St", "Mt", "Rev", "Hon", "e\\.g", "i\\.e", "etc", "cf", "vs", "viz", "al", "Fig", "Eq", "No", "Vol", "approx", "est", "dept", "Inc", "Ltd", "Co")
-DANGLING = rf"(?:{B}(?:{'|'.join(ABBREVIATED)})\.|{B}[A-Z]\.|{B}(?:[A-Za-z]\.){{2,}}|{B}[0-9]+\.)$"
+#: Of letters with full stops the last two tell as much as all.
+DANGLING = rf"(?:{B}(?:{'|'.join(ABBREVIATED)})\.|{B}[A-Z]\.|{B}(?:[A-Za-z]\.){{2}}|{B}[0-9]+\.)$"
 _DOT = "\u0001"
 
 
@@ -28,30 +29,78 @@ def regex_sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: trimmed(F.replace(s, F.lit(_DOT), F.lit(".")))), lambda s: s != "")
 
 
-def rejoin_abbreviations(sentences: Column) -> Column:
-    """One pass from the left: a sentence goes to the one before if that ends in something that ends no sentence."""
+def rejoined(parts: list[str]) -> list[str]:
+    """A sentence goes to the one before if that ends in something that ends no sentence. What was glued before changes
+    nothing of that, so each sentence is looked at once."""
+    out: list[list[str]] = []
+    open_end = False
+    for s in parts:
+        if open_end:
+            out[-1].append(s)
+        else:
+            out.append([s])
+        open_end = _dangles(s)
+    return [" ".join(x) for x in out]
 
-    def step(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        glued = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(last, F.lit(" "), s)))
-        return F.when((F.size(done) > 0) & F.try_element_at(done, F.lit(-1)).rlike(DANGLING), glued).otherwise(F.concat(done, F.array(s)))
 
-    return F.aggregate(sentences, F.array().cast("array<string>"), step)
+def _dangles(text: str) -> bool:
+    import re
 
+    global _LAST
+    _LAST = _LAST or re.compile(DANGLING)
+    return text.endswith(".") and bool(_LAST.search(text, max(text.rfind(" "), 0)))
 
-def merge_short(sentences: Column, most: Column | int, first_most: Column | int | None = None) -> Column:
+
+_LAST = None
+
+
+def merged(parts: list[str], most: int, first_most: int) -> list[str]:
     """Neighbours joined by a space while they fit; the first chunk has a cap of its own. No sentence is split."""
-    most = F.lit(most) if isinstance(most, int) else most
-    first_most = most if first_most is None else F.lit(first_most) if isinstance(first_most, int) else first_most
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("buf"))
+    out: list[list[str]] = []
+    size = 0
+    for s in parts:
+        cap = first_most if len(out) == 1 else most
+        if size and size + 1 + len(s) <= cap:
+            out[-1].append(s)
+            size += 1 + len(s)
+        elif out and not size:  # an empty sentence leaves its chunk empty, and the next one takes it
+            out[-1] = [s]
+            size = len(s)
+        else:
+            out.append([s])
+            size = len(s)
+    return [x for x in (" ".join(x) for x in out) if x]
+
+
+def _over_arrays(function: Callable[..., list[str]], more: int):
+    """A column function over arrays of strings and `more` whole numbers, in Arrow batches."""
+    import pandas as pd
+
+    def work(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for parts, *rest in batches:
+            rows = zip(parts, *rest, strict=True)
+            yield pd.Series([None if p is None else function(list(p), *(int(x) for x in xs)) for p, *xs in rows], dtype=object)
 
-    def step(acc: Column, s: Column) -> Column:
-        cap = F.when(F.size(acc["out"]) == 0, first_most).otherwise(most)
-        joined = F.struct(acc["out"].alias("out"), F.concat(acc["buf"], F.lit(" "), s).alias("buf"))
-        closed = F.struct(F.concat(acc["out"], F.array(acc["buf"])).alias("out"), s.alias("buf"))
-        return F.when(acc["buf"] == "", F.struct(acc["out"].alias("out"), s.alias("buf"))).when(F.char_length(acc["buf"]) + 1 + F.char_length(s) <= cap, joined).otherwise(closed)
+    def alone(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for parts in batches:
+            yield pd.Series([None if p is None else function(list(p)) for p in parts], dtype=object)
 
-    return F.aggregate(sentences, start, step, lambda acc: F.when(acc["buf"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["buf"]))))
+    work.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
+    alone.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(work if more else alone, T.ArrayType(T.StringType()))
+
+
+def rejoin_abbreviations(sentences: Column) -> Column:
+    """One pass from the left: a sentence goes to the one before if that ends in something that ends no sentence."""
+    return _over_arrays(rejoined, 0)(sentences)
+
+
+def merge_short(sentences: Column, most: Column | int, first_most: Column | int | None = None) -> Column:
+    """Neighbours joined by a space while they fit; the first chunk has a cap of its own. No sentence is split. The fold holds
+    one open chunk, so its time is the text's length; in Arrow batches, as Spark's folds copy what they have gathered."""
+    most = F.lit(most) if isinstance(most, int) else most
+    first_most = most if first_most is None else F.lit(first_most) if isinstance(first_most, int) else first_most
+    return _over_arrays(merged, 2)(sentences, most, first_most)
 
 
 def hard_wrap(text: Column, most: int = 1800) -> Column:
@@ -120,7 +169,7 @@ def _cased_before(text: str, start: int, at: int) -> bool:
 
 def uax29_sentences(text: Column) -> Column:
     """Trimmed Unicode sentences of the trimmed text, repaired after abbreviations; in Arrow batches."""
-    return rejoin_abbreviations(_uax29_batches()(text))
+    return _uax29_batches()(text)
 
 
 def _uax29_batches():
@@ -130,7 +179,7 @@ def _uax29_batches():
 
     def split(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield batch.map(lambda t: [s for s in (x.strip(space) for x in uax29((t or "").strip(space))) if s])
+            yield batch.map(lambda t: rejoined([s for s in (x.strip(space) for x in uax29((t or "").strip(space))) if s]))
 
     split.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(split, T.ArrayType(T.StringType()))

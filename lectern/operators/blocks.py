@@ -7,11 +7,14 @@ windows run by page and container in node order, so nodes are shuffled and sorte
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import clean_code, collapse, whitespace_words
-from lectern.operators.nodes import any_of, attr, has_class
+from lectern.operators.nodes import NEAR, attr, has_class
+from lectern.operators.selectors import any_of
 from lectern.schema import BLOCK, META
 
 #: Tag sets.
@@ -22,7 +25,10 @@ LOOSE_TAGS = tuple("div section article main aside header footer nav td th detai
 CHROME_TAGS = ("nav", "header", "footer", "aside")
 CHROME_ROLES = ("navigation", "banner", "contentinfo", "complementary", "search")
 MATH_CLASSES = ("katex", "katex-display", "MathJax", "MathJax_Display", "mjx-container", "math-inline", "math-display")
-MIN_LOOSE, MIN_ALT, MAX_STAMPS, UID_LEVELS = 12, 3, 20_000, 8
+#: Least characters of loose text and of a picture's text; most elements of a page that can be highlighted.
+MIN_LOOSE, MIN_ALT, MAX_STAMPS = 12, 3, 20_000
+#: How many elements up from a block one is looked for that can be highlighted.
+UID_LEVELS = NEAR
 
 BY = ("page_id", "source")
 
@@ -72,13 +78,23 @@ def inside(test: Column, strictly_before: bool = True) -> Column:
 
 
 def subtree_sums(rows: DataFrame, by: tuple[str, ...] = BY, **sums: Column) -> DataFrame:
-    """Sums over the nodes below each element, without itself: (by, seq, names)."""
-    wanted = rows.select(*by, "seq", "path", *[v.alias(k) for k, v in sums.items()])
-    some = F.lit(False)
-    for k in sums:
-        some = some | (F.col(k) != 0)
-    each = wanted.filter(some).select(*by, F.col("seq").alias("below"), F.explode("path").alias("seq"), *sums).filter("seq <> below")
-    return each.groupBy(*by, "seq").agg(*[F.sum(k).alias(k) for k in sums])
+    """`rows` (by, seq, end, ...) with sums over the nodes below each element, without itself.
+
+    An element stands twice in a page's order, where it begins and where it ends; the sum of what is below it is the running
+    sum at its end less that at its beginning. All runs by page, so rows that are there by page are shuffled no more.
+    """
+    values = {f"__{k}": F.coalesce(v.cast("long"), F.lit(0)) for k, v in sums.items()}
+    ends = F.array(F.lit(True), F.lit(False))
+    twice = rows.withColumns(values).withColumn("__opens", F.explode(F.when(F.col("end") > F.col("seq") + 1, ends).otherwise(F.slice(ends, 1, 1))))
+    opens, keys = F.col("__opens"), {*by, "seq", "end"}
+    # Where it ends it carries nothing but its numbers.
+    light = twice.select(*keys, "__opens", *[F.when(opens, F.col(c)).alias(c) for c in rows.columns if c not in keys], *[F.when(opens, F.col(v)).otherwise(0).alias(v) for v in values])
+    place = F.when(opens, F.col("seq")).otherwise(F.col("end"))
+    so_far = Window.partitionBy(*by).orderBy("__place", "__opens").rowsBetween(Window.unboundedPreceding, 0)
+    run = light.withColumn("__place", place).withColumns({v: F.sum(v).over(so_far) for v in values})
+    pair = Window.partitionBy(*by, "seq").orderBy(F.desc("__opens"))
+    below = {k: F.coalesce(F.lead(f"__{k}").over(pair) - F.col(f"__{k}"), F.lit(0)) for k in sums}
+    return run.withColumns(below).filter("__opens").select(*rows.columns, *sums)
 
 
 def with_stamps(rows: DataFrame) -> DataFrame:
@@ -92,7 +108,7 @@ def with_stamps(rows: DataFrame) -> DataFrame:
 
 
 def blocks_from(nodes: DataFrame, containers: DataFrame) -> DataFrame:
-    """Exploded blocks (page_id, source, at, kind, level, text, uid, meta) of node rows (page_id, seq, end, path, ...,
+    """Exploded blocks (page_id, source, at, kind, level, text, uid, meta) of node rows (page_id, seq, end, near, ...,
     stamp) inside containers (page_id, source, c_seq, c_end); rows may have skip: adapters' furniture."""
     rows = nodes.join(containers, "page_id").filter((F.col("seq") >= F.col("c_seq")) & (F.col("seq") < F.col("c_end")))
     skip = F.coalesce(F.col("skip"), F.lit(False)) & F.col("source").startswith("adapter") if "skip" in nodes.columns else F.lit(False)
@@ -107,11 +123,10 @@ def blocks_from(nodes: DataFrame, containers: DataFrame) -> DataFrame:
     alive_text = F.col("is_text") & ~F.col("dead")
     terminal = element & (F.col("tag").isin(*TERMINAL_TAGS) | ((F.col("tag") == "img") & F.map_contains_key("attrs", "alt")))
     chars = F.when(F.col("is_text"), F.char_length(F.btrim(blank))).otherwise(0)
-    sums = subtree_sums(rows, terminals=F.coalesce(terminal, F.lit(False)).cast("int"), chars=chars, row_tags=(F.col("tag") == "tr").cast("int") * (~F.col("dead")).cast("int"), cell_tags=F.coalesce(F.col("tag").isin("td", "th"), F.lit(False)).cast("int"))
-    rows = rows.join(sums, [*BY, "seq"], "left").fillna(0, ["terminals", "chars", "row_tags", "cell_tags"])
+    alive = ~F.col("dead")
+    rows = subtree_sums(rows, terminals=terminal, chars=chars, row_tags=(F.col("tag") == "tr") & alive, cell_tags=F.col("tag").isin("td", "th"))
     loose = element & F.col("tag").isin(*LOOSE_TAGS)
-    bearing = subtree_sums(rows, bearers=(loose & ~hidden() & (F.col("chars") >= MIN_LOOSE)).cast("int"))
-    rows = rows.join(bearing, [*BY, "seq"], "left").fillna(0, ["bearers"])
+    rows = subtree_sums(rows, bearers=loose & ~hidden() & (F.col("chars") >= MIN_LOOSE))
 
     takes_loose = loose & (F.col("terminals") == 0) & (F.col("bearers") == 0) & (F.col("chars") >= MIN_LOOSE - 1)
     layout = (F.col("kind") == "table") & (F.col("row_tags") <= 1) & (F.col("cell_tags") <= 1)
@@ -139,7 +154,7 @@ def blocks_from(nodes: DataFrame, containers: DataFrame) -> DataFrame:
     grouped = rows.groupBy(*BY, "at").agg(
         first(F.col("kind"), is_head).alias("kind"),
         first(level_of(), is_head).alias("level"),
-        first(F.col("path"), is_head).alias("path"),
+        first(F.col("near"), is_head).alias("near"),
         first(spoken_alt, is_head).alias("spoken"),
         joined(F.col("live")).alias("raw"),
         joined(F.col("live") & F.col("in_caption")).alias("caption"),
@@ -191,24 +206,40 @@ def _tables(grouped: DataFrame) -> DataFrame:
 def _with_uids(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
     """The nearest stamp within UID_LEVELS, for the first block of the page that claims it."""
     stamps = nodes.filter("stamp IS NOT NULL").select("page_id", F.col("seq").alias("anchor"), "stamp")
-    near = F.slice("path", F.greatest(F.size("path") - UID_LEVELS + 1, F.lit(1)), UID_LEVELS)
-    found = blocks.select(*BY, "at", F.explode(near).alias("anchor")).join(stamps, ["page_id", "anchor"])
+    found = blocks.select(*BY, "at", F.explode("near").alias("anchor")).join(stamps, ["page_id", "anchor"])
     best = found.groupBy(*BY, "at").agg(F.max_by("stamp", "anchor").alias("stamp"))
     first = Window.partitionBy(*BY, "stamp").orderBy("at")
     claimed = best.withColumn("uid", F.when(F.row_number().over(first) == 1, F.concat(F.lit("u"), F.col("stamp").cast("string")))).drop("stamp")
     return blocks.join(claimed, [*BY, "at"], "left")
 
 
-def without_restated(blocks: Column) -> Column:
-    """Ordered blocks, without those that the block kept before contains; a block that contains that one replaces it."""
+def _unstated():
+    """Which of an array of texts stay, in one pass with the text kept last as all its state."""
+    import pandas as pd
+
+    def keep(texts: list[str]) -> list[int]:
+        kept: list[int] = []
+        for k, text in enumerate(texts):
+            if kept and text in texts[kept[-1]]:
+                continue
+            if kept and texts[kept[-1]] in text:
+                kept[-1] = k
+            else:
+                kept.append(k)
+        return kept
 
-    def step(done: Column, b: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        more = F.concat(done, F.array(b))
-        swapped = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(b))
-        return F.when(F.size(done) == 0, more).when(F.contains(last["text"], b["text"]), done).when(F.contains(b["text"], last["text"]), swapped).otherwise(more)
+    def work(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda texts: keep(list(texts)))
 
-    return F.aggregate(blocks, F.array().cast(f"array<{BLOCK.simpleString()}>"), step)
+    work.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(work, "array<int>")
+
+
+def without_restated(blocks: Column) -> Column:
+    """Ordered blocks, without those that the block kept before contains; a block that contains that one replaces it."""
+    stay = _unstated()(F.transform(blocks, lambda b: b["text"]))
+    return F.transform(stay, lambda k: F.get(blocks, k))
 
 
 def numbered(blocks: Column) -> Column:
@@ -224,4 +255,4 @@ def gathered(blocks: DataFrame) -> DataFrame:
     return whole.select(*BY, numbered(without_restated(F.col("blocks").cast(f"array<{BLOCK.simpleString()}>"))).alias("blocks"))
 
 
-__all__ = ["any_of", "blocks_from", "gathered", "hidden", "inside", "kind_of", "numbered", "subtree_sums", "with_stamps", "without_restated"]
+__all__ = ["blocks_from", "gathered", "hidden", "inside", "kind_of", "numbered", "subtree_sums", "with_stamps", "without_restated"]

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.operators.blocks import SKIP_TAGS, hidden, subtree_sums
-from lectern.operators.nodes import TEXT, any_of, attr
+from lectern.operators.nodes import TEXT, attr
+from lectern.operators.selectors import any_of
+from lectern.plans.storage import stored
 
 #: Selectors and patterns.
 CANDIDATES = ("main", "article", "[role=main]", "[itemprop=articleBody]", ".content", "#content", ".post", ".entry", ".entry-content", ".post-content", ".article-body", ".articleBody", ".markdown-body", ".prose", ".story", "section", "div")
@@ -23,6 +25,8 @@ UNLIKELY = (
     "skyscraper|social|sponsor|supplemental|ad-break|agegate|pagination|pager|popup|yom-remote"
 )
 MAYBE = "(?i)and|article|body|column|content|main|shadow"
+#: Least characters of a candidate and of prose, most candidates of a page, share of its text that makes a
+#: child stand for its parent, and steps down to it.
 LEAST_CHARS, MOST_CANDIDATES, PROSE_CHARS, HELD, STEPS = 140, 300, 25, 0.92, 8
 
 
@@ -30,15 +34,21 @@ def features(nodes: DataFrame) -> DataFrame:
     """Elements with sums over their subtrees: all, visible and linked characters, prose, commas, elements."""
     by = ("page_id",)
     text = F.when(F.col("tag") == TEXT, F.char_length("text")).otherwise(0)
-    order = Window.partitionBy("page_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    within = lambda test: F.coalesce(F.max(F.when(test, F.col("end"))).over(order), F.lit(0)) > F.col("seq")
     veiled = ~F.col("is_text") & hidden() & ~F.col("tag").isin(*SKIP_TAGS)
     link = F.coalesce((F.col("tag") == "a") & F.map_contains_key("attrs", "href"), F.lit(False))
-    rows = nodes.withColumns({"n": text, "out": within(veiled) & (F.col("tag") == TEXT), "linked": within(link)})
-    sums = subtree_sums(rows, by, chars=F.col("n"), unseen=F.when(F.col("out"), F.col("n")).otherwise(0), in_links=F.when(F.col("linked"), F.col("n")).otherwise(0), commas=F.when(F.col("tag") == TEXT, F.regexp_count("text", F.lit("[,，、؛]"))).otherwise(0), elements=(~F.col("is_text")).cast("int"))
-    elements = nodes.filter("NOT is_text").join(sums, [*by, "seq"], "left").fillna(0, ["chars", "unseen", "in_links", "commas", "elements"])
-    prose = subtree_sums(elements, by, prose=(F.col("tag").isin(*PROSE_TAGS) & (F.col("chars") >= PROSE_CHARS)).cast("int"))
-    return elements.join(prose, [*by, "seq"], "left").fillna(0, ["prose"]).withColumns({"visible": F.greatest(F.col("chars") - F.col("unseen"), F.lit(0)), "veiled": F.coalesce(hidden(), F.lit(False))})
+    rows = nodes.withColumns({"n": text, "out": _within(veiled) & (F.col("tag") == TEXT), "linked": _within(link)})
+    unseen, in_links = [F.when(F.col(c), F.col("n")).otherwise(0) for c in ("out", "linked")]
+    commas = F.when(F.col("tag") == TEXT, F.regexp_count("text", F.lit("[,，、؛]"))).otherwise(0)
+    rows = subtree_sums(rows, by, chars=F.col("n"), unseen=unseen, in_links=in_links, commas=commas, elements=~F.col("is_text"))
+    elements = rows.filter("NOT is_text").drop("n", "out", "linked")
+    prose = F.col("tag").isin(*PROSE_TAGS) & (F.col("chars") >= PROSE_CHARS)
+    return subtree_sums(elements, by, prose=prose).withColumns({"visible": F.greatest(F.col("chars") - F.col("unseen"), F.lit(0)), "veiled": F.coalesce(hidden(), F.lit(False))})
+
+
+def _within(test: Column) -> Column:
+    """Whether a node is inside an element of its page with the property."""
+    before = Window.partitionBy("page_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.max(F.when(test, F.col("end"))).over(before), F.lit(0)) > F.col("seq")
 
 
 def score() -> Column:
@@ -55,34 +65,33 @@ def score() -> Column:
 
 def winners(nodes: DataFrame) -> DataFrame:
     """(page_id, c_seq, c_end): the best container of each page that has one, tightened."""
-    all_ = features(nodes)
+    page = Window.partitionBy("page_id")
     # Of several bodies, or none, the outermost element that holds the page.
-    root = all_.withColumn("r", F.when(F.col("tag") == "body", 0).when(F.col("tag") == "html", 1).otherwise(2)).groupBy("page_id").agg(F.min_by("seq", F.struct("r", "seq")).alias("root"))
-    elements = all_.join(root, "page_id").filter((F.col("seq") == F.col("root")) | F.array_contains("path", F.col("root")))
-    wanted = (any_of(CANDIDATES) & ~F.col("veiled")) | (F.col("seq") == F.col("root"))
-    ranked = elements.filter(wanted & (F.col("chars") >= LEAST_CHARS)).withColumn("k", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("chars"), "seq")))
+    outer = F.when(F.col("tag") == "body", 0).when(F.col("tag") == "html", 1).otherwise(2)
+    rooted = features(nodes).withColumn("root", F.min(F.struct(outer.alias("r"), "seq", "end")).over(page))
+    elements = rooted.filter((F.col("seq") >= F.col("root.seq")) & (F.col("seq") < F.col("root.end")))
+    elements = stored(elements.select("page_id", "seq", "end", "parent", "tag", "attrs", "is_text", "chars", "visible", "in_links", "commas", "elements", "prose", "veiled", (F.col("seq") == F.col("root.seq")).alias("is_root")), "features")
+    wanted = (any_of(CANDIDATES) & ~F.col("veiled")) | F.col("is_root")
+    ranked = elements.filter(wanted & (F.col("chars") >= LEAST_CHARS)).withColumn("k", F.row_number().over(page.orderBy(F.desc("chars"), "seq")))
     scored = ranked.filter(F.col("k") <= MOST_CANDIDATES).withColumn("score", score()).filter("score > 0")
-    best = scored.groupBy("page_id").agg(F.max_by("seq", F.struct("score", -F.col("seq"))).alias("w"))
+    best = scored.groupBy("page_id").agg(F.max_by(F.struct("seq", "end"), F.struct("score", -F.col("seq"))).alias("best"))
 
-    parent = elements.select("page_id", F.col("seq").alias("parent"), F.col("visible").alias("whole"))
-    child = elements.filter("NOT veiled").withColumn("parent", F.try_element_at("path", F.lit(-2)))
+    whole = elements.select("page_id", F.col("seq").alias("parent"), F.col("visible").alias("whole"))
     first = F.row_number().over(Window.partitionBy("page_id", "parent").orderBy(F.desc("visible"), "seq"))
-    heavy = child.withColumn("k", first).filter("k = 1").join(parent, ["page_id", "parent"])
+    heavy = elements.filter("NOT veiled AND parent IS NOT NULL").withColumn("k", first).filter("k = 1").join(whole, ["page_id", "parent"])
     heavy = heavy.filter((F.col("whole") >= LEAST_CHARS) & (F.col("visible") >= HELD * F.col("whole")) & ~F.col("tag").isin("p", "pre", "table"))
-    chain = heavy.groupBy("page_id").agg(F.collect_set("seq").alias("heavy"))
-    steps = elements.join(best, "page_id").filter((F.col("seq") == F.col("w")) | F.array_contains("path", F.col("w"))).join(chain, "page_id", "left")
-    below = F.slice("path", F.array_position("path", F.col("w")).cast("int") + 1, F.size("path"))
-    steps = steps.withColumn("way", below).filter((F.size("way") == 0) | ((F.size("way") <= STEPS) & (F.size(F.array_intersect("way", "heavy")) == F.size("way"))))
-    return steps.groupBy("page_id").agg(F.max_by(F.struct(F.col("seq").alias("c_seq"), F.col("end").alias("c_end")), F.size("way")).alias("c")).select("page_id", "c.c_seq", "c.c_end")
+    down = heavy.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("parent", F.struct("seq", "end")))).alias("down"))
+    # From the best, as long as one child holds nearly all, to that child.
+    step = lambda at, _: F.coalesce(F.try_element_at("down", at["seq"]), at)
+    end = F.when(F.col("down").isNull(), F.col("best")).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.col("best"), step))
+    return best.join(down, "page_id", "left").select("page_id", end.alias("c")).select("page_id", F.col("c.seq").alias("c_seq"), F.col("c.end").alias("c_end"))
 
 
 def article_score(nodes: DataFrame) -> DataFrame:
     """(page_id, score, is_article): whether a page looks like an article, by the roots of its prose's lengths."""
     named = F.concat(attr("class"), F.lit(" "), attr("id"))
-    breaks = nodes.filter("tag = 'br'").select("page_id", F.try_element_at("path", F.lit(-2)).alias("seq")).distinct().withColumn("breaks", F.lit(True))
-    lists = nodes.filter("tag = 'li'").select("page_id", F.col("seq").alias("li"), F.col("end").alias("li_end"))
-    rows = features(nodes).join(breaks, ["page_id", "seq"], "left")
+    breaks = nodes.filter("tag = 'br'").select("page_id", F.col("parent").alias("seq")).distinct().withColumn("breaks", F.lit(True))
+    rows = features(nodes).withColumn("listed", _within(F.col("tag") == "li")).join(breaks, ["page_id", "seq"], "left")
     prose = rows.filter((F.col("tag").isin("p", "pre", "article") | ((F.col("tag") == "div") & F.col("breaks"))) & ~F.col("veiled") & (F.col("chars") >= LEAST_CHARS) & ~(named.rlike(UNLIKELY) & ~named.rlike(MAYBE)))
-    listed = prose.filter("tag = 'p'").select("page_id", "seq").join(lists, "page_id").filter("seq > li AND seq < li_end").select("page_id", "seq").distinct()
-    sums = prose.join(listed, ["page_id", "seq"], "left_anti").groupBy("page_id").agg(F.sum(F.sqrt(F.col("chars") - LEAST_CHARS)).alias("score"))
+    sums = prose.filter("tag <> 'p' OR NOT listed").groupBy("page_id").agg(F.sum(F.sqrt(F.col("chars") - LEAST_CHARS)).alias("score"))
     return nodes.select("page_id").distinct().join(sums, "page_id", "left").select("page_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce(F.col("score") > 20, F.lit(False)).alias("is_article"))

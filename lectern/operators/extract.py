@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import collapse, detect_lang, url_host, word_count
-from lectern.operators.adapters import REGISTRY, adapter_of, containers, finished, furniture, pieces, whole_text
+from lectern.operators.adapters import REGISTRY, adapter_of, containers, finished, pieces, signed, whole_text, with_furniture
 from lectern.operators.blocks import blocks_from, gathered, with_stamps
 from lectern.operators.density import winners
 from lectern.operators.nodes import attr, has_class, nodes
@@ -37,7 +37,7 @@ def metadata(rows: DataFrame) -> DataFrame:
         first(content, said(meta & (F.lower(attr("http-equiv")) == "content-language"))).alias("content_lang"),
     )
     kind = F.when(F.col("tag") == "title", "title").when(F.col("tag") == "h1", "h1").when(author & ~F.col("is_text") & (F.col("tag") != "meta"), "by")
-    picks = rows.withColumn("what", kind).filter("what IS NOT NULL").withColumn("k", F.row_number().over(Window.partitionBy("page_id", "what").orderBy("seq"))).filter("k = 1").select("page_id", "seq", "end", "what")
+    picks = rows.withColumn("what", kind).filter("what IS NOT NULL").withColumn("k", F.row_number().over(Window.partitionBy("page_id", "what").orderBy("seq"))).filter("k = 1").select("page_id", "seq", "t_from", "t_to", "what")
     texts = whole_text(rows, picks).groupBy("page_id").agg(*[F.max(F.when(F.col("what") == w, F.nullif("text", F.lit("")))).alias(w) for w in ("title", "h1", "by")])
     both = plain.join(texts, "page_id", "left")
     byline = F.coalesce("author", F.when(F.char_length("by") <= MOST_BYLINE, F.col("by")))
@@ -50,12 +50,14 @@ def _charged(blocks: Column) -> Column:
 
 def extract(pages: DataFrame, registry=REGISTRY) -> DataFrame:
     """Extractions of `pages` (page_id, url, html, and optionally selection). The markup is parsed once."""
-    pages = pages.withColumn("adapter", adapter_of(F.col("url"), registry))
+    # Adapters that read nothing only say why; the page goes on to the next.
+    readers = [a for a in registry if a.containers or a.pieces]
+    mute = [a for a in registry if a not in readers]
+    pages = pages.withColumns({"adapter": adapter_of(F.col("url"), readers), "mute": adapter_of(F.col("url"), mute)})
     if "selection" not in pages.columns:
         pages = pages.withColumn("selection", F.lit(None).cast("string"))
     light = pages.drop("html")
     # All later steps read this table, so pages are parsed once.
-    # All later steps read this table, so pages are parsed once.
     stamped = with_stamps(nodes(pages).withColumn("source", F.lit(""))).drop("source")
     rows = stored(stamped.join(light.select("page_id", "adapter"), "page_id"), "nodes")
     dense = stored(winners(rows).select("page_id", F.lit("density").alias("source"), "c_seq", "c_end"), "winners")
@@ -65,7 +67,7 @@ def extract(pages: DataFrame, registry=REGISTRY) -> DataFrame:
         content = None
     else:
         parts = stored(containers(sited, registry), "containers")
-        found = stored(blocks_from(rows.withColumn("skip", furniture(registry)), parts.drop("label").unionByName(dense)), "blocks")
+        found = stored(blocks_from(with_furniture(rows, registry), parts.drop("label").unionByName(dense)), "blocks")
         content = _adapted(found, sited, parts, light, registry).select("page_id", F.col("blocks").alias("adapted"))
     dense = gathered(found.filter("source = 'density'")).select("page_id", F.col("blocks").alias("dense"))
     if content is None:
@@ -73,11 +75,11 @@ def extract(pages: DataFrame, registry=REGISTRY) -> DataFrame:
 
     selected = collapse(F.coalesce("selection", F.lit("")))
     selection = F.when(F.char_length(selected) > MIN_SELECTION, paragraphs(F.array(selected)))
-    out = light.join(content, "page_id", "left").join(dense, "page_id", "left").join(metadata(rows), "page_id", "left")
+    out = light.join(content, "page_id", "left").join(dense, "page_id", "left").join(metadata(rows), "page_id", "left").join(signed(rows, mute), "page_id", "left")
     chosen = F.coalesce(selection, "adapted", "dense")
     strategy = F.when(selection.isNotNull(), "selection").when(F.col("adapted").isNotNull(), F.concat(F.lit("adapter:"), F.col("adapter"))).when(F.col("dense").isNotNull(), "density").otherwise("none")
     notes = F.create_map(*[F.lit(x) for a in registry if a.note for x in (a.name, a.note)])
-    reason = F.coalesce(F.try_element_at(notes, F.col("adapter")), F.lit(NOTHING))
+    reason = F.coalesce(*[F.try_element_at(notes, F.col(c)) for c in ("mute", "signed", "adapter")], F.lit(NOTHING))
     host = F.nullif(url_host(F.col("url")), F.lit(""))
     out = out.withColumns({"blocks": chosen, "ok": chosen.isNotNull()})
     return out.select(
@@ -102,7 +104,7 @@ def _adapted(found: DataFrame, sited: DataFrame, parts: DataFrame, pages: DataFr
     whole = pieces(sited, registry).withColumns({"uid": none.cast("string"), "meta": F.when(F.col("kind") == "code", code).cast(META), "label": none.cast("string")})
     labels = parts.select("page_id", "source", "label")
     body = found.filter(F.col("source").startswith("adapter")).join(labels, ["page_id", "source"], "left")
-    adapted = finished(body.unionByName(whole), pages)
+    adapted = finished(body.unionByName(whole), pages, sited)
     place = F.row_number().over(Window.partitionBy("page_id").orderBy("source", "at"))
     lists = gathered(adapted.withColumn("at", place).withColumn("source", F.lit("adapter")))
     return lists.filter(F.exists("blocks", lambda b: b["kind"] != "heading"))

@@ -1,8 +1,9 @@
 """Pages as a table of nodes.
 
 The only row-by-row Python of extraction is here: a page's markup becomes one row for each element and piece of text, in
-reading order, with the numbers of its ancestors and the end of its subtree. Everything else is joins, windows and sums
-over these rows: an element is inside another if its number lies between the other's number and end.
+reading order, with its parent, the element before it, its NEAR innermost ancestors and the end of its subtree. Everything
+else is joins, windows and sums over these rows: an element is inside another if its number lies between the other's number
+and end. A row is of bounded size but for its text, however deep a page is nested, and parsing takes linear time.
 """
 
 from __future__ import annotations
@@ -28,102 +29,110 @@ ENDS = {
     "th": (("td", "th"), ("tr", "table")),
     "option": (("option",), ("select",)),
 }
-NODE_SCHEMA = "page_id long, seq int, end int, path array<int>, is_text boolean, tag string, attrs map<string,string>, text string, in_row int, in_cell int"
+#: Ancestors that a row names, itself included.
+NEAR = 8
+NODE_SCHEMA = "page_id long, seq int, end int, parent int, before int, near array<int>, is_text boolean, tag string, attrs map<string,string>, text string, t_from int, t_to int, in_row int, in_cell int"
+END, PARENT, BEFORE, NEARS, IS_TEXT, TAG, ATTRS, WORDS, FROM, TO, ROW, CELL = range(12)
 
 
 class _Rows(HTMLParser):
-    """Rows (end, path, is_text, tag, attrs, text) in reading order; their places are their numbers."""
+    """Rows of NODE_SCHEMA's columns after the first two, in reading order; their places are their numbers. t_from and t_to
+    number the pieces of text: those of an element are t_from up to t_to."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.rows: list[list] = []
         self.open: list[int] = []
+        #: Places in `open` of each tag, and the last child element of each open element and of the page.
+        self.places: dict[str, list[int]] = {}
+        self.last: list[int | None] = [None]
+        self.texts = 0
         self.feed(html)
         self.close()
         while self.open:
             self._end()
 
-    def _tags(self) -> list[str]:
-        return [self.rows[k][3] for k in self.open]
+    def _add(self, is_text: bool, tag: str, attrs: dict | None, text: str | None) -> int:
+        at, up = len(self.rows), self.open[-1] if self.open else None
+        row, cell = (self.rows[up][ROW], self.rows[up][CELL]) if self.open else (None, None)
+        if not is_text:
+            row, cell = at if tag == "tr" else row, at if tag in ("td", "th") else cell
+        before, near = (None, None) if is_text else (self.last[-1], [*self.open[-(NEAR - 1) :], at])
+        if not is_text:
+            self.last[-1] = at
+        self.rows.append([at + 1, up, before, near, is_text, tag, attrs, text, self.texts, self.texts + (tag == TEXT), row, cell])
+        self.texts += tag == TEXT
+        return at
 
     def _text(self, text: str, tag: str = SEPARATOR) -> None:
-        self.rows.append([len(self.rows) + 1, [*self.open], True, tag, None, text])
+        self._add(True, tag, None, text)
 
     def _end(self) -> None:
         k = self.open[-1]
-        if self.rows[k][3] not in INLINE:
+        if self.rows[k][TAG] not in INLINE:
             self._text("\n")
         self.open.pop()
-        self.rows[k][0] = len(self.rows)
+        self.last.pop()
+        self.places[self.rows[k][TAG]].pop()
+        self.rows[k][END], self.rows[k][TO] = len(self.rows), self.texts
+
+    def _place(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
 
     def _end_to(self, names, borders) -> None:
-        tags = self._tags()
-        for k in range(len(tags) - 1, -1, -1):
-            if tags[k] in borders:
-                return
-            if tags[k] in names:
-                while len(self.open) > k:
-                    self._end()
-                return
+        at = self._place(names)
+        if at > self._place(borders):
+            while len(self.open) > at:
+                self._end()
 
     def handle_starttag(self, tag, attrs):
         if tag in CLOSE_P:
             self._end_to(("p",), ("button", "td", "th", "table", "caption", "object"))
         if tag in ENDS:
             self._end_to(*ENDS[tag])
-        at = len(self.rows)
-        self.rows.append([at + 1, [*self.open, at], False, tag, {k: v or "" for k, v in reversed(attrs)}, None])
+        at = self._add(False, tag, {k: v or "" for k, v in reversed(attrs)}, None)
         if tag in VOID:
             if tag == "br":
                 self._text("\n")
             return
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append(at)
+        self.last.append(None)
         if tag not in INLINE:
             self._text("\n")
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in INLINE and self.open and self.rows[self.open[-1]][3] == tag and tag in ("svg", "path", "embed"):
+        if tag not in VOID and tag not in INLINE and self.open and self.rows[self.open[-1]][TAG] == tag and tag in ("svg", "path", "embed"):
             self._end()
 
     def handle_endtag(self, tag):
-        if tag in self._tags():
-            self._end_to((tag,), ())
+        self._end_to((tag,), ())
 
     def handle_data(self, data):
         if data:
             self._text(data, TEXT)
 
 
-def _innermost(rows: list[list], tags: tuple[str, ...]) -> list[int | None]:
-    """For each row, the number of the innermost element with one of these tags that it is in or is."""
-    out: list[int | None] = []
-    for k, (_, path, is_text, tag, _, _) in enumerate(rows):
-        above = path if is_text else path[:-1]
-        out.append(k if not is_text and tag in tags else out[above[-1]] if above else None)
-    return out
-
-
 def nodes(pages: DataFrame) -> DataFrame:
     """NODE_SCHEMA rows of `pages` (page_id, html). Markup that can't be read gives no rows."""
 
     def work(batches):
         import pyarrow as pa
 
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.bool_(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), *[pa.int32()] * 4]
+        names = [f.split()[0] for f in NODE_SCHEMA.split(", ")]
         for batch in batches:
             for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 try:
                     rows = _Rows(html or "").rows
                 except (AssertionError, ValueError):
                     rows = []
-                cols = [*zip(*rows, strict=True)] or [[] for _ in range(6)]
-                places = [_innermost(rows, tags) for tags in (("tr",), ("td", "th"))]
-                kinds = [pa.int32(), pa.list_(pa.int32()), pa.bool_(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
-                maps = [None if m is None else [*m.items()] for m in cols[4]]
-                arrays = [pa.array(c, k) for c, k in zip((*cols[:4], maps, cols[5]), kinds, strict=True)]
+                cols = [*zip(*rows, strict=True)] or [[] for _ in kinds]
+                cols[ATTRS] = [None if m is None else [*m.items()] for m in cols[ATTRS]]
+                arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
                 head = [pa.array([page_id] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int32())]
-                arrays += [pa.array(p, pa.int32()) for p in places]
-                yield pa.RecordBatch.from_arrays([*head, *arrays], ["page_id", "seq", "end", "path", "is_text", "tag", "attrs", "text", "in_row", "in_cell"])
+                yield pa.RecordBatch.from_arrays([*head, *arrays], names)
 
     return pages.select("page_id", "html").mapInArrow(work, NODE_SCHEMA)
 
@@ -135,56 +144,3 @@ def attr(name: str) -> Column:
 
 def has_class(name: str) -> Column:
     return F.array_contains(F.split(attr("class"), r"\s+"), name)
-
-
-def css(selector: str) -> Column:
-    """A compound selector (tag, .class, #id, [attr], [attr="v"], [attr^="v"], [attr*="v"]) as a condition on a node."""
-    import re
-
-    out = ~F.col("is_text")
-    for m in re.finditer(r"""\[(?P<attr>[\w-]+)(?:(?P<op>[*^]?=)["']?(?P<value>[^"'\]]*)["']?)?\]|\.(?P<cls>[\w-]+)|\#(?P<id>[\w-]+)|(?P<tag>[\w-]+)""", selector):
-        if m["tag"]:
-            out = out & (F.col("tag") == m["tag"].lower())
-        elif m["cls"]:
-            out = out & has_class(m["cls"])
-        elif m["id"]:
-            out = out & (attr("id") == m["id"])
-        elif m["op"] is None:
-            out = out & F.map_contains_key("attrs", m["attr"])
-        else:
-            value = attr(m["attr"])
-            out = out & {"=": value == m["value"], "^=": value.startswith(m["value"]), "*=": value.contains(m["value"])}[m["op"]]
-    return out
-
-
-def below(selector: str, inside) -> Column:
-    """A selector of compounds one inside the other; `inside` tells whether a node is in the subtree of another."""
-    parts = [p for p in selector.replace(">", " ").split() if p]
-    out = css(parts[-1])
-    for p in parts[:-1]:
-        out = out & inside(F.coalesce(css(p), F.lit(False)))
-    return F.coalesce(out, F.lit(False))
-
-
-def any_of(selectors) -> Column:
-    """Whether a node matches any selector; those of one class, id or tag are looked up together."""
-    import re
-
-    lone = {"class": [], "id": [], "tag": []}
-    rest = []
-    for s in selectors:
-        kind = "class" if re.fullmatch(r"\.[\w-]+", s) else "id" if re.fullmatch(r"#[\w-]+", s) else "tag" if re.fullmatch(r"[\w-]+", s) else None
-        if kind is None:
-            rest.append(s)
-        else:
-            lone[kind].append(s.lstrip(".#"))
-    out = F.lit(False)
-    if lone["class"]:
-        out = out | F.arrays_overlap(F.split(attr("class"), r"\s+"), F.array(*map(F.lit, lone["class"])))
-    if lone["id"]:
-        out = out | attr("id").isin(*lone["id"])
-    if lone["tag"]:
-        out = out | F.col("tag").isin(*lone["tag"])
-    for s in rest:
-        out = out | css(s)
-    return F.coalesce(~F.col("is_text") & out, F.lit(False))

@@ -1,8 +1,8 @@
 """From blocks to utterances and statistics.
 
 Everything stays in a page's row until its blocks are exploded: which block opens the document, and so gets the small
-first chunk, is found among the page's array, without a window or a shuffle. Utterances are numbered by their page's
-order the same way: pieces are collected inside the row and exploded once.
+first chunk, is found among the page's array, without a window or a shuffle. Then utterances are numbered by a window over
+their page, the one shuffle there is.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ from lectern.functions import text as X
 from lectern.operators import accounting as A
 from lectern.operators.extract import extract
 from lectern.operators.speech import speechify, stats
-from lectern.plans.storage import stored
+from lectern.plans.storage import spread, stored
 from lectern.sources.tables import from_documents, from_pdf, from_selection, readable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,7 +65,7 @@ def _normal_sql(x: str) -> str:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 @query(f"SELECT doc_id, {_tidy_sql('text')} AS tidy FROM documents")
@@ -112,15 +112,30 @@ def chunks(spark, sf_dir):
     return made.select("doc_id", F.size("c").alias("chunks"), F.array_max(F.transform("c", F.char_length)).alias("longest"))
 
 
+@query(
+    f"""WITH RECURSIVE s AS MATERIALIZED (SELECT doc_id, {_SPLIT} AS parts FROM documents),
+    f(doc_id, i, chunk, size) AS (
+        SELECT doc_id, 1, 0, length(parts[1]) FROM s WHERE len(parts) > 0 UNION ALL
+        SELECT doc_id, i + 1, CASE WHEN fits THEN chunk ELSE chunk + 1 END, CASE WHEN fits THEN size + 1 + n ELSE n END
+        FROM (SELECT *, size + 1 + n <= (CASE WHEN chunk = 0 THEN 180 ELSE 420 END) AS fits FROM (SELECT f.*, length(parts[i + 1]) AS n FROM f JOIN s USING (doc_id) WHERE i < len(parts)))
+    ), c AS (SELECT doc_id, chunk, string_agg(parts[i], ' ' ORDER BY i) AS said FROM f JOIN s USING (doc_id) GROUP BY doc_id, chunk)
+    SELECT s.doc_id, CAST(count(chunk) AS INTEGER) AS chunks, max(length(said)) AS longest, coalesce(string_agg(said, '|' ORDER BY chunk), '') AS joined FROM s LEFT JOIN c ON c.doc_id = s.doc_id GROUP BY s.doc_id"""
+)
+def chunks_regex(spark, sf_dir):
+    """Chunks of the sentences that Spark's own expressions find."""
+    made = _texts(spark, sf_dir).select("doc_id", S.merge_short(S.regex_sentences(X.tidy(F.col("text"))), 420, 180).alias("c"))
+    return made.select("doc_id", F.size("c").alias("chunks"), F.array_max(F.transform("c", F.char_length)).cast("long").alias("longest"), F.array_join("c", "|").alias("joined"))
+
+
 @query()
 def document_utterances(spark, sf_dir):
-    return speechify(from_documents(table(spark, sf_dir, "documents")))
+    return speechify(from_documents(spread(table(spark, sf_dir, "documents"))))
 
 
 @query()
 def document_speech(spark, sf_dir):
     """What reading all documents aloud takes, by language."""
-    docs = from_documents(table(spark, sf_dir, "documents"))
+    docs = from_documents(spread(table(spark, sf_dir, "documents")))
     each = stats(docs, speechify(docs)).join(docs.select("page_id", "lang"), "page_id")
     return each.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), *[F.sum(c).alias(c) for c in ("utterances", "total_bytes", "words", "est_seconds")])
 
@@ -138,7 +153,7 @@ def labels_of_lengths(spark, sf_dir):
 
 
 def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(extract(readable(table(spark, sf_dir, "pages"))), "extractions")
+    return stored(extract(readable(spread(table(spark, sf_dir, "pages")))), "extractions")
 
 
 @query("SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\\.', '') AS host, starts_with(url, 'about:') OR starts_with(url, 'chrome://') AS blocked FROM pages")

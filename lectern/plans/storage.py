@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,12 +16,19 @@ def shared_root(spark: SparkSession) -> str:
     where there is one machine only, a temporary one."""
     root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not root:
-        local = spark.sparkContext.master.startswith("local")
-        root = tempfile.mkdtemp(prefix="lectern-") if local else spark.conf.get("spark.sql.warehouse.dir")
+        alone = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        root = tempfile.mkdtemp(prefix="lectern-") if alone else spark.conf.get("spark.sql.warehouse.dir")
+        if not alone and (root.startswith("file:") or "://" not in root and ":/" not in root and not _shared_default(spark)):
+            raise ValueError(f"set {CHECKPOINT_DIR}: {root} is a folder of one machine, which executors don't share")
         spark.conf.set(CHECKPOINT_DIR, root)
     return root.rstrip("/")
 
 
+def _shared_default(spark: SparkSession) -> bool:
+    """Whether a path without a scheme is on a file system that machines share."""
+    return not spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder; callers own what they write there."""
     return f"{shared_root(spark)}/lectern/{uuid.uuid4().hex}/{name}"
@@ -32,3 +40,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` in as many parts as tasks can run, if it has fewer: a table of one row group is one part, and what is computed
+    for each of its rows would be one task's. Larger tables stay as they are read, without a shuffle."""
+    most = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= most else df.repartition(most)

@@ -107,10 +107,18 @@ def test_adapters(found):
 def test_nodes_are_intervals(spark):
     rows = sorted(nodes(spark.createDataFrame([(1, "<p>a<b>b<p>c<br></i>d<script>x</p></script><svg/>e&nbsp;&lt;"), (2, None)], "page_id long, html string")).collect(), key=lambda r: (r.page_id, r.seq))
     assert {r.page_id for r in rows} == {1} and [r.seq for r in rows] == [*range(len(rows))]
+    by = {r.seq: r for r in rows}
     for r in rows:
-        inner = [x for x in rows if r.seq < x.seq < r.end]
-        assert r.is_text or all(r.seq in x.path for x in inner)
-        assert not any(r.seq in x.path for x in rows if x.seq >= r.end)
+        above, up = [], r.parent
+        while up is not None:
+            above.append(up)
+            up = by[up].parent
+        assert above == [x.seq for x in reversed(rows) if x.seq < r.seq < x.end]
+        assert r.is_text or r.near == [*reversed(above[:7]), r.seq]
+        elder = [x.seq for x in rows if not x.is_text and x.parent == r.parent and x.seq < r.seq]
+        assert r.is_text or r.before == max(elder, default=None)
+        texts = [x.t_from for x in rows if x.tag == "#text" and r.seq <= x.seq < r.end]
+        assert texts == [*range(r.t_from, r.t_to)]
     assert "".join(r.text for r in rows if r.tag == "#text") == "abcdx</p>e\xa0<"
 
 
