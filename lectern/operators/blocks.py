@@ -107,10 +107,23 @@ def with_stamps(rows: DataFrame) -> DataFrame:
     return out.withColumn("stamp", F.when(F.col("__can") & (number <= MAX_STAMPS), number)).drop("__can")
 
 
+def held_by(nodes: DataFrame, containers: DataFrame) -> DataFrame:
+    """Node rows that containers (page_id, source, c_seq, c_end) hold, with these columns. A source's name up to '#' is its
+    family; containers of a family don't overlap, so a node's is the last that began, if it isn't over. Pages are read once
+    for each of their families, however many containers these have."""
+    spans = containers.withColumn("family", F.split("source", "#")[0])
+    each = nodes.join(spans.select("page_id", "family").distinct(), "page_id")
+    starts = spans.select("page_id", "family", F.col("c_seq").alias("seq"), F.struct("source", "c_seq", "c_end").alias("span"))
+    marked = each.join(starts, ["page_id", "family", "seq"], "left")
+    order = Window.partitionBy("page_id", "family").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    last = marked.withColumn("span", F.last("span", ignorenulls=True).over(order)).filter(F.col("span.c_end") > F.col("seq"))
+    return last.select(*nodes.columns, "span.source", "span.c_seq", "span.c_end")
+
+
 def blocks_from(nodes: DataFrame, containers: DataFrame) -> DataFrame:
     """Exploded blocks (page_id, source, at, kind, level, text, uid, meta) of node rows (page_id, seq, end, near, ...,
     stamp) inside containers (page_id, source, c_seq, c_end); rows may have skip: adapters' furniture."""
-    rows = nodes.join(containers, "page_id").filter((F.col("seq") >= F.col("c_seq")) & (F.col("seq") < F.col("c_end")))
+    rows = held_by(nodes, containers)
     skip = F.coalesce(F.col("skip"), F.lit(False)) & F.col("source").startswith("adapter") if "skip" in nodes.columns else F.lit(False)
     is_root = F.col("seq") == F.col("c_seq")
     element = ~F.col("is_text")

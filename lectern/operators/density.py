@@ -63,14 +63,14 @@ def score() -> Column:
     return F.when(visible < LEAST_CHARS, F.lit(-1.0)).otherwise(s * (1 - F.least(links, F.lit(0.95))))
 
 
-def winners(nodes: DataFrame) -> DataFrame:
-    """(page_id, c_seq, c_end): the best container of each page that has one, tightened."""
+def winners(features: DataFrame) -> DataFrame:
+    """(page_id, c_seq, c_end): of elements with features the best container of each page that has one, tightened."""
     page = Window.partitionBy("page_id")
     # Of several bodies, or none, the outermost element that holds the page.
     outer = F.when(F.col("tag") == "body", 0).when(F.col("tag") == "html", 1).otherwise(2)
-    rooted = features(nodes).withColumn("root", F.min(F.struct(outer.alias("r"), "seq", "end")).over(page))
+    rooted = features.withColumn("root", F.min(F.struct(outer.alias("r"), "seq", "end")).over(page))
     elements = rooted.filter((F.col("seq") >= F.col("root.seq")) & (F.col("seq") < F.col("root.end")))
-    elements = stored(elements.select("page_id", "seq", "end", "parent", "tag", "attrs", "is_text", "chars", "visible", "in_links", "commas", "elements", "prose", "veiled", (F.col("seq") == F.col("root.seq")).alias("is_root")), "features")
+    elements = stored(elements.select("page_id", "seq", "end", "parent", "tag", "attrs", "is_text", "chars", "visible", "in_links", "commas", "elements", "prose", "veiled", (F.col("seq") == F.col("root.seq")).alias("is_root")), "candidates")
     wanted = (any_of(CANDIDATES) & ~F.col("veiled")) | F.col("is_root")
     ranked = elements.filter(wanted & (F.col("chars") >= LEAST_CHARS)).withColumn("k", F.row_number().over(page.orderBy(F.desc("chars"), "seq")))
     scored = ranked.filter(F.col("k") <= MOST_CANDIDATES).withColumn("score", score()).filter("score > 0")
@@ -87,11 +87,12 @@ def winners(nodes: DataFrame) -> DataFrame:
     return best.join(down, "page_id", "left").select("page_id", end.alias("c")).select("page_id", F.col("c.seq").alias("c_seq"), F.col("c.end").alias("c_end"))
 
 
-def article_score(nodes: DataFrame) -> DataFrame:
+def article_score(features: DataFrame) -> DataFrame:
     """(page_id, score, is_article): whether a page looks like an article, by the roots of its prose's lengths."""
+    nodes = features
     named = F.concat(attr("class"), F.lit(" "), attr("id"))
     breaks = nodes.filter("tag = 'br'").select("page_id", F.col("parent").alias("seq")).distinct().withColumn("breaks", F.lit(True))
-    rows = features(nodes).withColumn("listed", _within(F.col("tag") == "li")).join(breaks, ["page_id", "seq"], "left")
+    rows = features.withColumn("listed", _within(F.col("tag") == "li")).join(breaks, ["page_id", "seq"], "left")
     prose = rows.filter((F.col("tag").isin("p", "pre", "article") | ((F.col("tag") == "div") & F.col("breaks"))) & ~F.col("veiled") & (F.col("chars") >= LEAST_CHARS) & ~(named.rlike(UNLIKELY) & ~named.rlike(MAYBE)))
     sums = prose.filter("tag <> 'p' OR NOT listed").groupBy("page_id").agg(F.sum(F.sqrt(F.col("chars") - LEAST_CHARS)).alias("score"))
     return nodes.select("page_id").distinct().join(sums, "page_id", "left").select("page_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce(F.col("score") > 20, F.lit(False)).alias("is_article"))

@@ -1,7 +1,8 @@
 """Extractions of pages: strategies in turn, metadata, and the first that gives blocks.
 
-A selection wins, then the site's adapter, then the densest container; a page that gives nothing is a row with its reason.
-The slot of an article reader between the last two is not filled.
+A selection wins, then the site's adapter, then the article, then the densest container; the last two if they give
+LEAST_CHARS characters, else the longer of them, the article if they are equal. A page that gives nothing is a row with its
+reason.
 """
 
 from __future__ import annotations
@@ -11,15 +12,17 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import collapse, detect_lang, url_host, word_count
 from lectern.operators.adapters import REGISTRY, adapter_of, containers, finished, pieces, signed, whole_text, with_furniture
+from lectern.operators.article import articles
 from lectern.operators.blocks import blocks_from, gathered, with_stamps
-from lectern.operators.density import winners
+from lectern.operators.density import article_score, features, winners
 from lectern.operators.nodes import attr, has_class, nodes
 from lectern.plans.storage import stored
 from lectern.schema import META
 from lectern.sources.tables import MIN_SELECTION, paragraphs
 
 NOTHING = "Nothing readable was found on this page."
-MOST_BYLINE = 120
+#: Longest byline, and how much an article or a dense container must give to be taken at once.
+MOST_BYLINE, LEAST_CHARS = 120, 250
 
 
 def metadata(rows: DataFrame) -> DataFrame:
@@ -48,8 +51,19 @@ def _charged(blocks: Column) -> Column:
     return F.aggregate(blocks, F.lit(0), lambda a, b: a + word_count(b["text"]))
 
 
-def extract(pages: DataFrame, registry=REGISTRY) -> DataFrame:
-    """Extractions of `pages` (page_id, url, html, and optionally selection). The markup is parsed once."""
+def _chars(blocks: Column) -> Column:
+    return F.aggregate(blocks, F.lit(0), lambda a, b: a + F.char_length(b["text"]))
+
+
+def article_wins(article: Column, dense: Column) -> Column:
+    """Whether an article of so many characters is read rather than a dense container of so many; null: there is none."""
+    a, d = F.coalesce(article, F.lit(-1)), F.coalesce(dense, F.lit(-1))
+    return (a >= LEAST_CHARS) | ((a >= 0) & (d < LEAST_CHARS) & (a >= d))
+
+
+def extract(pages: DataFrame, registry=REGISTRY, reader: bool = True) -> DataFrame:
+    """Extractions of `pages` (page_id, url, html, and optionally selection). The markup is parsed once. Without `reader` no
+    articles are looked for."""
     # Adapters that read nothing only say why; the page goes on to the next.
     readers = [a for a in registry if a.containers or a.pieces]
     mute = [a for a in registry if a not in readers]
@@ -60,7 +74,14 @@ def extract(pages: DataFrame, registry=REGISTRY) -> DataFrame:
     # All later steps read this table, so pages are parsed once.
     stamped = with_stamps(nodes(pages).withColumn("source", F.lit(""))).drop("source")
     rows = stored(stamped.join(light.select("page_id", "adapter"), "page_id"), "nodes")
-    dense = stored(winners(rows).select("page_id", F.lit("density").alias("source"), "c_seq", "c_end"), "winners")
+    elements = stored(features(rows), "features")
+    dense = winners(elements).select("page_id", F.lit("density").alias("source"), "c_seq", "c_end")
+    if reader:
+        likely = article_score(elements).filter("is_article").select("page_id")
+        found = articles(elements.join(likely, "page_id", "left_semi"), rows, LEAST_CHARS)
+        place = F.row_number().over(Window.partitionBy("page_id").orderBy("c_seq"))
+        dense = dense.unionByName(found.select("page_id", F.format_string("article#%06d", place).alias("source"), "c_seq", "c_end"))
+    dense = stored(dense, "winners")
     sited = rows.filter("adapter IS NOT NULL")
     if sited.isEmpty():
         found = stored(blocks_from(rows, dense), "blocks")
@@ -69,15 +90,18 @@ def extract(pages: DataFrame, registry=REGISTRY) -> DataFrame:
         parts = stored(containers(sited, registry), "containers")
         found = stored(blocks_from(with_furniture(rows, registry), parts.drop("label").unionByName(dense)), "blocks")
         content = _adapted(found, sited, parts, light, registry).select("page_id", F.col("blocks").alias("adapted"))
-    dense = gathered(found.filter("source = 'density'")).select("page_id", F.col("blocks").alias("dense"))
+    # An article's parts are read one after the other, as one list.
+    whole = gathered(found.filter("NOT source LIKE 'adapter%'").withColumn("source", F.split("source", "#")[0]))
+    lists = whole.groupBy("page_id").agg(*[F.first(F.when(F.col("source") == name, F.col("blocks")), ignorenulls=True).alias(to) for name, to in (("article", "article"), ("density", "dense"))])
     if content is None:
-        content = dense.select("page_id", F.lit(None).cast(dense.schema["dense"].dataType).alias("adapted"))
+        content = lists.select("page_id", F.lit(None).cast(lists.schema["dense"].dataType).alias("adapted"))
 
     selected = collapse(F.coalesce("selection", F.lit("")))
     selection = F.when(F.char_length(selected) > MIN_SELECTION, paragraphs(F.array(selected)))
-    out = light.join(content, "page_id", "left").join(dense, "page_id", "left").join(metadata(rows), "page_id", "left").join(signed(rows, mute), "page_id", "left")
-    chosen = F.coalesce(selection, "adapted", "dense")
-    strategy = F.when(selection.isNotNull(), "selection").when(F.col("adapted").isNotNull(), F.concat(F.lit("adapter:"), F.col("adapter"))).when(F.col("dense").isNotNull(), "density").otherwise("none")
+    out = light.join(content, "page_id", "left").join(lists, "page_id", "left").join(metadata(rows), "page_id", "left").join(signed(rows, mute), "page_id", "left")
+    reads = article_wins(_chars(F.col("article")), _chars(F.col("dense")))
+    chosen = F.coalesce(selection, "adapted", F.when(reads, F.col("article")).otherwise(F.col("dense")))
+    strategy = F.when(selection.isNotNull(), "selection").when(F.col("adapted").isNotNull(), F.concat(F.lit("adapter:"), F.col("adapter"))).when(reads, "readability").when(F.col("dense").isNotNull(), "density").otherwise("none")
     notes = F.create_map(*[F.lit(x) for a in registry if a.note for x in (a.name, a.note)])
     reason = F.coalesce(*[F.try_element_at(notes, F.col(c)) for c in ("mute", "signed", "adapter")], F.lit(NOTHING))
     host = F.nullif(url_host(F.col("url")), F.lit(""))

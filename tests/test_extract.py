@@ -3,7 +3,7 @@
 import pytest
 
 from lectern.operators.adapters import REGISTRY
-from lectern.operators.density import article_score
+from lectern.operators.density import article_score, features
 from lectern.operators.extract import NOTHING, extract
 from lectern.operators.nodes import nodes
 from lectern.sources.tables import from_documents, from_pdf, from_selection, is_pdf, readable
@@ -53,7 +53,7 @@ def said(row):
 def test_kinds(found):
     row = found[1]
     blocks = said(row)
-    assert (row.title, row.site_name, row.byline, row.lang, row.strategy) == ("A title", "Site", "Ann B.", "de-AT", "density")
+    assert (row.title, row.site_name, row.byline, row.lang, row.strategy) == ("A title", "Site", "Ann B.", "de-AT", "readability")
     assert blocks[0] == ("heading", "Main & head") and row.blocks[0].level == 1
     assert blocks[1][0] == "paragraph" and blocks[1][1].endswith("antipattern") and blocks[2][1].startswith("Second one")
     assert ("list-item", "first item") in blocks and ("list-item", "second item") in blocks and ("quote", "quoted words here") in blocks
@@ -87,7 +87,7 @@ def test_menus_lose(found):
 
 def test_selection(found):
     assert found[30].strategy == "selection" and said(found[30]) == [("paragraph", "these words were selected by hand")]
-    assert found[31].strategy == "density"
+    assert found[31].strategy == "density" and found[2].strategy == "density"
 
 
 def test_adapters(found):
@@ -124,7 +124,7 @@ def test_nodes_are_intervals(spark):
 
 def test_article_score(spark):
     pages = [(1, f"<p>{LONG * 4}</p><p>{LONG * 4}</p>"), (2, f"<ul><li><p>{LONG * 9}</p></li></ul>"), (3, f"<div class='sidebar'>{LONG * 9}<br></div>"), (4, f"<div>{LONG * 9}<br>x</div>"), (5, "<p>x</p>")]
-    got = {r.page_id: r.is_article for r in article_score(nodes(spark.createDataFrame(pages, "page_id long, html string"))).collect()}
+    got = {r.page_id: r.is_article for r in article_score(features(nodes(spark.createDataFrame(pages, "page_id long, html string")))).collect()}
     assert got == {1: True, 2: False, 3: False, 4: True, 5: False}
 
 
