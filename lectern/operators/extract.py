@@ -7,6 +7,8 @@ reason.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +16,10 @@ from lectern.functions.text import collapse, detect_lang, url_host, word_count
 from lectern.operators.adapters import REGISTRY, adapter_of, containers, finished, pieces, signed, whole_text, with_furniture
 from lectern.operators.article import articles
 from lectern.operators.blocks import blocks_from, gathered, with_stamps
+from lectern.operators.custom import PageAdapter, adapted
 from lectern.operators.density import article_score, features, winners
 from lectern.operators.nodes import attr, has_class, nodes
+from lectern.operators.selection import RANGE, selected_blocks
 from lectern.plans.storage import stored
 from lectern.schema import META
 from lectern.sources.tables import MIN_SELECTION, paragraphs
@@ -61,9 +65,10 @@ def article_wins(article: Column, dense: Column) -> Column:
     return (a >= LEAST_CHARS) | ((a >= 0) & (d < LEAST_CHARS) & (a >= d))
 
 
-def extract(pages: DataFrame, registry=REGISTRY, reader: bool = True) -> DataFrame:
-    """Extractions of `pages` (page_id, url, html, and optionally selection). The markup is parsed once. Without `reader` no
-    articles are looked for."""
+def extract(pages: DataFrame, registry=REGISTRY, reader: bool = True, adapters: Sequence[PageAdapter] = ()) -> DataFrame:
+    """Extractions of `pages` (page_id, url, html, and optionally selection, a text, or range, as in operators.selection). The
+    markup is parsed once. Without `reader` no
+    articles are looked for. `adapters`, which users write, are tried before those of the registry."""
     # Adapters that read nothing only say why; the page goes on to the next.
     readers = [a for a in registry if a.containers or a.pieces]
     mute = [a for a in registry if a not in readers]
@@ -96,12 +101,21 @@ def extract(pages: DataFrame, registry=REGISTRY, reader: bool = True) -> DataFra
     if content is None:
         content = lists.select("page_id", F.lit(None).cast(lists.schema["dense"].dataType).alias("adapted"))
 
+    if adapters:
+        content = content.join(_customs(rows, light, adapters), "page_id", "full").withColumns({"adapted": F.coalesce("own", "adapted"), "named": F.col("own_name")}).drop("own", "own_name")
+    else:
+        content = content.withColumn("named", F.lit(None).cast("string"))
+
     selected = collapse(F.coalesce("selection", F.lit("")))
     selection = F.when(F.char_length(selected) > MIN_SELECTION, paragraphs(F.array(selected)))
+    if "range" in pages.columns:
+        chosen = selected_blocks(rows, light.filter("range IS NOT NULL").select("page_id", F.col("range").cast(RANGE).alias("range")))
+        content = content.join(chosen.withColumnRenamed("blocks", "cut_out"), "page_id", "full")
+        selection = F.coalesce("cut_out", selection)
     out = light.join(content, "page_id", "left").join(lists, "page_id", "left").join(metadata(rows), "page_id", "left").join(signed(rows, mute), "page_id", "left")
     reads = article_wins(_chars(F.col("article")), _chars(F.col("dense")))
     chosen = F.coalesce(selection, "adapted", F.when(reads, F.col("article")).otherwise(F.col("dense")))
-    strategy = F.when(selection.isNotNull(), "selection").when(F.col("adapted").isNotNull(), F.concat(F.lit("adapter:"), F.col("adapter"))).when(reads, "readability").when(F.col("dense").isNotNull(), "density").otherwise("none")
+    strategy = F.when(selection.isNotNull(), "selection").when(F.col("adapted").isNotNull(), F.concat(F.lit("adapter:"), F.coalesce("named", "adapter"))).when(reads, "readability").when(F.col("dense").isNotNull(), "density").otherwise("none")
     notes = F.create_map(*[F.lit(x) for a in registry if a.note for x in (a.name, a.note)])
     reason = F.coalesce(*[F.try_element_at(notes, F.col(c)) for c in ("mute", "signed", "adapter")], F.lit(NOTHING))
     host = F.nullif(url_host(F.col("url")), F.lit(""))
@@ -121,6 +135,16 @@ def extract(pages: DataFrame, registry=REGISTRY, reader: bool = True) -> DataFra
     )
 
 
+def _customs(rows: DataFrame, pages: DataFrame, adapters: Sequence[PageAdapter]) -> DataFrame:
+    """(page_id, own, own_name): blocks of the pages that users' adapters read, with the ids of elements that have one."""
+    none = F.lit(None)
+    read = adapted(rows, pages, adapters)
+    stamps = rows.filter("stamp IS NOT NULL").select("page_id", "seq", F.concat(F.lit("u"), F.col("stamp").cast("string")).alias("uid"))
+    blocks = stored(read.join(stamps, ["page_id", "seq"], "left").withColumn("meta", none.cast(META)), "customs")
+    names = blocks.groupBy("page_id").agg(F.first("adapter").alias("own_name"))
+    return gathered(blocks).select("page_id", F.col("blocks").alias("own")).join(names, "page_id")
+
+
 def _adapted(found: DataFrame, sited: DataFrame, parts: DataFrame, pages: DataFrame, registry) -> DataFrame:
     """(page_id, blocks) of the adapters that give more than titles."""
     none = F.lit(None)

@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from lectern.functions import sentences as S
 from lectern.functions import text as X
 from lectern.operators import accounting as A
+from lectern.operators.blocks import with_stamps
+from lectern.operators.custom import register
+from lectern.operators.density import article_score, features
 from lectern.operators.extract import extract
+from lectern.operators.highlight import sentence_places
+from lectern.operators.nodes import nodes
+from lectern.operators.selectors import ranked
 from lectern.operators.speech import speechify, stats
 from lectern.plans.storage import spread, stored
 from lectern.sources.tables import from_documents, from_pdf, from_selection, readable, table
@@ -171,16 +177,144 @@ def page_titles(spark, sf_dir):
     return _extracted(spark, sf_dir).select("page_id", "title", "lang")
 
 
-@query()
+#: Pages of the tables are of one build: head, a list of links, an advertisement, an article of h1 and p, a footer.
+_SAID = "regexp_replace({x}, '<[^>]*>', '', 'g')"
+for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    _SAID = f"replace({_SAID}, '{_entity}', '{_char}')"
+
+
+def _said_sql(x: str) -> str:
+    return _SAID.replace("{x}", x)
+
+
+#: Of each page that may be read the texts of h1 and all p, in order, and as blocks without those that restate others.
+_ARTICLES = f"""parts AS (
+    SELECT page_id, url, html, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS article, (length(html) - length(replace(html, '<li>', ''))) // 4 AS items,
+    list_prepend(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), string_split(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<p>')[2:]) AS raw
+    FROM pages WHERE NOT (starts_with(url, 'about:') OR starts_with(url, 'chrome://'))
+), texts AS (
+    SELECT *, list_transform(range(len(raw)), lambda k: {{'i': k, 'text': {_collapse_sql(_said_sql("raw[k + 1]"))}, 'raw': {_said_sql("raw[k + 1]")}}}) AS said FROM parts
+), sizes AS (
+    SELECT *, length({_said_sql("article")}) AS size, length({_said_sql("body")}) AS around, regexp_extract(body, '(?s)<div class="ad">(.*?)</div>', 1) AS ad, len(regexp_extract_all(body, '<[a-z]')) AS tags,
+    len(list_filter(list_concat(list_transform(said, lambda s: s.raw), list_transform(regexp_extract_all(body, '(?s)<li>(.*?)</li>', 1), lambda s: {_said_sql("s")})), lambda s: length(s) >= 25)) AS prose,
+    length(regexp_replace({_said_sql("body")}, '[^,，、؛]', '', 'g')) AS commas, length({_said_sql("array_to_string(regexp_extract_all(body, '(?s)<a [^>]*>(.*?)</a>', 1), '')")}) AS links
+    FROM (SELECT *, regexp_extract(html, '(?s)<body>(.*)</body>', 1) AS body FROM texts)
+), found AS (
+    SELECT *, CASE WHEN size >= 140 THEN said WHEN around >= 140 AND 12 * prose + 3 * least(commas, 60) + least(around / 100, 60) + least(around / (tags + 1), 40) - (CASE WHEN prose = 0 THEN 25 ELSE 0 END) - (CASE WHEN links > around / 2 THEN 40 ELSE 0 END) > 0
+        THEN CASE WHEN length({_collapse_sql(_said_sql("ad"))}) >= 12 AND contains({_collapse_sql(_said_sql("ad"))}, ' ') THEN list_prepend({{'i': -2::BIGINT, 'text': {_collapse_sql(_said_sql("ad"))}, 'raw': {_said_sql("ad")}}}, said) ELSE said END
+        ELSE said[:0] END AS told FROM sizes
+), folded AS (
+    SELECT *, CASE WHEN len(told) = 0 THEN [] ELSE list_reduce(list_transform(list_filter(told, lambda s: s.text <> ''), lambda s: [s]),
+        lambda a, b: CASE WHEN contains(a[-1].text, b[1].text) THEN a WHEN contains(b[1].text, a[-1].text) THEN list_concat(a[:-2], b) ELSE list_concat(a, b) END) END AS kept FROM found
+), scores AS (
+    SELECT page_id, list_sum(list_transform(list_filter(list_append(list_transform(said[2:], lambda s: length(s.raw)), length({_said_sql("article")})), lambda n: n >= 140), lambda n: sqrt(n - 140))) AS score FROM texts
+)"""
+
+
+@query(f"WITH {_ARTICLES} SELECT page_id, round(coalesce(score, 0), 6) AS score, coalesce(score, 0) > 20 AS is_article FROM scores")
+def article_scores(spark, sf_dir):
+    """Whether a page looks like an article."""
+    pages = readable(spread(table(spark, sf_dir, "pages")))
+    return article_score(features(stored(nodes(pages), "nodes"))).select("page_id", F.round("score", 6).alias("score"), "is_article")
+
+
+@query(
+    f"""WITH {_ARTICLES} SELECT page_id, len(kept) > 0 AS ok, {_collapse_sql(_TITLE)} AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
+    CASE WHEN len(kept) = 0 THEN 'none' WHEN score > 20 THEN 'readability' ELSE 'density' END AS strategy, CASE WHEN len(kept) = 0 THEN 'Nothing readable was found on this page.' END AS reason,
+    CAST(coalesce(list_sum(list_transform(kept, lambda s: len(string_split(s.text, ' ')))), 0) AS INTEGER) AS word_count, CAST(len(kept) AS INTEGER) AS blocks FROM folded JOIN scores USING (page_id)"""
+)
 def page_extractions(spark, sf_dir):
     return _extracted(spark, sf_dir).select("page_id", "ok", "title", "lang", "strategy", "reason", "word_count", F.size("blocks").alias("blocks"))
 
 
-@query()
+@query(
+    f"""WITH {_ARTICLES}, b AS (SELECT page_id, items, unnest(kept) AS s, unnest(range(len(kept))) AS k FROM folded)
+    SELECT page_id, CAST(k AS INTEGER) AS seq, 'b' || k AS id, CASE WHEN s.i = 0 THEN 'heading' ELSE 'paragraph' END AS kind, CASE WHEN s.i = 0 THEN 1 END AS level, s.text AS text, 'u' || (items + 5 + s.i) AS uid FROM b"""
+)
 def page_blocks(spark, sf_dir):
     return _extracted(spark, sf_dir).select("page_id", F.explode("blocks").alias("b")).select("page_id", "b.seq", "b.id", "b.kind", "b.level", "b.text", "b.uid")
 
 
+def _stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = readable(spread(table(spark, sf_dir, "pages")))
+    return stored(with_stamps(nodes(pages).withColumn("source", F.lit(""))).drop("source"), "nodes")
+
+
+_SELECTORS = ("nav li + li > a", "article > h1 + p", "article p ~ p", "body > div:not(.x).ad", "ul > li:first-child a", "nav + .ad, p > b")
+
+
+@query(
+    f"""WITH {_ARTICLES}, n AS (SELECT page_id, items, len(raw) - 1 AS paragraphs, (length(article) - length(replace(article, '<b>', ''))) // 3 AS bold FROM parts)
+    SELECT page_id, k, CAST(CASE k WHEN 0 THEN items - 1 WHEN 1 THEN 1 WHEN 2 THEN paragraphs - 1 WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 1 ELSE bold END AS BIGINT) AS found FROM n, range(7) r(k) WHERE k <> 2 OR paragraphs > 1"""
+)
+def page_selectors(spark, sf_dir):
+    """How many elements of each page selectors with combinators find."""
+    rows = _stamped(spark, sf_dir).withColumn("adapter", F.lit("page"))
+    found = ranked(rows, {"page": _SELECTORS})
+    return found.groupBy("page_id", F.col("rank").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("found"))
+
+
+@query(
+    f"""WITH {_ARTICLES}, b AS (SELECT page_id, unnest(kept) AS s FROM folded), c AS (SELECT page_id, s.i AS i, s.raw AS raw, trim(substr(s.text, 30, 90)) AS clean FROM b)
+    SELECT page_id, CAST(i AS BIGINT) AS k, 0 AS piece, CAST(instr(raw, substr(clean, 1, 40)) - 1 AS INTEGER) AS start, CAST(least(instr(raw, substr(clean, 1, 40)) - 1 + length(clean), length(raw)) AS INTEGER) AS until
+    FROM c WHERE length(clean) >= 4 AND instr(raw, substr(clean, 1, 40)) > 0"""
+)
+def page_highlights(spark, sf_dir):
+    """Where a part of each block's text stands among the texts of its element."""
+    rows = _stamped(spark, sf_dir)
+    b = _extracted(spark, sf_dir).select("page_id", F.explode("blocks").alias("b"))
+    items = rows.filter("tag = 'li' AND stamp IS NOT NULL").groupBy("page_id").agg(F.count(F.lit(1)).alias("items"))
+    said = b.join(items, "page_id").select("page_id", (F.substring("b.uid", 2, 9).cast("long") - F.col("items") - 5).alias("key"), "b.uid", F.concat(F.lit("[long-break] "), F.substring("b.text", 30, 90), F.lit(" [break]")).alias("text"))
+    return sentence_places(said, rows).select("page_id", F.col("key").alias("k"), "piece", "start", F.col("end").alias("until"))
+
+
+@query(
+    f"""WITH {_ARTICLES}, c AS (
+        SELECT page_id, items, {_collapse_sql("substr(said[1].raw, 4)")} AS head, {_collapse_sql("substr(said[2].raw, 1, 60)")} AS body FROM texts WHERE len(raw) > 1
+    ), b AS (
+        SELECT page_id, CASE WHEN head = '' OR contains(body, head) THEN [body] WHEN body = '' OR contains(head, body) THEN [head] ELSE [head, body] END AS said FROM c WHERE length(trim(head || ' ' || body)) > 20
+    ) SELECT page_id, 'selection' AS strategy, array_to_string(said, '|') AS said FROM b"""
+)
+def page_selections(spark, sf_dir):
+    """From the fourth letter of a page's heading to the sixtieth of its first paragraph."""
+    pages = readable(spread(table(spark, sf_dir, "pages")))
+    rows = stored(nodes(pages), "nodes")
+    heads = rows.filter("tag = 'h1' AND t_to > t_from").groupBy("page_id").agg(F.min("t_from").alias("p"))
+    first = rows.filter("tag = '#text'").join(heads, "page_id").filter("t_from = p + 1").select("page_id", "p")
+    cut = F.struct(F.col("p").alias("from_piece"), F.lit(3).alias("from_at"), (F.col("p") + 1).alias("to_piece"), F.lit(60).alias("to_at"))
+    out = extract(pages.join(first.select("page_id", cut.alias("range")), "page_id"), reader=False)
+    return out.filter("strategy = 'selection'").select("page_id", "strategy", F.array_join("blocks.text", "|").alias("said"))
+
+
+def _link_lists():
+    """An adapter as users write them, which reads the lists of links of blogs."""
+
+    class LinkLists:
+        name = "link-lists"
+
+        def match(self, url, page):
+            return "://blog." in url
+
+        def extract(self, page, url):
+            nav = next(page.elements(tag="nav"), None)
+            return nav and [{"kind": "list-item", "text": page.text_of(a), "node": a} for a in page.elements(tag="a", inside=nav)]
+
+    return LinkLists()
+
+
+@query(
+    f"""SELECT page_id, 'link-lists' AS adapter, CAST(k - 1 AS INTEGER) AS place, {_said_sql("links[k]")} AS text FROM (SELECT page_id, unnest(range(1, len(links) + 1)) AS k, links FROM (
+    SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<a [^>]*>(.*?)</a>', 1) AS links FROM pages WHERE contains(url, '://blog.'))) WHERE {_collapse_sql(_said_sql("links[k]"))} <> ''"""
+)
+def page_adapters(spark, sf_dir):
+    """A user's adapter, called by SQL as a table function over each page's nodes."""
+    pages = readable(spread(table(spark, sf_dir, "pages")))
+    rows = nodes(pages).join(pages.select("page_id", "url"), "page_id")
+    register(spark, [_link_lists()], "adapt_link_lists")
+    rows.createOrReplaceTempView("lectern_page_nodes")
+    return spark.sql("SELECT page_id, adapter, at AS place, text FROM adapt_link_lists(TABLE(lectern_page_nodes) PARTITION BY page_id ORDER BY seq)")
+
+
 @query()
 def page_utterances(spark, sf_dir):
     return speechify(_extracted(spark, sf_dir))
