@@ -41,7 +41,7 @@ def mathy() -> Column:
 
 
 def hidden() -> Column:
-    """By attributes and inline style; there is no style sheet here."""
+    """By attributes and inline style; what style sheets hide has the attribute by then."""
     style = attr("style").rlike(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
     return F.coalesce((attr("aria-hidden") == "true") | F.map_contains_key("attrs", "hidden") | style, F.lit(False))
 

@@ -20,6 +20,7 @@ from lectern.operators.custom import PageAdapter, adapted
 from lectern.operators.density import article_score, features, winners
 from lectern.operators.nodes import attr, has_class, nodes
 from lectern.operators.selection import RANGE, selected_blocks
+from lectern.operators.sheets import with_sheets
 from lectern.plans.storage import stored
 from lectern.schema import META
 from lectern.sources.tables import MIN_SELECTION, paragraphs
@@ -77,7 +78,8 @@ def extract(pages: DataFrame, registry=REGISTRY, reader: bool = True, adapters:
         pages = pages.withColumn("selection", F.lit(None).cast("string"))
     light = pages.drop("html")
     # All later steps read this table, so pages are parsed once.
-    stamped = with_stamps(nodes(pages).withColumn("source", F.lit(""))).drop("source")
+    parsed = with_sheets(stored(nodes(pages), "parsed"))
+    stamped = with_stamps(parsed.withColumn("source", F.lit(""))).drop("source")
     rows = stored(stamped.join(light.select("page_id", "adapter"), "page_id"), "nodes")
     elements = stored(features(rows), "features")
     dense = winners(elements).select("page_id", F.lit("density").alias("source"), "c_seq", "c_end")
