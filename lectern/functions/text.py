@@ -14,10 +14,10 @@ S, NOT_S = f"[{WS}]", f"[^{WS}]"
 B, E = r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])", r"(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])"
 
 
-
 def at_word(first: str, rest: str) -> str:
     """`first` and `rest` where a word starts. The letter stands before the test of what precedes it: it is looked for
-    quickly, and the test is made only where it is found."""
+    quickly, and the test is made only where it is found: text_normalize at sf0.1 in one task took 24 s so, and 45 s with the
+    test first."""
     return f"{first}(?<![A-Za-z0-9_]{first}){rest}"
 
 
@@ -42,6 +42,7 @@ ABBREVIATIONS = (
     (at_word("S", rf"t\.{S}+"), "Saint "),
     ("(?i)" + at_word("e", rf"t{S}+al\."), "and others"),
 )
+#: Signs of money, units and the rest of the rewritings.
 CURRENCY = (("\\$", "dollars"), ("₹", "rupees"), ("€", "euros"), ("£", "pounds"))
 UNITS = (
     ("km", "kilometers"),
@@ -65,6 +66,8 @@ TAIL = (
     (f"{S}={S}", " equals "),
     (f"({NOT_S})@({NOT_S})", "$1 at $2"),
 )
+#: Words for signs of code, captions that say nothing, scripts without spaces, steps of speed, addresses that
+#: are never read.
 CODE_WORDS = (
     ("=>", " arrow "),
     ("===|==", " equals "),

@@ -18,8 +18,10 @@ from lectern.operators.highlight import sentence_places
 from lectern.operators.nodes import nodes
 from lectern.operators.selectors import ranked
 from lectern.operators.speech import speechify, stats
-from lectern.plans.storage import spread, stored
+from lectern.plans.storage import shared_path, spread, stored
+from lectern.sources.cache_store import CacheStore
 from lectern.sources.tables import from_documents, from_pdf, from_selection, readable, table
+from lectern.streaming.player import debounced
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
@@ -61,13 +63,20 @@ def _normal_sql(x: str) -> str:
     s = f"[{_WS}]"
     x = _chain(x, [(rf"(?i)\[{s}*(?:[0-9]+|[a-z]|citation needed|edit|sic|note [0-9]+|\.\.\.|…){s}*\]", ""), (rf"\[{s}{{0,80}}\]", " "), (rf"\[{s}*([^\]]{{0,80}}?){s}*\]", " \\1 "), (r"[\[\]]", "")])
     x = _chain(x, [(r"\b[A-Za-z0-9_][A-Za-z0-9_.+-]*@([A-Za-z0-9_-]+)\.[A-Za-z0-9_.]+", "email at \\1")])
-    words = [(r"(?i)\be\.S?g\.S*", "for example, "), (r"(?i)\bi\.S?e\.S*", "that is, "), (r"(?i)\betc\.(S|$)", "et cetera\\1"), (r"(?i)\bvs\.?(S)", "versus\\1"), (r"(?i)\bcf\.(S)", "compare\\1"), (r"(?i)\bviz\.(S)", "namely\\1"), (r"(?i)\bapprox\.(S)", "approximately\\1")]
-    words += [(rf"\b{a}\.S*([0-9])", f"{b} \\1") for a, b in (("Fig", "Figure"), ("Eq", "Equation"), ("Vol", "Volume"), ("No", "Number"))]
-    words += [(rf"\b{a}\.S+", f"{b} ") for a, b in (("Dr", "Doctor"), ("Prof", "Professor"), ("Mr", "Mister"), ("Mrs", "Missus"), ("Ms", "Miss"), ("St", "Saint"))] + [(r"(?i)\betS+al\.", "and others")]
-    words += [(rf"{a}S?([0-9][0-9,]*(?:\.[0-9]+)?)", f"\\1 {b}") for a, b in (("\\$", "dollars"), ("₹", "rupees"), ("€", "euros"), ("£", "pounds"))]
-    words += [(rf"([0-9])S?{a}\b", f"\\1 {b}") for a, b in X.UNITS]
-    words += [("S&S", " and "), ("([0-9])S?%", "\\1 percent"), ("#([0-9])", "number \\1"), (r"(?i)\band/or\b", "and or"), (r"S\+S", " plus "), ("S=S", " equals "), (f"([^{_WS}])@([^{_WS}])", "\\1 at \\2")]
-    return _tidy_sql(_chain(x, [(a.replace("etS+", f"et{s}+").replace("S+", f"{s}+").replace("S*", f"{s}*").replace("S?", f"{s}?").replace("(S", f"({s}").replace("S&S", f"{s}&{s}").replace("S=S", f"{s}={s}").replace(r"S\+S", rf"{s}\+{s}"), b) for a, b in words]))
+    for begin in (r"https?://(?:www\.)?", r"www\."):
+        x = f"regexp_replace({x}, '(?i)\\b{begin}([^{_WS}/]+)[^{_WS}]*', chr(2) || '\\1' || chr(3), 'g')"
+    # Between the two marks stands a host, whose dots are said.
+    x = f"array_to_string(list_transform(string_split({x}, chr(2)), lambda p: CASE WHEN contains(p, chr(3)) THEN replace(split_part(p, chr(3), 1), '.', ' dot ') || split_part(p, chr(3), 2) ELSE p END), '')"
+    words = [(rf"(?i)\be\.{s}?g\.{s}*", "for example, "), (rf"(?i)\bi\.{s}?e\.{s}*", "that is, "), (rf"(?i)\betc\.({s}|$)", "et cetera\\1")]
+    words += [(rf"(?i)\b{short}({s})", f"{long}\\1") for short, long in ((r"vs\.?", "versus"), (r"cf\.", "compare"), (r"viz\.", "namely"), (r"approx\.", "approximately"))]
+    words += [(rf"\b{short}\.{s}*([0-9])", f"{long} \\1") for short, long in (("Fig", "Figure"), ("Eq", "Equation"), ("Vol", "Volume"), ("No", "Number"))]
+    words += [(rf"\b{short}\.{s}+", f"{long} ") for short, long in (("Dr", "Doctor"), ("Prof", "Professor"), ("Mr", "Mister"), ("Mrs", "Missus"), ("Ms", "Miss"), ("St", "Saint"))]
+    words += [(rf"(?i)\bet{s}+al\.", "and others")]
+    words += [(rf"{sign}{s}?([0-9][0-9,]*(?:\.[0-9]+)?)", f"\\1 {name}") for sign, name in (("\\$", "dollars"), ("₹", "rupees"), ("€", "euros"), ("£", "pounds"))]
+    units = {"km": "kilometers", "kg": "kilograms", "cm": "centimeters", "mm": "millimeters", "ft": "feet", "GHz": "gigahertz", "Hz": "hertz", "TB": "terabytes", "GB": "gigabytes", "MB": "megabytes", "KB": "kilobytes"}
+    words += [(rf"([0-9]){s}?{unit}\b", f"\\1 {name}") for unit, name in units.items()]
+    words += [(f"{s}&{s}", " and "), (f"([0-9]){s}?%", "\\1 percent"), ("#([0-9])", "number \\1"), (r"(?i)\band/or\b", "and or"), (rf"{s}\+{s}", " plus "), (f"{s}={s}", " equals "), (f"([^{_WS}])@([^{_WS}])", "\\1 at \\2")]
+    return _tidy_sql(_chain(x, words))
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,6 +398,49 @@ def cache_put(spark, sf_dir):
     return A.put(log.limit(0), log).select("key", "bytes", "created_at")
 
 
+@query(
+    f"""WITH old AS (SELECT key, bytes, epoch_ms(created_at) AS created_at, epoch_ms(last_used) AS last_used FROM ({_CACHE}) WHERE bytes > 300),
+    w AS (SELECT key, bytes + 1000 AS bytes, row_number() OVER (ORDER BY ts, event_id) AS k FROM ({_LOG}) WHERE model = 'free'),
+    m AS (SELECT count(*) // 25 * 25 AS n FROM w), base AS (SELECT max(last_used) AS t FROM old),
+    early AS (SELECT key, arg_max(bytes, k) AS bytes, max(k) AS k FROM w, m WHERE k <= n GROUP BY key), late AS (SELECT key, arg_max(bytes, k) AS bytes FROM w, m WHERE k > n GROUP BY key),
+    so_far AS (SELECT key, bytes, last_used FROM old WHERE key NOT IN (SELECT key FROM early) UNION ALL SELECT key, bytes, t + k FROM early, base),
+    left_over AS (SELECT key, bytes FROM (SELECT *, sum(bytes) OVER (ORDER BY last_used, key ROWS UNBOUNDED PRECEDING) AS cum, sum(bytes) OVER () AS total FROM so_far) WHERE total - (cum - bytes) <= 200000)
+    SELECT key, CAST(bytes AS BIGINT) AS bytes FROM left_over WHERE key NOT IN (SELECT key FROM late) UNION ALL SELECT key, CAST(bytes AS BIGINT) FROM late"""
+)
+def cache_put_filled(spark, sf_dir):
+    """A put into a filled store whose keys it has in part, with a look at the budget after every 25th write."""
+    log = _log(spark, sf_dir)
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    old = _cache(log).filter("bytes > 300").select("key", "bytes", ms("created_at").alias("created_at"), ms("last_used").alias("last_used"))
+    writes = log.filter("model = 'free'").select("key", (F.col("bytes") + 1000).alias("bytes"), "ts", "event_id")
+    placed = A.running_total(writes.withColumn("one", F.lit(1)), "one", ["ts", "event_id"], name="k")
+    base = old.agg(F.max("last_used")).first()[0] or 0
+    fresh = stored(placed.select("key", "bytes", (F.col("k") + base).alias("created_at"), (F.col("k") + base).alias("last_used")), "writes")
+    store = CacheStore(spark, shared_path(spark, "cache"), "key string, bytes long, created_at long, last_used long", budget=10**15)
+    store.put(old, ["last_used", "key"])
+    store.budget, store.pending = 200_000, 0
+    store.put(fresh, ["created_at"])
+    return store.read().select("key", "bytes")
+
+
+@query(
+    """WITH g AS (SELECT user_id, ts, event_type, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+    b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS burst FROM g),
+    k AS (SELECT user_id, burst, event_type, arg_max(event_id, (ts, event_id)) AS v, min(ts) AS began FROM b GROUP BY ALL)
+    SELECT user_id, min(began) AS began, string_agg(event_type || '=' || v, ';' ORDER BY event_type) AS patch FROM k GROUP BY user_id, burst"""
+)
+def debounced_settings(spark, sf_dir):
+    """Events read as patches of a user's settings, those of a burst as one."""
+    events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("key"), F.col("event_id").alias("value"))
+    entries = F.array_sort(F.transform(F.map_entries("patch"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
+    return debounced(events, "12 hours", ("user_id",)).select("user_id", F.col("began").cast(table(spark, sf_dir, "events").schema["ts"].dataType).alias("began"), F.array_join(entries, ";").alias("patch"))
+
+
+@query(f"SELECT doc_id, {_collapse_sql(_chain('text', [('=>', ' arrow '), ('===?', ' equals '), ('!==?', ' not equals '), ('&&', ' and '), ('[|][|]', ' or '), (r'[{}()\[\];]', ' '), ('_', ' underscore ')]))} AS code FROM documents")
+def spoken_code(spark, sf_dir):
+    return _texts(spark, sf_dir).select("doc_id", X.speakable_code(F.col("text")).alias("code"))
+
+
 @query(f"SELECT event_id, l.key IN (SELECT key FROM ({_LOG}) WHERE model = 'free') AS hit FROM ({_LOG}) l")
 def cache_lookup(spark, sf_dir):
     log = _log(spark, sf_dir)

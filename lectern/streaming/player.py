@@ -11,7 +11,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import MapType, StringType
 
 EVENT_SCHEMA = "tab long, at timestamp, type string, index int, total int, bytes_billed long, cache_hits long, signature string, error string"
 STATE_SCHEMA = "status string, index int, total int, bytes_billed long, cache_hits long, signature string, error string"
@@ -66,9 +68,15 @@ def states(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     return events.groupBy("tab").applyInPandasWithState(fold, f"tab long, {STATE_SCHEMA}", STATE_SCHEMA, "update", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
-def last_settings(patches: DataFrame, window: str = "1 second") -> DataFrame:
-    """Patches (at, key, value) debounced: of each key and window the last value, given out as windows close."""
-    from pyspark.sql import functions as F
-
-    late = patches.withWatermark("at", "10 seconds") if patches.isStreaming else patches
-    return late.groupBy(F.window("at", window), "key").agg(F.max_by("value", "at").alias("value"))
+def debounced(patches: DataFrame, gap: str = "300 milliseconds", by: tuple[str, ...] = (), late: str = "10 seconds") -> DataFrame:
+    """Patches (at, key, value, by) merged: a burst, in which no patch comes later than `gap` after the one before, is given out
+    as one map when it is over, with each key's last value. (by, began, ended, patch); ended is the last patch and the gap. In
+    a stream a burst is over when the watermark is past its end. Of equal times the larger value counts; null keys are left
+    out."""
+    rows = patches.filter("key IS NOT NULL")
+    rows = rows.withWatermark("at", late) if patches.isStreaming else rows
+    burst = rows.groupBy(F.session_window("at", gap).alias("burst"), *by).agg(F.sort_array(F.collect_list(F.struct("at", "key", "value"))).alias("all"))
+    kind = patches.schema["value"].dataType
+    none = F.create_map().cast(MapType(StringType(), kind))
+    merge = lambda done, p: F.map_concat(F.map_filter(done, lambda k, _: k != p["key"]), F.create_map(p["key"], p["value"]))
+    return burst.select(*by, F.col("burst.start").alias("began"), F.col("burst.end").alias("ended"), F.aggregate("all", none, merge).alias("patch"))

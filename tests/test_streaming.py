@@ -4,7 +4,7 @@ import datetime as dt
 import json
 
 from lectern.streaming.pages import read_pages, write_utterances
-from lectern.streaming.player import EMPTY, EVENT_SCHEMA, last_settings, states, step
+from lectern.streaming.player import EMPTY, EVENT_SCHEMA, debounced, states, step
 
 AT = dt.datetime(2024, 1, 1)
 
@@ -51,7 +51,32 @@ def test_states(spark, tmp_path):
     assert (last[2].status, last[2].total) == ("idle", 0)
 
 
-def test_settings_settle(spark):
-    rows = [(AT + dt.timedelta(milliseconds=m), k, v) for m, k, v in ((0, "speed", "1"), (300, "speed", "2"), (400, "voice", "a"), (1500, "speed", "3"))]
-    got = last_settings(spark.createDataFrame(rows, "at timestamp, key string, value string"))
-    assert sorted((r.key, r.value) for r in got.collect()) == [("speed", "2"), ("speed", "3"), ("voice", "a")]
+PATCHES = [(0, "speed", "1"), (250, "speed", "2"), (400, "voice", "a"), (450, "speed", "3"), (450, "speed", "2"), (1500, "speed", "4"), (1500, None, "x"), (1801, "voice", "b")]
+BURSTS = [(0, 750, {"speed": "3", "voice": "a"}), (1500, 1800, {"speed": "4"}), (1801, 2101, {"voice": "b"})]
+
+
+def test_a_burst_is_one_patch(spark):
+    """Each patch starts the wait anew, fields merge, and the last value of a field counts."""
+    rows = [(AT + dt.timedelta(milliseconds=m), k, v) for m, k, v in PATCHES]
+    got = debounced(spark.createDataFrame(rows, "at timestamp, key string, value string")).collect()
+    ms = lambda t: round((t - AT).total_seconds() * 1000)
+    assert sorted((ms(r.began), ms(r.ended), r.patch) for r in got) == BURSTS
+    assert debounced(spark.createDataFrame([], "at timestamp, key string, value string")).collect() == []
+
+
+def test_bursts_of_a_stream(spark, tmp_path):
+    """A burst is given out once, when the watermark has passed it."""
+    folder, out = tmp_path / "patches", []
+    folder.mkdir()
+
+    def put(name, rows):
+        (folder / name).write_text("\n".join(json.dumps({"at": (AT + dt.timedelta(milliseconds=m)).isoformat(), "key": k, "value": v}) for m, k, v in rows))
+        stream = spark.readStream.schema("at timestamp, key string, value string").json(str(folder))
+        q = debounced(stream, late="1 second").writeStream.outputMode("append").foreachBatch(lambda df, _: out.extend(df.collect())).option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    put("1.json", PATCHES[:3])
+    assert out == []
+    put("2.json", PATCHES[3:])
+    put("3.json", [(60_000, "end", "1")])
+    assert [r.patch for r in sorted(out, key=lambda r: r.began)] == [p for *_, p in BURSTS]
