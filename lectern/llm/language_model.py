@@ -31,6 +31,8 @@ STATES, ROUNDS, WINDOW, SUMS = 6, 4, 256, 16
 #: Distinct words one task counts before it passes them on.
 COUNTED = 400_000
 WINDOWS_AT_ONCE = 2048
+#: Texts that a task turns to symbols at a time.
+TEXTS_AT_ONCE = 500
 SMOOTHING = 50.0
 
 
@@ -112,7 +114,8 @@ def encoded(rows: DataFrame, counts: Counts) -> DataFrame:
         import pyarrow as pa
 
         number = Symbols(sent.value).__getitem__
-        for batch in batches:
+        # Few texts at a time: their words are objects until they are numbers.
+        for batch in (b.slice(at, TEXTS_AT_ONCE) for b in batches for at in range(0, b.num_rows, TEXTS_AT_ONCE)):
             symbols, rare = [], []
             for text in text_bytes(batch.column("text")):
                 found = tokens(text)
