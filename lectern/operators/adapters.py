@@ -130,7 +130,9 @@ def adapter_of(url: Column, registry=REGISTRY) -> Column:
 def signed(nodes: DataFrame, registry=REGISTRY) -> DataFrame:
     """(page_id, signed): pages that an element shows to be an adapter's, whatever their address; the first such adapter."""
     found = [(k, a.name, s) for k, a in enumerate(registry) for s in split_list(a.signs)]
-    which = F.least(*[F.when(css(s), F.struct(F.lit(k), F.lit(name).alias("name"))) for k, name, s in found], F.lit(None)) if found else F.lit(None)
+    if not found:
+        return nodes.select("page_id", F.lit(None).cast("string").alias("signed")).limit(0)
+    which = F.array_min(F.array(*[F.when(css(s), F.struct(F.lit(k), F.lit(name).alias("name"))) for k, name, s in found]))
     return nodes.withColumn("__sign", which).groupBy("page_id").agg(F.min("__sign")["name"].alias("signed")).filter("signed IS NOT NULL")
 
 

@@ -207,7 +207,7 @@ _ARTICLES = f"""parts AS (
     SELECT *, length({_said_sql("article")}) AS size, length({_said_sql("body")}) AS around, regexp_extract(body, '(?s)<div class="ad">(.*?)</div>', 1) AS ad, len(regexp_extract_all(body, '<[a-z]')) AS tags,
     len(list_filter(list_concat(list_transform(said, lambda s: s.raw), list_transform(regexp_extract_all(body, '(?s)<li>(.*?)</li>', 1), lambda s: {_said_sql("s")})), lambda s: length(s) >= 25)) AS prose,
     length(regexp_replace({_said_sql("body")}, '[^,，、؛]', '', 'g')) AS commas, length({_said_sql("array_to_string(regexp_extract_all(body, '(?s)<a [^>]*>(.*?)</a>', 1), '')")}) AS links
-    FROM (SELECT *, regexp_extract(html, '(?s)<body>(.*)</body>', 1) AS body FROM texts)
+    FROM (SELECT *, regexp_extract(html, '(?s)<body>(.*)', 1) AS body FROM texts)
 ), found AS (
     SELECT *, CASE WHEN size >= 140 THEN said WHEN around >= 140 AND 12 * prose + 3 * least(commas, 60) + least(around / 100, 60) + least(around / (tags + 1), 40) - (CASE WHEN prose = 0 THEN 25 ELSE 0 END) - (CASE WHEN links > around / 2 THEN 40 ELSE 0 END) > 0
         THEN CASE WHEN length({_collapse_sql(_said_sql("ad"))}) >= 12 AND contains({_collapse_sql(_said_sql("ad"))}, ' ') THEN list_prepend({{'i': -2::BIGINT, 'text': {_collapse_sql(_said_sql("ad"))}, 'raw': {_said_sql("ad")}}}, said) ELSE said END

@@ -47,7 +47,7 @@ def adapters():
 PAGES = [
     (1, "https://x.example/recipe/1", "<h1>Soup</h1><ol class='steps'><li>Boil it.</li><li>Stir <b>it</b> well.</li></ol><p>An ad for pans.</p>"),
     (2, "https://x.example/recipe/2", "<div id='rest'>x</div>"),
-    (3, "https://x.example/recipe/3", "<p>No list of steps is on this page, so others may read it if they can.</p>" * 4),
+    (3, "https://x.example/recipe/3", "<body>" + "<p>No list of steps is on this page, so others may read it if they can.</p>" * 4),
     (4, "https://en.wikipedia.org/wiki/recipe/X", "<div class='mw-parser-output'><p>Soup is a dish.</p></div>"),
     (5, "https://en.wikipedia.org/recipe/Y", "<h1>Own</h1><div class='mw-parser-output'><ul class='steps'><li>First of all.</li></ul></div>"),
 ]

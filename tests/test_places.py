@@ -67,25 +67,31 @@ def test_places_like_a_walk(spark):
 HTML = "<body><div id='a'><h2>The first head line</h2><p>Some <b>bold words</b> of a long paragraph here.</p><ul><li>item number one</li><li>item number two</li></ul></div><p hidden>not seen</p><p>A last paragraph of words.</p></body>"
 
 
-@pytest.mark.parametrize(
-    ("cut", "want"),
-    [
-        # Two blocks in part, one whole: ids come along.
-        ((0, 4, 3, 8), [("heading", "first head line"), ("paragraph", "Some bold words of a lo")]),
-        ((2, 5, 4, 9), [("paragraph", "words of a long paragraph here."), ("list-item", "item numb")]),
-        # Inside one text, and inside one paragraph over several.
-        ((3, 1, 3, 26), [("paragraph", "of a long paragraph here.")]),
-        ((1, 0, 3, 15), [("paragraph", "Some bold words of a long para")]),
-        # Over hidden content, to the end and beyond it.
-        ((5, 5, 7, 900), [("list-item", "number two"), ("paragraph", "A last paragraph of words.")]),
-        ((0, 0, 0, 5), None),
-        ((4, 3, 2, 1), None),
-        ((0, 0, 99, 5), None),
-    ],
-)
-def test_ranges(spark, cut, want):
-    pages = spark.createDataFrame([(1, "https://x.example/", HTML, cut)], "page_id long, url string, html string, range struct<from_piece:int,from_at:int,to_piece:int,to_at:int>")
-    row = extract(pages).first()
+CASES = [
+    # Two blocks in part, one whole: ids come along.
+    ((0, 4, 3, 8), [("heading", "first head line"), ("paragraph", "Some bold words of a lo")]),
+    ((2, 5, 4, 9), [("paragraph", "words of a long paragraph here."), ("list-item", "item numb")]),
+    # Inside one text, and inside one paragraph over several.
+    ((3, 1, 3, 26), [("paragraph", "of a long paragraph here.")]),
+    ((1, 0, 3, 15), [("paragraph", "Some bold words of a long para")]),
+    # Over hidden content, to the end and beyond it.
+    ((5, 5, 7, 900), [("list-item", "number two"), ("paragraph", "A last paragraph of words.")]),
+    ((0, 0, 0, 5), None),
+    ((4, 3, 2, 1), None),
+    ((0, 0, 99, 5), None),
+]
+
+
+@pytest.fixture(scope="module")
+def cut_out(spark):
+    rows = [(k, "https://x.example/", HTML, cut) for k, (cut, _) in enumerate(CASES)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, range struct<from_piece:int,from_at:int,to_piece:int,to_at:int>")
+    return {r.page_id: r for r in extract(pages).collect()}
+
+
+@pytest.mark.parametrize("k", range(len(CASES)))
+def test_ranges(cut_out, k):
+    (cut, want), row = CASES[k], cut_out[k]
     if want is None:
         assert row.strategy != "selection"
     else:
