@@ -85,7 +85,10 @@ def extract(pages: DataFrame, registry=REGISTRY, reader: bool = True, adapters:
     dense = winners(elements).select("page_id", F.lit("density").alias("source"), "c_seq", "c_end")
     if reader:
         likely = article_score(elements).filter("is_article").select("page_id")
-        found = articles(elements.join(likely, "page_id", "left_semi"), rows, LEAST_CHARS)
+        found = stored(articles(elements.join(likely, "page_id", "left_semi"), rows, LEAST_CHARS), "found_articles")
+        # Where the article is the dense container, its blocks are the same, and it wins; they are made once.
+        alone = found.groupBy("page_id").agg(F.min("c_seq").alias("c_seq"), F.min("c_end").alias("c_end"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+        dense = dense.join(alone, ["page_id", "c_seq", "c_end"], "left_anti").select("page_id", "source", "c_seq", "c_end")
         place = F.row_number().over(Window.partitionBy("page_id").orderBy("c_seq"))
         dense = dense.unionByName(found.select("page_id", F.format_string("article#%06d", place).alias("source"), "c_seq", "c_end"))
     dense = stored(dense, "winners")

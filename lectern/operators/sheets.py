@@ -37,7 +37,8 @@ def rules(nodes: DataFrame) -> DataFrame:
     """(page_id, rule, at, joint, tag, id, classes, steps, weight, declared): compounds of the selectors of a page's rules, from
     the last one (at 0) to the first; joint tells how a compound stands above the one before. weight: specificity."""
     styles = nodes.filter("tag = 'style'").select("page_id", F.col("t_from").alias("t"), "t_to").filter("t_to > t")
-    texts = nodes.filter(F.col("tag") == TEXT).select("page_id", F.col("t_from").alias("t"), "text").join(styles, ["page_id", "t"])
+    # Texts that name no such property are left out before they meet the style elements.
+    texts = nodes.filter((F.col("tag") == TEXT) & F.col("text").rlike(r"(?i)\{[^}]*(?:display|visibility|position|clip)")).select("page_id", F.col("t_from").alias("t"), "text").join(styles, ["page_id", "t"])
     plain = F.regexp_replace(F.regexp_replace("text", r"(?s)/\*.*?\*/", ""), r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})", "")
     each = texts.withColumn("body", F.regexp_extract_all(plain, F.lit(r"([^{}]+\{[^{}]*)\}"), F.lit(1))).select("page_id", "t", F.posexplode("body").alias("n", "body"))
     each = each.select("page_id", "t", "n", F.split("body", r"\{", 2).alias("b")).select("page_id", "t", "n", declarations(F.col("b")[1]).alias("declared"), F.posexplode(F.split(F.col("b")[0], ",")).alias("m", "selector")).filter(F.size("declared") > 0)
