@@ -75,7 +75,9 @@ def debounced(patches: DataFrame, gap: str = "300 milliseconds", by: tuple[str,
     out."""
     rows = patches.filter("key IS NOT NULL")
     rows = rows.withWatermark("at", late) if patches.isStreaming else rows
-    burst = rows.groupBy(F.session_window("at", gap).alias("burst"), *by).agg(F.sort_array(F.collect_list(F.struct("at", "key", "value"))).alias("all"))
+    # A stream's sessions need a key beside their time; without one all patches share this.
+    keys = by or (F.pmod(F.xxhash64("key"), F.lit(1)).alias("__all"),)
+    burst = rows.groupBy(F.session_window("at", gap).alias("burst"), *keys).agg(F.sort_array(F.collect_list(F.struct("at", "key", "value"))).alias("all"))
     kind = patches.schema["value"].dataType
     none = F.create_map().cast(MapType(StringType(), kind))
     merge = lambda done, p: F.map_concat(F.map_filter(done, lambda k, _: k != p["key"]), F.create_map(p["key"], p["value"]))
