@@ -7,10 +7,12 @@ each window is joined. A match gives the window's place by the token's place in
 all its words are compared.
 
 Everything is a Spark join, so both sides may be of any size. Two passes over the documents, one counting tokens and one
-looking for prefixes, emit only tokens that pass a filter of a fixed number of bits; what it lets through by mistake finds
-no partner in the join. Around a prefix the SIZE - 1 words on either side travel along, which is all a comparison needs:
+looking for prefixes, emit only tokens that pass a filter, of which some 1.4 % of foreign tokens do; those find no partner
+in the join. The filter has TOKEN_BITS bits for each token, counted before, and at most 2^MOST_BITS (16 MB): with more
+tokens than those are for, each pass goes in turns, one for each part of the tokens. Around a prefix the SIZE - 1 words on either side travel along, which is all a comparison needs:
 texts are never shuffled. Equal surroundings are compared once, so a passage of a third of all documents is a few rows
-there, and copies of a text count once. What was found is joined with the documents by two 64-bit hashes of the text.
+there, and copies of a text count once. A window stands for its set of items, told by two 64-bit sums of them; sets are
+looked up once for each different list of sets that a text has. What was found is joined with the documents by two 64-bit hashes of the text.
 
 Null texts have no words. Items without words have no window and never occur. Repeated rows are judged each by itself;
 items of equal item_id count once. A null item_id is reported as the string 'null'. Other columns pass through; those
@@ -19,16 +21,18 @@ with names of the result's columns are replaced.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.common import persisted, text_bytes
-from lectern.llm.words import word_hashes, words
+from lectern.llm.words import word_count, word_hashes, words
 
 SIZE = 10
-#: Bits of the filter, as a power of two: half a megabyte, whatever the tables' size.
-FILTER_BITS = 22
+#: Bits of the filter for each token, and the most and the least that it has in all, as powers of two.
+TOKEN_BITS, MOST_BITS, LEAST_BITS = 16, 27, 12
 #: Places that a task holds before it hands them on.
 HELD = 50_000
 
@@ -67,18 +71,31 @@ def item_windows(items: DataFrame, size: int) -> DataFrame:
 
 def token_filter(tokens: DataFrame, log2_bits: int):
     """Bits set at two places for each token, and whether a token is a single word. `tokens` (token, window): at most
-    2^log2_bits / 64 rows reach the driver."""
+    2^log2_bits / 64 rows of two numbers reach the driver, as Arrow columns."""
     import numpy as np
 
     mask = (1 << log2_bits) - 1
     places = F.array(F.col("token").bitwiseAND(mask), F.shiftrightunsigned("token", 32).bitwiseAND(mask))
     slots = tokens.select((~F.col("window").contains(" ")).alias("single"), F.explode(places).alias("slot"))
     row_bits = F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("set")
-    rows = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(row_bits, F.max("single").alias("single")).collect()
+    rows = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(row_bits, F.max("single").alias("single")).toArrow()
+    at, held, single = (rows.column(c).to_numpy() for c in ("at", "set", "single"))
     bits = np.zeros(max(1, (mask + 1) // 64), np.uint64)
-    for row in rows:
-        bits[row.at] = row.set & 0xFFFFFFFFFFFFFFFF
-    return bits, any(row.single for row in rows)
+    bits[at] = held.astype(np.int64).view(np.uint64)
+    return bits, bool(single.any())
+
+
+def in_turns(tokens: DataFrame, log2_bits: int | None, most_bits: int = MOST_BITS) -> list[tuple[DataFrame, int]]:
+    """Parts of `tokens` (token, ...) by token, and the bits of a filter for each, as a power of two: one part, unless its
+    filter were larger than most_bits. With log2_bits given there is one part with a filter of so many."""
+    if log2_bits is not None:
+        return [(tokens, log2_bits)]
+    n = max(1, tokens.select("token").distinct().count() * TOKEN_BITS)
+    turns = -(-n // (1 << most_bits))
+    bits = min(most_bits, max(LEAST_BITS, (n - 1).bit_length()))
+    # Of bits that the filter's places don't use.
+    turn = F.expr(f"(shiftrightunsigned(token, 59) * 32 + (shiftrightunsigned(token, {MOST_BITS}) & 31)) % {turns}")
+    return [(tokens if turns == 1 else tokens.filter(turn == k), bits) for k in range(turns)]
 
 
 def passing(hashes, bits):
@@ -111,10 +128,11 @@ def occurrences(docs: DataFrame, tokens: DataFrame, log2_bits: int) -> DataFrame
     return docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def prefixes(windows: DataFrame, docs: DataFrame, log2_bits: int) -> DataFrame:
+def prefixes(windows: DataFrame, docs: DataFrame, log2_bits: int | None, most_bits: int) -> DataFrame:
     """(token, place, window, length): the rarest token of each window of which the documents have every token."""
     tokens = windows.dropDuplicates(["window"]).select("window", F.posexplode("tokens").alias("place", "token"))
-    tokens = tokens.join(occurrences(docs, tokens, log2_bits), "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counted = [t.join(occurrences(docs, t, bits), "token", "left") for t, bits in in_turns(tokens, log2_bits, most_bits)]
+    tokens = reduce(DataFrame.union, counted).withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = tokens.groupBy("window").agg(F.min(F.struct("n", "token", "place")).alias("r"))
     return rarest.filter("r.n > 0").select("r.token", "r.place", "window", F.size(F.split("window", " ")).alias("length"))
 
@@ -174,7 +192,7 @@ def _counted(batches):
     import pyarrow as pa
 
     for batch in batches:
-        n = pa.array([len(words(text)) for text in text_bytes(batch.column("text"))], pa.int64())
+        n = pa.array([word_count(text) for text in text_bytes(batch.column("text"))], pa.int64())
         yield pa.RecordBatch.from_arrays([*batch.columns, n], [*batch.schema.names, "n_words"])
 
 
@@ -195,29 +213,45 @@ def _text_key() -> list[Column]:
     return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
 
 
-def found_windows(docs: DataFrame, windows: DataFrame, size: int, log2_bits: int) -> DataFrame:
+def item_sets(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(window, of), its set of items as two sums and their number; (of, item), the items of each set once. A window's items
+    are summed up before the shuffle and gathered nowhere."""
+    key = F.struct(F.bit_xor(F.xxhash64("item")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "item")).alias("y"), F.count(F.lit(1)).alias("n"))
+    of = persisted(windows.groupBy("window").agg(key.alias("of")), "sets")
+    first = of.groupBy("of").agg(F.min("window").alias("window"))
+    return of, windows.select("window", "item").join(first, "window").select("of", "item")
+
+
+def found_windows(docs: DataFrame, windows: DataFrame, size: int, log2_bits: int | None, most_bits: int) -> DataFrame:
     """(a, b, n_hit, hits, items) of each text with a window; `docs` has a, b and text."""
-    chosen = persisted(prefixes(windows, docs, log2_bits), "prefixes")
-    places = persisted(surroundings(docs, chosen, size, log2_bits), "surroundings")
+    chosen = persisted(prefixes(windows, docs, log2_bits, most_bits), "prefixes")
+    turns = [surroundings(docs, t, size, bits).join(t.select("token"), "token", "left_semi") for t, bits in in_turns(chosen, log2_bits, most_bits)]
+    places = persisted(reduce(DataFrame.unionByName, turns), "surroundings")
     inside = (F.col("place") <= F.col("before")) & (F.col("before") - F.col("place") + F.col("length") <= F.size("near"))
     there = F.array_join(F.slice("near", (F.col("before") - F.col("place") + 1).cast("int"), F.col("length")), " ")
     each = places.select("token", "before", "around").distinct().withColumn("near", F.split("around", " ")).join(chosen, "token").filter(inside).filter(there == F.col("window"))
-    each = each.join(windows.select("window", "item"), "window")
-    # For each surrounding its windows' spans, counted from the prefix, and the items.
+    of, items = item_sets(windows)
+    each = each.join(of, "window")
+    # For each surrounding its windows' spans, counted from the prefix, and their sets of items: at most some for each of the
+    # places that a window can have around a prefix.
     span = F.struct((-F.col("place")).cast("long").alias("start"), (F.col("length") - F.col("place")).cast("long").alias("end"))
-    known = persisted(each.groupBy("token", "before", "around").agg(F.collect_set(span).alias("near"), F.collect_set("item").alias("of")), "known")
+    known = persisted(each.groupBy("token", "before", "around").agg(F.collect_set(span).alias("near"), F.collect_set("of").alias("of")), "known")
     moved = F.transform("near", lambda s: F.struct((s.start + F.col("at")).alias("start"), (s.end + F.col("at")).alias("end")))
     hits = places.join(known, ["token", "before", "around"]).select("a", "b", moved.alias("spans"), "of")
-    whole = hits.groupBy("a", "b").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("of")))).alias("items"))
-    return whole.mapInArrow(_summed, "a long, b long, n_hit long, hits array<struct<start:long,end:long>>, items array<string>")
+    sets = F.sort_array(F.array_distinct(F.flatten(F.collect_set("of"))))
+    whole = persisted(hits.groupBy("a", "b").agg(F.flatten(F.collect_set("spans")).alias("spans"), sets.alias("sets")), "whole")
+    lists = whole.select("sets").distinct().select("sets", F.explode("sets").alias("of")).join(items, "of")
+    named = lists.groupBy("sets").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return whole.join(named, "sets").select("a", "b", "spans", "items").mapInArrow(_summed, "a long, b long, n_hit long, hits array<struct<start:long,end:long>>, items array<string>")
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, log2_bits: int = FILTER_BITS) -> DataFrame:
-    """`docs` (text, ...) with n_words, n_hit, hits (spans of words), items (ids) and contaminated."""
+def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, log2_bits: int | None = None, most_bits: int = MOST_BITS) -> DataFrame:
+    """`docs` (text, ...) with n_words, n_hit, hits (spans of words), items (ids) and contaminated. The filter's bits follow
+    from the items, in turns of at most 2^most_bits; log2_bits fixes them. Neither changes the result."""
     plain = docs.drop("n_words", "n_hit", "hits", "items", "contaminated").withColumn("text", F.col("text").cast("string"))
     a, b = _text_key()
     windows = persisted(item_windows(items, size), "windows")
-    found = persisted(found_windows(plain.select(a.alias("a"), b.alias("b"), "text"), windows, size, log2_bits), "hits").withColumnsRenamed({"a": "__a", "b": "__b"})
+    found = persisted(found_windows(plain.select(a.alias("a"), b.alias("b"), "text"), windows, size, log2_bits, most_bits), "hits").withColumnsRenamed({"a": "__a", "b": "__b"})
     counted = plain.mapInArrow(_counted, T.StructType([*plain.schema.fields, T.StructField("n_words", T.LongType())]))
     # Stored, its size is known: Spark sends it to the tasks where it is below its threshold, and shuffles otherwise.
     out = counted.withColumns({"__a": a, "__b": b}).join(found, ["__a", "__b"], "left")
