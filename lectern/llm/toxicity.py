@@ -2,7 +2,10 @@
 
 Spans that may be disguised (a sign or digit touching a letter, doubled letters, three or more single characters set apart)
 are lattices of the letters each character may stand for. Repeated letters are optional; a run of separators, or a sign,
-either ends a word or doesn't. Viterbi decoding under a character trigram model takes the likeliest words. As doubled
+either ends a word or doesn't. One or two MASKS inside a word may stand for any letters with which it can still be one of
+the common words. Viterbi decoding under a character trigram model takes the likeliest words; it is exact, as states are the
+last two letters and, for beginnings of common words, the word. Words that are Latin but for look-alikes of other scripts are
+written in Latin letters before. As doubled
 letters are common in plain text, dropping them also has to outweigh DISGUISED; the gains of pairs don't depend on each
 other, so pairs are weighed for a whole text at once, and only words that change are decoded. Exclamation marks that
 follow a word and are followed by no letter are punctuation. The model's counts are over all documents and use no labels.
@@ -20,6 +23,7 @@ through; those named score, predicted or held_out are replaced.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -37,18 +41,24 @@ LEAST_DOCS, LEAST_RATIO = 3, 25.0
 BEGINNINGS = (4, 5, 6)
 #: Letters that a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
-SEPARATORS = " .-_*"
+SEPARATORS, MASKS = " .-_*/,#", "*#"
+#: Letters of other scripts that look like a Latin one.
+LOOK_ALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ј": "j", "ѕ": "s", "к": "k", "А": "a", "В": "b", "Е": "e", "К": "k", "М": "m", "Н": "h", "О": "o", "Р": "p", "С": "c", "Т": "t", "Х": "x", "У": "y", "І": "i", "Ј": "j", "Ѕ": "s", "ο": "o", "Ο": "o"}
+_LOOK_ALIKE = str.maketrans(LOOK_ALIKES)
+_SCRIPTS_MEET, _RUN = re.compile(rb"[a-z][\xce\xd0\xd1]|(?:[\xce\xd0\xd1][\x80-\xbf])[a-z]"), re.compile(rb"[a-z\x80-\xff]+")
 ALPHABET = 28  # edges of words, a-z, any other letter's byte
 _LEET, _SEP = re.escape("".join(SIGNS)).encode(), re.escape(SEPARATORS).encode()
 _ONE, _WORD = rb"[a-z" + _LEET + rb"]", rb"[a-z\x80-\xff" + _LEET + rb"]"
 _SPACED = rb"(?<!" + _WORD[:-1] + rb"])" + _ONE + rb"(?:[" + _SEP + rb"]+" + _ONE + rb"(?!" + _WORD + rb")){2,}"
-_TOUCHED = rb"[a-z](?:[*" + _LEET.replace(b"!", b"") + rb"]|!+[a-z])|[*" + _LEET + rb"][a-z]"
+_TOUCHED = rb"[a-z](?:[*#" + _LEET.replace(b"!", b"") + rb"]|!+[a-z])|[*#" + _LEET + rb"][a-z]"
 #: What makes a span worth a look.
 SPACED, SUSPECT = re.compile(_SPACED), re.compile(_SPACED + rb"|" + _TOUCHED + rb"|([a-z])\1")
 #: Log probabilities of the channel.
 KEPT, DROPPED_REPEAT, DROPPED_PAIR, STOOD_FOR = math.log(0.9), math.log(0.5), math.log(0.1), math.log(0.4)
 ENDED_BY_SIGN, ENDED_BY_MARK, MORE_SIGNS = math.log(0.005), math.log(0.9), math.log(0.05)
-JOINED, PARTED, PARTED_OTHERWISE = math.log(0.9), math.log(0.1), math.log(0.99)
+JOINED, PARTED, PARTED_OTHERWISE, MASKED = math.log(0.9), math.log(0.1), math.log(0.99), math.log(0.1)
+#: Masked letters in a row.
+MASKED_RUN = 2
 #: Of a word whose letters are doubled on purpose.
 DISGUISED = math.log(1e-6)
 #: Of a word that is none of the common ones.
@@ -56,8 +66,8 @@ UNKNOWN = math.log(0.01)
 REMEMBERED = 100_000
 #: Longer spans are decoded in parts of at most so many characters, which are remembered like spans.
 PART = 1_000
-#: Words whose counts the model has, the longest of them, and states held at each character of a span.
-VOCABULARY, LONGEST, BEAM = 20_000, 20, 64
+#: Words whose counts the model has, and the longest of them.
+VOCABULARY, LONGEST = 20_000, 20
 
 
 def code(letter: str) -> int:
@@ -93,65 +103,78 @@ class CharModel:
         if got is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            got = self.known[span] = self._decode(span.decode("ascii")).encode()
+            got = self.known[span] = self.decode(span.decode("ascii"))[1].encode()
         return got
 
-    def _decode(self, span: str) -> str:
-        log = self.log
+    @functools.cached_property
+    def letters_after(self) -> dict[str, str]:
+        """The letters that follow each beginning of a common word in any of them; none after a whole one."""
+        after: dict[str, set[str]] = {}
+        for word in self.frequent:
+            for k, letter in enumerate(word):
+                after.setdefault(word[:k], set()).add(letter)
+            after.setdefault(word, set())
+        return {word: "".join(sorted(letters)) for word, letters in after.items()}
+
+    def decode(self, span: str) -> tuple[float, str]:
+        """The likeliest words behind a span, and their log probability."""
+        log, frequent, after = self.log, self.frequent, self.letters_after
         # Dropped letters of a span without signs and separators need a reason, as such spans are common in plain text.
         plain = span.isalpha()
-        # States are the open word and, in plain spans, whether any letter was dropped; each has its best log probability,
-        # what that was at the word's start, and what it came from, as nested pairs.
-        best: dict[tuple[str, bool], tuple[float, float, tuple | None]] = {("", False): (0.0, 0.0, None)}
-        parts = [(m[0][0], m[0]) for m in re.finditer(rf"[{re.escape(SEPARATORS)}]+|(.)\1*", span, re.DOTALL)]
-        usual = Counter(r for c, r in parts if c in SEPARATORS).most_common(1)
-
-        def last(word):
-            return (code(word[-2]) if len(word) > 1 else 0, code(word[-1]) if word else 0)
-
-        def ended(word, p, before):
-            if not word:
-                return p
-            a, b = last(word)
-            return max(p + log[a][b][0] + UNKNOWN, before + self.frequent.get(word, -math.inf))
-
-        for c, run in parts:
-            apart = c in SEPARATORS
+        # States are the open word if it begins a common one, else None; the codes of its last two letters, 0 for none; and,
+        # in plain spans, whether any letter was dropped. Each has its best log probability, that at the word's start with the
+        # channel's since then, and what it came from, as nested pairs. The same word makes the same difference of both.
+        best: dict[tuple, tuple[float, float, tuple | None]] = {("", 0, 0, False): (0.0, 0.0, None)}
+        parts = [m[0] for m in re.finditer(rf"[{re.escape(SEPARATORS)}]+|(.)\1*", span, re.DOTALL)]
+        usual = Counter(r for r in parts if r[0] in SEPARATORS).most_common(1)
+
+        def ended(word, a, b, p, before):
+            return max(p + log[a][b][0] + UNKNOWN, before + frequent.get(word, -math.inf)) if b else p
+
+        for k, run in enumerate(parts):
+            c, apart = run[0], run[0] in SEPARATORS
+            masks = len(run) if apart and len(run) <= MASKED_RUN and 0 < k < len(parts) - 1 and not run.strip(MASKS) else 0
             for _ in range(1 if apart else len(run)):
-                now: dict[tuple[str, bool], tuple[float, float, tuple | None]] = {}
+                now: dict[tuple, tuple[float, float, tuple | None]] = {}
 
-                def offer(word, dropped, p, before, path, now=now):
-                    key = (word[-LONGEST - 1 :], dropped)
+                def offer(word, a, b, dropped, p, before, path, now=now):
+                    key = (word, a, b, dropped)
                     if key not in now or p > now[key][0]:
                         now[key] = (p, before, path)
 
-                for (word, dropped), (p, before, path) in best.items():
-                    a, b = last(word)
+                for (word, a, b, dropped), (p, before, path) in best.items():
                     if apart:
-                        offer(word, dropped, p + JOINED, before + JOINED, path)
-                        end = ended(word, p, before) + (PARTED if run == usual[0][0] else PARTED_OTHERWISE)
-                        offer("", dropped, end, end, (path, " "))
+                        offer(word, a, b, dropped, p + JOINED, before + JOINED, path)
+                        end = ended(word, a, b, p, before) + (PARTED if run == usual[0][0] else PARTED_OTHERWISE)
+                        offer("", 0, 0, dropped, end, end, (path, " "))
+                        filled = [(word, a, b, p, before, path)] if masks and word is not None else []
+                        for _ in range(masks):
+                            filled = [(w + x, j, code(x), q + log[i][j][code(x)] + MASKED, start + MASKED, (way, x)) for w, i, j, q, start, way in filled for x in after.get(w, "")]
+                        for w, i, j, q, start, way in filled:
+                            offer(w, i, j, dropped, q, start, way)
                         continue
                     for letter in SIGNS.get(c, c):
                         x = code(letter)
                         cost = 0.0 if plain else KEPT if letter == c else STOOD_FOR
-                        offer(word + letter, dropped, p + log[a][b][x] + cost, before + cost, (path, letter))
+                        longer = word + letter if word is not None and word + letter in after else None
+                        offer(longer, b, x, dropped, p + log[a][b][x] + cost, before + cost, (path, letter))
                         if x == b and len(run) > (letter != c) + 1:
                             cost = (DROPPED_REPEAT if plain or len(run) > 2 else DROPPED_PAIR) + (DISGUISED if plain and not dropped else 0.0)
-                            offer(word, plain, p + cost, before + cost, path)
+                            offer(word, a, b, plain, p + cost, before + cost, path)
                     if c in SIGNS:
-                        end = ended(word, p, before) + (ENDED_BY_MARK if c == "!" else ENDED_BY_SIGN if word else MORE_SIGNS)
-                        offer("", dropped, end, end, (path, c))
-                best = now if len(now) <= BEAM else dict(sorted(now.items(), key=lambda x: -x[1][0])[:BEAM])
-        path, out = max(((ended(word, p, before), path) for (word, _), (p, before, path) in best.items()), key=lambda x: x[0])[1], []
+                        end = ended(word, a, b, p, before) + (ENDED_BY_MARK if c == "!" else ENDED_BY_SIGN if b else MORE_SIGNS)
+                        offer("", 0, 0, dropped, end, end, (path, c))
+                best = now
+        total, path = max(((ended(word, a, b, p, before), path) for (word, a, b, _), (p, before, path) in best.items()), key=lambda x: x[0])
+        out: list[str] = []
         while path:
             path, letter = path
             out.append(letter)
-        return "".join(reversed(out))
+        return total, "".join(reversed(out))
 
     def restored(self, text: bytes) -> bytes:
         """`text` lower-cased in ASCII, with disguised spans restored."""
-        low = text.lower()
+        low = latin(text.lower())
         if set_apart(low):
             low = SPACED.sub(lambda m: self.restore(m[0]) if any(97 <= x < 123 for x in m[0]) else m[0], low)
         out, at = [], 0
@@ -184,6 +207,18 @@ class CharModel:
         return zip((starts[chosen] - 2).tolist(), (ends[chosen] - 2).tolist(), strict=True)
 
 
+def latin(low: bytes) -> bytes:
+    """`low` with look-alikes replaced in words that are Latin but for them."""
+    if not _SCRIPTS_MEET.search(low):
+        return low
+
+    def written(m):
+        word = m[0].decode("utf-8", "replace").translate(_LOOK_ALIKE)
+        return word.encode() if word.isascii() else m[0]
+
+    return _RUN.sub(written, low)
+
+
 def _parts(span: bytes) -> list[bytes]:
     out, at = [], 0
     while at < len(span):
@@ -257,7 +292,7 @@ def _codes():
     return table
 
 
-_SIGN_TABLE, _ONE_TABLE, _SEPARATOR_TABLE = _table([*SIGNS, "*"]), _table([*SIGNS, *map(chr, range(97, 123))]), _table(SEPARATORS)
+_SIGN_TABLE, _ONE_TABLE, _SEPARATOR_TABLE = _table([*SIGNS, *MASKS]), _table([*SIGNS, *map(chr, range(97, 123))]), _table(SEPARATORS)
 _CODE_TABLE = _codes()
 
 

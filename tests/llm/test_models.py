@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 import time
 import zlib
 from collections import Counter
@@ -143,6 +144,80 @@ def test_signs_at_the_ends(spark):
     assert letters.restored(b"1 2 3 4 and worth! 17") == b"1 2 3 4 and worth! 17"
 
 
+@pytest.mark.parametrize("word", ["moron", "idiot", "clown", "trash"])
+def test_masked_letters_are_restored(letters, word):
+    """Other words may fit a mask too; then the likeliest of those that do."""
+    fits = lambda form: [w for w in letters.frequent if re.fullmatch(form.replace("*", "(.)").replace("#", "(.)"), w)]
+    for at in range(1, len(word) - 1):
+        for mask in "*#":
+            form = word[:at] + mask + word[at + 1 :]
+            got = letters.restored(f"you {form} of".encode()).decode().split()[1]
+            assert got == max(fits(form), key=letters.frequent.get), form
+    form = word[0] + "**" + word[3:]
+    assert letters.restored(form.encode()).decode() == max(fits(form), key=letters.frequent.get)
+    for sign in "/,":
+        assert letters.restored(f"you {sign.join(word)} of".encode()) == f"you {word} of".encode()
+
+
+def test_look_alikes(letters):
+    for form in ("mоron", "мoron", "MОRОN", "mοron"):
+        want = "мoron" if form[0] == "м" else "moron"
+        assert letters.restored(f"you {form} of".encode()).decode() == f"you {want} of"
+    assert letters.restored("x\u0440 漢字a der Öl".encode()).decode() == "xp 漢字a der Öl"
+    assert letters.restored("он сказал, о Москве".encode()) == "он сказал, о Москве".encode()
+
+
+def likeliest(model, span):
+    """The score and texts of the best of all paths through a span's lattice, each scored by its whole words."""
+    plain = span.isalpha()
+    parts = [m[0] for m in re.finditer(r"[ .\-_*/,#]+|(.)\1*", span)]
+    apart = [r for r in parts if r[0] in " .-_*/,#"]
+    usual = max(apart, key=lambda r: (apart.count(r), -apart.index(r))) if apart else ""
+    steps = [(k, r, c) for k, r in enumerate(parts) for c in ([r] if r in apart else r)]
+    begins = {w[:k] for w in model.frequent for k in range(len(w) + 1)}
+
+    def worth(word):
+        x = [0, 0, *map(tox.code, word), 0]
+        return max(sum(model.log[a][b][c] for a, b, c in zip(x, x[1:], x[2:])) + tox.UNKNOWN, model.frequent.get(word, -math.inf)) if word else 0.0
+
+    def paths(at, word, dropped, out, cost):
+        if at == len(steps):
+            yield cost + worth(word), out
+            return
+        k, run, c = steps[at]
+        if run in apart:
+            yield from paths(at + 1, word, dropped, out, cost + tox.JOINED)
+            yield from paths(at + 1, "", dropped, out + " ", cost + worth(word) + (tox.PARTED if run == usual else tox.PARTED_OTHERWISE))
+            if len(run) <= 2 and set(run) <= {"*", "#"} and 0 < k < len(parts) - 1:
+                for new in itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=len(run)):
+                    if word + "".join(new) in begins:
+                        yield from paths(at + 1, word + "".join(new), dropped, out + "".join(new), cost + tox.MASKED * len(run))
+            return
+        for letter in tox.SIGNS.get(c, c):
+            yield from paths(at + 1, word + letter, dropped, out + letter, cost + (0.0 if plain else tox.KEPT if letter == c else tox.STOOD_FOR))
+            if word[-1:] == letter and len(run) > (letter != c) + 1:
+                why = tox.DROPPED_REPEAT if plain or len(run) > 2 else tox.DROPPED_PAIR
+                yield from paths(at + 1, word, plain, out, cost + why + (tox.DISGUISED if plain and not dropped else 0.0))
+        if c in tox.SIGNS:
+            yield from paths(at + 1, "", dropped, out + c, cost + worth(word) + (tox.ENDED_BY_MARK if c == "!" else tox.ENDED_BY_SIGN if word else tox.MORE_SIGNS))
+
+    every = list(paths(0, "", False, "", 0.0))
+    most = max(p for p, _ in every)
+    return most, {out for p, out in every if p > most - 1e-9}
+
+
+def test_decoding_takes_the_best_of_all_paths(spark):
+    docs = spark.createDataFrame([("you are a moron, an ass and an idiot of no worth, a diot, a shoot, as it is and as he was",)] * 50, "text string")
+    letters = tox.char_model(docs)
+    rng = random.Random(12)
+    for _ in range(1500):
+        kind = rng.choice(["aos", "aaosst0$1", "aisd1!|", "as o-*#", "mor*o#n0", "idot1*"])
+        span = "".join(rng.choices(kind, k=rng.randint(1, 8)))
+        total, out = letters.decode(span)
+        most, best = likeliest(letters, span)
+        assert abs(total - most) < 1e-9 and out in best, span
+
+
 def test_plain_text_stays(letters):
     for text in ("a plain text, with 1234 and 12:30! all good... pass", "Zu wenig Ä Öl 漢字", "", "!!! ???"):
         assert letters.restored(text.encode()) == text.encode().lower()
