@@ -7,12 +7,13 @@ class, or are prose by themselves. What is named like furniture is passed over a
 counts again.
 
 Sums are of whole numbers (shares of SHARE), so they don't depend on the order of adding. Equal scores go to the element
-that comes first. Pages without prose have no article. Texts are counted as far as they are not hidden.
+that comes first. Pages without prose have no article. Texts are counted as far as they are not hidden. Advertisements give
+nothing and join nothing, unless a page has no other prose.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.operators.blocks import SKIP_TAGS, subtree_sums
@@ -27,6 +28,7 @@ POINTS = {5: ("div",), 3: ("pre", "td", "blockquote"), -3: ("address", "ol", "ul
 ROLES = ("menu", "menubar", "complementary", "navigation", "alert", "alertdialog", "dialog")
 POSITIVE = "(?i)article|body|content|entry|hentry|h-entry|main|page|pagination|post|text|blog|story"
 NEGATIVE = "(?i)-ad-|hidden|^hid$| hid$| hid |^hid |banner|combx|comment|com-|contact|footer|gdpr|masthead|media|meta|outbrain|promo|related|scroll|share|shoutbox|sidebar|skyscraper|sponsor|shopping|tags|widget"
+ADVERT = "(?i)(^|[-_ ])(ad|ads|advert|advertisement|sponsor|sponsored)([-_ ]|$)"
 WEIGHT, LEAST_PROSE, LEVELS, LEAST_SIBLING, SIBLING_SHARE = 25, 25, 5, 10, 0.2
 LONG_SIBLING, LINKS_OF_LONG = 80, 0.25
 #: What each level above gets, in parts of SHARE.
@@ -52,32 +54,35 @@ def link_share() -> Column:
 
 
 def weighed(features: DataFrame) -> DataFrame:
-    """Elements with features and what else scoring needs, stored: blocks below, and out: furniture by its name, at or above it."""
+    """Elements with features and what else scoring needs, stored: blocks below, and out and ad: furniture and advertisements by
+    their names, at or above it."""
     named = F.concat(attr("class"), F.lit(" "), attr("id"))
     furniture = (named.rlike(UNLIKELY) & ~named.rlike(MAYBE) & ~F.col("tag").isin("body", "html", "a", "table", "code")) | attr("role").isin(*ROLES)
+    advert = named.rlike(ADVERT) & ~named.rlike(MAYBE) & ~F.col("tag").isin("body", "html")
     dead = F.col("veiled") | F.col("tag").isin(*SKIP_TAGS)
     rows = subtree_sums(features, ("page_id",), blocks=F.col("tag").isin(*BLOCK_TAGS))
-    rows = rows.withColumns({"gone": dead | _within(dead), "out": furniture | _within(furniture)}).filter("NOT gone")
+    rows = rows.withColumns({"gone": dead | _within(dead), "out": furniture | _within(furniture), "ad": advert | _within(advert)}).filter("NOT gone")
     ends = F.coalesce(attr("class"), F.lit(""))
-    return stored(rows.select("page_id", "seq", "end", "parent", "near", "tag", "visible", "in_links", "commas", "blocks", "out", "t_from", "t_to", ends.alias("class"), name_weight().alias("weight"), tag_points().alias("points"), link_share().alias("links")), "weighed")
+    return stored(rows.select("page_id", "seq", "end", "parent", "near", "tag", "visible", "in_links", "commas", "blocks", "out", "ad", "t_from", "t_to", ends.alias("class"), name_weight().alias("weight"), tag_points().alias("points"), link_share().alias("links")), "weighed")
 
 
 def scored(rows: DataFrame) -> DataFrame:
-    """(page_id, seq, end, parent, class, score) of the elements that got anything."""
+    """(page_id, seq, end, parent, class, ad, score) of the elements that got anything."""
     prose = rows.filter((F.col("tag").isin(*PROSE_TAGS) | ((F.col("tag") == "div") & (F.col("blocks") == 0))) & (F.col("visible") >= LEAST_PROSE))
+    prose = prose.withColumn("only_ads", F.min("ad").over(Window.partitionBy("page_id"))).filter("NOT ad OR only_ads")
     worth = 1 + F.col("commas") + F.least(F.floor(F.col("visible") / 100), F.lit(3))
     above = F.slice(F.reverse("near"), 2, LEVELS)
     share = F.get(F.array(*map(F.lit, GIVEN)), F.col("level"))
     gifts = prose.select("page_id", worth.alias("worth"), F.posexplode(above).alias("level", "seq"))
     sums = gifts.groupBy("page_id", "seq").agg(F.sum(F.col("worth") * share).alias("given"))
     score = (F.col("given") / SHARE + F.col("points") + F.col("weight")) * (1 - F.col("links"))
-    return rows.join(sums, ["page_id", "seq"]).select("page_id", "seq", "end", "parent", "class", score.alias("score"))
+    return rows.join(sums, ["page_id", "seq"]).select("page_id", "seq", "end", "parent", "class", "ad", score.alias("score"))
 
 
 def joined(rows: DataFrame, scores: DataFrame, nodes: DataFrame) -> DataFrame:
     """(page_id, c_seq, c_end): of each page the best element and the siblings that join it."""
-    best = scores.groupBy("page_id").agg(F.max_by(F.struct("seq", "parent", "class", "score"), F.struct("score", -F.col("seq"))).alias("best"))
-    near = rows.join(best, "page_id").filter(F.col("parent").eqNullSafe(F.col("best.parent")))
+    best = scores.groupBy("page_id").agg(F.max_by(F.struct("seq", "parent", "class", "ad", "score"), F.struct("score", -F.col("seq"))).alias("best"))
+    near = rows.join(best, "page_id").filter(F.col("parent").eqNullSafe(F.col("best.parent")) & (~F.col("ad") | F.col("best.ad")))
     near = near.join(scores.select("page_id", "seq", "score"), ["page_id", "seq"], "left")
     bound = F.greatest(F.lit(float(LEAST_SIBLING)), F.col("best.score") * SIBLING_SHARE)
     alike = F.when((F.col("class") != "") & (F.col("class") == F.col("best.class")), F.col("best.score") * SIBLING_SHARE).otherwise(0.0)

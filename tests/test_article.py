@@ -159,3 +159,13 @@ def test_without_the_reader(spark):
     html = f"<body><article><p>{prose(900)}</p></article></body>"
     df = spark.createDataFrame([(1, "https://p.example/", html)], "page_id long, url string, html string")
     assert extract(df, reader=False).first().strategy == "density"
+
+
+def test_an_advertisement_does_not_outweigh_a_short_article(spark):
+    """An advertisement of many commas gave the body more than the article got, and was read."""
+    said = "One long line of prose without any stop that goes on and on for as long as it takes to be an article " * 6
+    html = f'<html><body><div class="ad">Buy this, and that, or those, now, here, cheap, today, please.</div><article><h1>A page</h1><p>{said}</p></article></body></html>'
+    only = f'<html><body><div class="ad"><p>{said}</p></div></body></html>'
+    rows = extract(spark.createDataFrame([(1, "https://x.example/", html), (2, "https://y.example/", only)], "page_id long, url string, html string")).collect()
+    texts = {r.page_id: [b.text for b in r.blocks] for r in rows}
+    assert texts == {1: ["A page", said.strip()], 2: [said.strip()]}
