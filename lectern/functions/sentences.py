@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,35 +72,37 @@ def merged(parts: list[str], most: int, first_most: int) -> list[str]:
     return [x for x in (" ".join(x) for x in out) if x]
 
 
-def _over_arrays(function: Callable[..., list[str]], more: int):
-    """A column function over arrays of strings and `more` whole numbers, in Arrow batches."""
-    import pandas as pd
+def _in_rows(function: Callable[..., list[str]]):
+    """A column function from a text or an array of texts, and whole numbers, to an array of texts. Rows go to Python a hundred
+    at a time, so that a worker holds few texts, however large a part is; an Arrow batch holds ten thousand."""
 
-    def work(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for parts, *rest in batches:
-            rows = zip(parts, *rest, strict=True)
-            yield pd.Series([None if p is None else function(list(p), *(int(x) for x in xs)) for p, *xs in rows], dtype=object)
+    def work(first, *rest):
+        return None if first is None else function(first, *rest)
 
-    def alone(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for parts in batches:
-            yield pd.Series([None if p is None else function(list(p)) for p in parts], dtype=object)
-
-    work.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
-    alone.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(work if more else alone, T.ArrayType(T.StringType()))
+    return F.udf(work, T.ArrayType(T.StringType()), useArrow=False)
 
 
 def rejoin_abbreviations(sentences: Column) -> Column:
     """One pass from the left: a sentence goes to the one before if that ends in something that ends no sentence."""
-    return _over_arrays(rejoined, 0)(sentences)
+    return _in_rows(rejoined)(sentences)
 
 
 def merge_short(sentences: Column, most: Column | int, first_most: Column | int | None = None) -> Column:
     """Neighbours joined by a space while they fit; the first chunk has a cap of its own. No sentence is split. The fold holds
-    one open chunk, so its time is the text's length; in Arrow batches, as Spark's folds copy what they have gathered."""
+    one open chunk, so its time is the text's length; in Python, as Spark's folds copy what they have gathered."""
+    return _in_rows(merged)(sentences, *_caps(most, first_most))
+
+
+def _caps(most: Column | int, first_most: Column | int | None) -> tuple[Column, Column]:
     most = F.lit(most) if isinstance(most, int) else most
-    first_most = most if first_most is None else F.lit(first_most) if isinstance(first_most, int) else first_most
-    return _over_arrays(merged, 2)(sentences, most, first_most)
+    return most, most if first_most is None else F.lit(first_most) if isinstance(first_most, int) else first_most
+
+
+def chunked(text: Column, most: Column | int, first_most: Column | int | None = None, mode: str = "uax29") -> Column:
+    """Chunks of the sentences of a text that is tidied, as `merge_short(sentences(text))`, with one way to Python and back."""
+    if mode != "uax29":
+        return merge_short(sentences(text, mode), most, first_most)
+    return _in_rows(lambda t, *caps: merged(_split(t), *caps))(F.coalesce(text, F.lit("")), *_caps(most, first_most))
 
 
 def hard_wrap(text: Column, most: int = 1800) -> Column:
@@ -167,22 +169,17 @@ def _cased_before(text: str, start: int, at: int) -> bool:
     return at >= start and bool(_RULES["cased"].match(text, at))
 
 
-def uax29_sentences(text: Column) -> Column:
-    """Trimmed Unicode sentences of the trimmed text, repaired after abbreviations; in Arrow batches."""
-    return _uax29_batches()(text)
-
+#: White space that is trimmed from sentences.
+_SPACE = "".join(map(chr, (*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 
-def _uax29_batches():
-    import pandas as pd
 
-    space = "".join(c for c in map(chr, (*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+def _split(text: str) -> list[str]:
+    return rejoined([s for s in (x.strip(_SPACE) for x in uax29(text.strip(_SPACE))) if s])
 
-    def split(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield batch.map(lambda t: rejoined([s for s in (x.strip(space) for x in uax29((t or "").strip(space))) if s]))
 
-    split.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(split, T.ArrayType(T.StringType()))
+def uax29_sentences(text: Column) -> Column:
+    """Trimmed Unicode sentences of the trimmed text, repaired after abbreviations."""
+    return _in_rows(_split)(F.coalesce(text, F.lit("")))
 
 
 def sentences(text: Column, mode: str = "uax29") -> Column:
@@ -192,4 +189,4 @@ def sentences(text: Column, mode: str = "uax29") -> Column:
     return uax29_sentences(text) if mode == "uax29" else regex_sentences(text)
 
 
-__all__ = ["NOT_S", "WS", "hard_wrap", "merge_short", "regex_sentences", "rejoin_abbreviations", "sentences", "uax29", "uax29_sentences"]
+__all__ = ["NOT_S", "WS", "chunked", "hard_wrap", "merge_short", "regex_sentences", "rejoin_abbreviations", "sentences", "uax29", "uax29_sentences"]

@@ -7,8 +7,6 @@ windows run by page and container in node order, so nodes are shuffled and sorte
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -227,8 +225,7 @@ def _with_uids(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _unstated():
-    """Which of an array of texts stay, in one pass with the text kept last as all its state."""
-    import pandas as pd
+    """Which of an array of texts stay, in one pass with the text kept last as all its state; a hundred pages at a time."""
 
     def keep(texts: list[str]) -> list[int]:
         kept: list[int] = []
@@ -241,12 +238,7 @@ def _unstated():
                 kept.append(k)
         return kept
 
-    def work(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda texts: keep(list(texts)))
-
-    work.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(work, "array<int>")
+    return F.udf(keep, "array<int>", useArrow=False)
 
 
 def without_restated(blocks: Column) -> Column:

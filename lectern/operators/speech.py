@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.sentences import hard_wrap, merge_short, sentences
+from lectern.functions.sentences import chunked, hard_wrap
 from lectern.functions.text import BREAK, JUNK_CAPTION, LONG_BREAK, is_speakable, linearize_table, normalize_prose, speakable_code, strip_brackets, tidy, utf8_bytes, whitespace_words
 from lectern.settings import Settings
 
@@ -80,9 +80,9 @@ def speechify(extractions: DataFrame, cfg: Settings | None = None) -> DataFrame:
     each = each.select("page_id", "at", "opens", b["id"].alias("block_id"), F.coalesce(b["seq"], F.col("at")).alias("block_seq"), b["uid"].alias("uid"), b["kind"].alias("kind"), b["level"].alias("level"), F.coalesce(b["text"], F.lit("")).alias("raw"), b["meta"].alias("meta"), F.col("x.norms").alias("norm"))
     early = (F.col("opens") == 0) | (F.col("at") < F.col("opens"))
     cap = F.when(early, cfg.first_chunk_chars).otherwise(cfg.max_chunk_chars)
-    chunked = each.withColumn("chunks", F.when(F.col("kind").isin("paragraph", "quote"), merge_short(sentences(F.col("norm"), cfg.sentences), cfg.max_chunk_chars, cap)))
+    read = each.withColumn("chunks", F.when(F.col("kind").isin("paragraph", "quote"), chunked(F.col("norm"), cfg.max_chunk_chars, cap, cfg.sentences)))
     clean = F.filter(F.transform(_said(cfg), tidy), lambda s: (s != "") & is_speakable(s))
-    pieces = chunked.withColumn("pieces", F.flatten(F.transform(clean, lambda s: hard_wrap(s, cfg.hard_wrap_chars))))
+    pieces = read.withColumn("pieces", F.flatten(F.transform(clean, lambda s: hard_wrap(s, cfg.hard_wrap_chars))))
     said = pieces.select("page_id", "at", "block_id", "block_seq", "uid", "kind", F.posexplode("pieces").alias("piece", "text"))
     return _numbered(said).select("page_id", "utt_seq", F.concat(F.lit("u"), F.col("utt_seq").cast("string")).alias("id"), "block_id", "block_seq", "uid", "kind", "text", utf8_bytes(F.col("text")).cast("long").alias("bytes"))
 

@@ -22,7 +22,7 @@ class Settings:
     first_chunk_chars: int = 180
     hard_wrap_chars: int = 1800
     prefetch_ahead: int = 2
-    #: "uax29" follows Unicode's rules in Arrow batches; "regex" splits sentences in Spark's own expressions.
+    #: "uax29" follows Unicode's rules in Python; "regex" splits sentences in Spark's own expressions.
     sentences: str = "uax29"
     #: Tables with cells are read with each cell's header.
     pair_tables: bool = False
