@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.functions.text import NOT_S, S, WS, B, trimmed
+from lectern.functions.text import NOT_S, RARE, S, SPACES, WS, B, _holds, _where, trimmed
 
 #: Words whose full stop doesn't end a sentence.
 ABBREVIATED = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Jr", "St", "Mt", "Rev", "Hon", "e\\.g", "i\\.e", "etc", "cf", "vs", "viz", "al", "Fig", "Eq", "No", "Vol", "approx", "est", "dept", "Inc", "Ltd", "Co")
@@ -19,13 +19,15 @@ _DOT = "\u0001"
 
 def regex_sentences(text: Column) -> Column:
     """Splits after a sentence's end mark and white space; full stops that end nothing are masked meanwhile."""
-    out = trimmed(text)
-    out = F.regexp_replace(out, rf"{B}({'|'.join(ABBREVIATED)})\.", f"$1{_DOT}")
-    out = F.regexp_replace(out, rf"{B}([A-Z])\.", f"$1{_DOT}")
-    out = F.regexp_replace(out, r"([0-9])\.([0-9])", f"$1{_DOT}$2")
-    out = F.regexp_replace(out, r"\.\.\.", _DOT * 3)
-    out = F.regexp_replace(out, rf"(?m)^({S}*[0-9]+)\.({S})", f"$1{_DOT}$2")
-    parts = F.split(out, rf"(?<=[.!?。！？।]){S}+")
+    stop, digit = r"\.(?<=", r"\.(?<=[0-9]\.)"
+    # Full stops are few, and cheaper to look for than what stands around them.
+    out = F.regexp_replace(trimmed(text), rf"{stop}{B}(?:{'|'.join(ABBREVIATED)})\.)", _DOT)
+    out = F.regexp_replace(out, rf"{stop}{B}[A-Z]\.)", _DOT)
+    out = _where(out, lambda t: t.rlike(rf"{digit}(?:[0-9]|{S})"), lambda t: F.regexp_replace(t, r"([0-9])\.([0-9])", f"$1{_DOT}$2"))
+    out = _where(out, _holds("..."), lambda t: F.regexp_replace(t, r"\.\.\.", _DOT * 3))
+    out = _where(out, lambda t: t.rlike(rf"{digit}{S}"), lambda t: F.regexp_replace(t, rf"(?m)^({S}*[0-9]+)\.({S})", f"$1{_DOT}$2"))
+    ended = r"(?<=[.!?。！？।])"
+    parts = _where(out, lambda t: t.rlike(RARE), lambda t: F.split(t, rf"{ended}{S}+"), lambda t: F.split(t, rf"{ended}\s+"))
     return F.filter(F.transform(parts, lambda s: trimmed(F.replace(s, F.lit(_DOT), F.lit(".")))), lambda s: s != "")
 
 
@@ -169,12 +171,8 @@ def _cased_before(text: str, start: int, at: int) -> bool:
     return at >= start and bool(_RULES["cased"].match(text, at))
 
 
-#: White space that is trimmed from sentences.
-_SPACE = "".join(map(chr, (*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
-
-
 def _split(text: str) -> list[str]:
-    return rejoined([s for s in (x.strip(_SPACE) for x in uax29(text.strip(_SPACE))) if s])
+    return rejoined([s for s in (x.strip(SPACES) for x in uax29(text.strip(SPACES))) if s])
 
 
 def uax29_sentences(text: Column) -> Column:
