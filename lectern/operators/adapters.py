@@ -196,7 +196,7 @@ def containers(nodes: DataFrame, registry=REGISTRY) -> DataFrame:
 def whole_text(nodes: DataFrame, picks: DataFrame) -> DataFrame:
     """`picks` (page_id, t_from, t_to, ...) that have text, with text: all text of their subtrees, collapsed; raw: as it is.
     A page's pieces of text stand in one array, of which each pick's are a slice: the work is the length of the results."""
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct("t_from", "text"))), lambda p: p["text"]).alias("pieces")
+    pieces = F.sort_array(F.collect_list(F.struct("t_from", "text")))["text"].alias("pieces")
     texts = nodes.filter(F.col("tag") == TEXT).groupBy("page_id").agg(pieces)
     own = [c for c in picks.columns if c != "page_id"]
     grouped = picks.filter("t_to > t_from").groupBy("page_id").agg(F.collect_list(F.struct(*own)).alias("picks"))

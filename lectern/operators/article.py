@@ -60,7 +60,8 @@ def weighed(features: DataFrame) -> DataFrame:
     furniture = (named.rlike(UNLIKELY) & ~named.rlike(MAYBE) & ~F.col("tag").isin("body", "html", "a", "table", "code")) | attr("role").isin(*ROLES)
     advert = named.rlike(ADVERT) & ~named.rlike(MAYBE) & ~F.col("tag").isin("body", "html")
     dead = F.col("veiled") | F.col("tag").isin(*SKIP_TAGS)
-    rows = subtree_sums(features, ("page_id",), blocks=F.col("tag").isin(*BLOCK_TAGS))
+    # Blocks tell which divs are prose, and are counted below these only.
+    rows = subtree_sums(features, ("page_id",), F.col("tag") == "div", blocks=F.col("tag").isin(*BLOCK_TAGS))
     rows = rows.withColumns({"gone": dead | _within(dead), "out": furniture | _within(furniture), "ad": advert | _within(advert)}).filter("NOT gone")
     ends = F.coalesce(attr("class"), F.lit(""))
     return stored(rows.select("page_id", "seq", "end", "parent", "near", "tag", "visible", "in_links", "commas", "blocks", "out", "ad", "t_from", "t_to", ends.alias("class"), name_weight().alias("weight"), tag_points().alias("points"), link_share().alias("links")), "weighed")

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import clean_code, collapse, whitespace_words
-from lectern.operators.nodes import NEAR, attr, has_class
-from lectern.operators.selectors import any_of
+from lectern.operators.nodes import NEAR, attr
+from lectern.plans.storage import stored
 from lectern.schema import BLOCK, META
 
 #: Tag sets.
@@ -32,10 +32,8 @@ BY = ("page_id", "source")
 
 
 def mathy() -> Column:
-    out = F.lit(False)
-    for c in MATH_CLASSES:
-        out = out | has_class(c)
-    return out
+    # Most elements have no class.
+    return (attr("class") != "") & F.arrays_overlap(F.split(attr("class"), r"\s+"), F.array(*map(F.lit, MATH_CLASSES)))
 
 
 def hidden() -> Column:
@@ -49,7 +47,7 @@ def kind_of() -> Column:
     tag = F.col("tag")
     return (
         F.when((tag == "math") | mathy(), "math")
-        .when(tag.rlike("^h[1-6]$") | (attr("role") == "heading"), "heading")
+        .when(tag.isin("h1", "h2", "h3", "h4", "h5", "h6") | (attr("role") == "heading"), "heading")
         .when(tag.isin("pre", "code"), "code")
         .when(tag == "table", "table")
         .when(tag.isin("figure", "figcaption", "img"), "figure")
@@ -65,25 +63,28 @@ def level_of() -> Column:
     return F.when(F.col("kind") == "heading", F.coalesce(tagged, F.when(aria.between(1, 6), aria), F.lit(2)))
 
 
-def _order():
-    return Window.partitionBy(*BY).orderBy("seq")
+def _order(by: tuple[str, ...] = BY):
+    return Window.partitionBy(*by).orderBy("seq")
 
 
-def inside(test: Column, strictly_before: bool = True) -> Column:
+def inside(test: Column, strictly_before: bool = True, by: tuple[str, ...] = BY) -> Column:
     """Whether a node lies in the subtree of an earlier node with the property."""
-    frame = _order().rowsBetween(Window.unboundedPreceding, -1 if strictly_before else 0)
+    frame = _order(by).rowsBetween(Window.unboundedPreceding, -1 if strictly_before else 0)
     return F.coalesce(F.max(F.when(test, F.col("end"))).over(frame), F.lit(0)) > F.col("seq")
 
 
-def subtree_sums(rows: DataFrame, by: tuple[str, ...] = BY, **sums: Column) -> DataFrame:
-    """`rows` (by, seq, end, ...) with sums over the nodes below each element, without itself.
+def subtree_sums(rows: DataFrame, by: tuple[str, ...] = BY, where: Column | None = None, **sums: Column) -> DataFrame:
+    """`rows` (by, seq, end, ...) with sums over the nodes below each element, without itself; below those that `where` asks
+    for, if it is given, and 0 elsewhere.
 
     An element stands twice in a page's order, where it begins and where it ends; the sum of what is below it is the running
     sum at its end less that at its beginning. All runs by page, so rows that are there by page are shuffled no more.
     """
     values = {f"__{k}": F.coalesce(v.cast("long"), F.lit(0)) for k, v in sums.items()}
     ends = F.array(F.lit(True), F.lit(False))
-    twice = rows.withColumns(values).withColumn("__opens", F.explode(F.when(F.col("end") > F.col("seq") + 1, ends).otherwise(F.slice(ends, 1, 1))))
+    holds = F.col("end") > F.col("seq") + 1
+    holds = holds if where is None else holds & F.coalesce(where, F.lit(False))
+    twice = rows.withColumns(values).withColumn("__opens", F.explode(F.when(holds, ends).otherwise(F.array(F.lit(True)))))
     opens, keys = F.col("__opens"), {*by, "seq", "end"}
     # Where it ends it carries nothing but its numbers.
     light = twice.select(*keys, "__opens", *[F.when(opens, F.col(c)).alias(c) for c in rows.columns if c not in keys], *[F.when(opens, F.col(v)).otherwise(0).alias(v) for v in values])
@@ -98,10 +99,10 @@ def subtree_sums(rows: DataFrame, by: tuple[str, ...] = BY, **sums: Column) -> D
 def with_stamps(rows: DataFrame) -> DataFrame:
     """`rows` with stamp: the number of an element that can be highlighted, at most MAX_STAMPS a page."""
     dead = F.col("tag").isin(*SKIP_TAGS) | hidden()
-    can = ~F.col("is_text") & ~dead & ~inside(dead) & (F.col("tag").isin(*STAMP_TAGS) | mathy())
+    can = ~F.col("is_text") & ~dead & ~inside(dead, by=("page_id",)) & (F.col("tag").isin(*STAMP_TAGS) | mathy())
     can = can & ((F.col("tag") != "img") | (F.char_length(F.trim(attr("alt"))) >= MIN_ALT))
     out = rows.withColumn("__can", F.coalesce(can, F.lit(False)))
-    number = F.sum(F.col("__can").cast("int")).over(_order())
+    number = F.sum(F.col("__can").cast("int")).over(_order(("page_id",)))
     return out.withColumn("stamp", F.when(F.col("__can") & (number <= MAX_STAMPS), number)).drop("__can")
 
 
@@ -112,7 +113,8 @@ def held_by(nodes: DataFrame, containers: DataFrame) -> DataFrame:
     spans = containers.withColumn("family", F.split("source", "#")[0])
     each = nodes.join(spans.select("page_id", "family").distinct(), "page_id")
     starts = spans.select("page_id", "family", F.col("c_seq").alias("seq"), F.struct("source", "c_seq", "c_end").alias("span"))
-    marked = each.join(starts, ["page_id", "family", "seq"], "left")
+    # Dealt by page, which all later windows and groups by page and container can use as it is.
+    marked = each.join(starts, ["page_id", "family", "seq"], "left").repartition("page_id")
     order = Window.partitionBy("page_id", "family").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     last = marked.withColumn("span", F.last("span", ignorenulls=True).over(order)).filter(F.col("span.c_end") > F.col("seq"))
     return last.select(*nodes.columns, "span.source", "span.c_seq", "span.c_end")
@@ -126,7 +128,7 @@ def blocks_from(nodes: DataFrame, containers: DataFrame) -> DataFrame:
     is_root = F.col("seq") == F.col("c_seq")
     element = ~F.col("is_text")
     unread = element & (F.col("tag").isin(*SKIP_TAGS) | hidden() | skip)
-    chrome = element & (F.col("tag").isin(*CHROME_TAGS) | F.lower(attr("role")).isin(*CHROME_ROLES))
+    chrome = element & (F.col("tag").isin(*CHROME_TAGS) | ((attr("role") != "") & F.lower(attr("role")).isin(*CHROME_ROLES)))
     rows = rows.withColumns({"kind": F.when(element, kind_of()), "unread": unread, "furniture": chrome & ~is_root})
     rows = rows.withColumn("dead", F.col("unread") | inside(F.col("unread")))
 
@@ -135,9 +137,10 @@ def blocks_from(nodes: DataFrame, containers: DataFrame) -> DataFrame:
     terminal = element & (F.col("tag").isin(*TERMINAL_TAGS) | ((F.col("tag") == "img") & F.map_contains_key("attrs", "alt")))
     chars = F.when(F.col("is_text"), F.char_length(F.btrim(blank))).otherwise(0)
     alive = ~F.col("dead")
-    rows = subtree_sums(rows, terminals=terminal, chars=chars, row_tags=(F.col("tag") == "tr") & alive, cell_tags=F.col("tag").isin("td", "th"))
+    # Sums are asked for by elements that may be loose text, or tables, only.
     loose = element & F.col("tag").isin(*LOOSE_TAGS)
-    rows = subtree_sums(rows, bearers=loose & ~hidden() & (F.col("chars") >= MIN_LOOSE))
+    rows = subtree_sums(rows, where=loose | (F.col("kind") == "table"), terminals=terminal, chars=chars, row_tags=(F.col("tag") == "tr") & alive, cell_tags=F.col("tag").isin("td", "th"))
+    rows = subtree_sums(rows, where=loose, bearers=loose & ~hidden() & (F.col("chars") >= MIN_LOOSE))
 
     takes_loose = loose & (F.col("terminals") == 0) & (F.col("bearers") == 0) & (F.col("chars") >= MIN_LOOSE - 1)
     layout = (F.col("kind") == "table") & (F.col("row_tags") <= 1) & (F.col("cell_tags") <= 1)
@@ -157,16 +160,13 @@ def blocks_from(nodes: DataFrame, containers: DataFrame) -> DataFrame:
     rows = rows.withColumns({"row": inner("in_row"), "cell": inner("in_cell")})
 
     piece = F.struct("seq", "text")
-    joined = lambda test: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(test, piece))), lambda p: p["text"]), "")
-    first = lambda value, test: F.min_by(F.when(test, value), F.when(test, F.col("seq")))
+    joined = lambda test: F.array_join(F.sort_array(F.collect_list(F.when(test, piece)))["text"], "")
     alt = collapse(attr("alt"))
     spoken_alt = F.coalesce(F.nullif(attr("alttext"), F.lit("")), F.nullif(attr("aria-label"), F.lit("")), F.nullif(attr("title"), F.lit("")))
-    is_head = F.col("head")
+    # Of the rows of a block one is its head.
+    opening = F.struct("kind", level_of().alias("level"), "near", spoken_alt.alias("spoken"))
     grouped = rows.groupBy(*BY, "at").agg(
-        first(F.col("kind"), is_head).alias("kind"),
-        first(level_of(), is_head).alias("level"),
-        first(F.col("near"), is_head).alias("near"),
-        first(spoken_alt, is_head).alias("spoken"),
+        F.first(F.when(F.col("head"), opening), ignorenulls=True).alias("opening"),
         joined(F.col("live")).alias("raw"),
         joined(F.col("live") & F.col("in_caption")).alias("caption"),
         joined(F.col("is_text") & F.col("in_annotation")).alias("annotation"),
@@ -174,6 +174,8 @@ def blocks_from(nodes: DataFrame, containers: DataFrame) -> DataFrame:
         F.collect_list(F.when(F.col("live") & F.col("cell").isNotNull() & F.col("row").isNotNull(), F.struct("row", "cell", "seq", "text"))).alias("cells"),
         F.collect_set(F.when(F.coalesce(F.col("tag").isin("td", "th"), F.lit(False)), F.struct("row", "cell"))).alias("grid"),
     )
+    # Stored, as windows and sums of all nodes stand behind it and four later steps read it.
+    grouped = stored(grouped.select(*BY, "at", "opening.*", *[c for c in grouped.columns if c not in (*BY, "at", "opening")]), "grouped")
     table = _tables(grouped)
     plain, nonblank = collapse(F.col("raw")), lambda c: F.nullif(collapse(F.coalesce(c, F.lit(""))), F.lit(""))
     code = clean_code(F.col("raw"))
@@ -193,6 +195,7 @@ def blocks_from(nodes: DataFrame, containers: DataFrame) -> DataFrame:
         F.when(F.col("kind") == "table", F.col("table_cells")).alias("cells"),
     )
     out = grouped.join(table, [*BY, "at"], "left").withColumn("loose", F.col("kind").isNull()).withColumns({"text": text, "meta": F.when(F.col("kind").isin("code", "table"), meta).cast(META), "kind": F.coalesce("kind", F.lit("paragraph"))})
+    out = stored(out.select(*BY, "at", "kind", "level", "near", "text", "meta", "loose"), "texts")
     out = out.filter((F.trim("text") != "") & (~F.col("loose") | ((F.char_length("text") >= MIN_LOOSE) & (whitespace_words(F.col("text")) >= 2))))
     return _with_uids(out, nodes).select(*BY, "at", "kind", "level", "text", "uid", "meta")
 
@@ -201,13 +204,13 @@ def _tables(grouped: DataFrame) -> DataFrame:
     """Lines, cells, rows and columns of table blocks."""
     tables = grouped.filter("kind = 'table'")
     pieces = tables.select(*BY, "at", F.explode("cells").alias("c"))
-    cells = pieces.groupBy(*BY, "at", "c.row", "c.cell").agg(collapse(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c.seq", "c.text"))), lambda p: p["text"]), "")).alias("text"))
-    rows = cells.groupBy(*BY, "at", "row").agg(F.array_sort(F.collect_list(F.struct("cell", "text"))).alias("texts"))
+    cells = pieces.groupBy(*BY, "at", "c.row", "c.cell").agg(collapse(F.array_join(F.sort_array(F.collect_list(F.struct("c.seq", "c.text")))["text"], "")).alias("text"))
+    rows = cells.groupBy(*BY, "at", "row").agg(F.sort_array(F.collect_list(F.struct("cell", "text"))).alias("texts"))
     full = lambda texts: F.filter(F.transform(texts, lambda t: t["text"]), lambda t: t != "")
     rows = rows.withColumns({"line": F.array_join(full(F.col("texts")), ", "), "said": F.transform("texts", lambda t: t["text"])})
     lines = rows.filter("line <> ''").groupBy(*BY, "at").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda r: r["line"]), ". ").alias("lines"),
-        F.transform(F.array_sort(F.collect_list(F.struct("row", "said"))), lambda r: r["said"]).alias("table_cells"),
+        F.array_join(F.sort_array(F.collect_list(F.struct("row", "line")))["line"], ". ").alias("lines"),
+        F.sort_array(F.collect_list(F.struct("row", "said")))["said"].alias("table_cells"),
         F.count(F.lit(1)).alias("n_rows"),
     )
     grid = tables.select(*BY, "at", F.explode("grid").alias("g")).groupBy(*BY, "at", "g.row").agg(F.count(F.lit(1)).alias("n"))
@@ -225,9 +228,9 @@ def _with_uids(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _unstated():
-    """Which of an array of texts stay, in one pass with the text kept last as all its state; a hundred pages at a time."""
+    """Of each of an array of texts whether it stays, in one pass with the text kept last as all its state; a hundred pages at a time."""
 
-    def keep(texts: list[str]) -> list[int]:
+    def keep(texts: list[str]) -> list[bool]:
         kept: list[int] = []
         for k, text in enumerate(texts):
             if kept and text in texts[kept[-1]]:
@@ -236,15 +239,16 @@ def _unstated():
                 kept[-1] = k
             else:
                 kept.append(k)
-        return kept
+        stay = {*kept}
+        return [k in stay for k in range(len(texts))]
 
-    return F.udf(keep, "array<int>", useArrow=False)
+    return F.udf(keep, "array<boolean>", useArrow=False)
 
 
 def without_restated(blocks: Column) -> Column:
     """Ordered blocks, without those that the block kept before contains; a block that contains that one replaces it."""
-    stay = _unstated()(F.transform(blocks, lambda b: b["text"]))
-    return F.transform(stay, lambda k: F.get(blocks, k))
+    told = F.arrays_zip(blocks.alias("block"), _unstated()(blocks["text"]).alias("stays"))
+    return F.transform(F.filter(told, lambda x: x["stays"]), lambda x: x["block"])
 
 
 def numbered(blocks: Column) -> Column:

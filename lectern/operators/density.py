@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.operators.blocks import SKIP_TAGS, hidden, subtree_sums
-from lectern.operators.nodes import TEXT, attr
+from lectern.operators.nodes import SEPARATOR, TEXT, attr
 from lectern.operators.selectors import any_of
 from lectern.plans.storage import stored
 
@@ -27,6 +29,7 @@ UNLIKELY = (
 MAYBE = "(?i)and|article|body|column|content|main|shadow"
 #: Least characters of a candidate and of prose, most candidates of a page, share of its text that makes a
 #: child stand for its parent, and steps down to it.
+COMMAS = ",，、؛"
 LEAST_CHARS, MOST_CANDIDATES, PROSE_CHARS, HELD, STEPS = 140, 300, 25, 0.92, 8
 
 
@@ -36,13 +39,18 @@ def features(nodes: DataFrame) -> DataFrame:
     text = F.when(F.col("tag") == TEXT, F.char_length("text")).otherwise(0)
     veiled = ~F.col("is_text") & hidden() & ~F.col("tag").isin(*SKIP_TAGS)
     link = F.coalesce((F.col("tag") == "a") & F.map_contains_key("attrs", "href"), F.lit(False))
-    rows = nodes.withColumns({"n": text, "out": _within(veiled) & (F.col("tag") == TEXT), "linked": _within(link)})
+    # By length, as commas are one character each.
+    without = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), COMMAS, F.col("text"))
+    commas = F.when(F.col("tag") == TEXT, F.char_length("text") - F.char_length(without)).otherwise(0)
+    # Texts are counted before they are sorted, which then goes without them, and without line ends, which nothing counts.
+    rows = nodes.filter(F.col("tag") != SEPARATOR).withColumns({"n": text, "n_commas": commas, "text": F.lit(None).cast("string")})
+    rows = rows.withColumns({"out": _within(veiled) & (F.col("tag") == TEXT), "linked": _within(link)})
     unseen, in_links = [F.when(F.col(c), F.col("n")).otherwise(0) for c in ("out", "linked")]
-    commas = F.when(F.col("tag") == TEXT, F.regexp_count("text", F.lit("[,，、؛]"))).otherwise(0)
-    rows = subtree_sums(rows, by, chars=F.col("n"), unseen=unseen, in_links=in_links, commas=commas, elements=~F.col("is_text"))
-    elements = rows.filter("NOT is_text").drop("n", "out", "linked")
-    prose = F.col("tag").isin(*PROSE_TAGS) & (F.col("chars") >= PROSE_CHARS)
-    return subtree_sums(elements, by, prose=prose).withColumns({"visible": F.greatest(F.col("chars") - F.col("unseen"), F.lit(0)), "veiled": F.coalesce(hidden(), F.lit(False))})
+    rows = subtree_sums(rows, by, chars=F.col("n"), unseen=unseen, in_links=in_links, commas=F.col("n_commas"), elements=~F.col("is_text"))
+    elements = rows.filter("NOT is_text").drop("n", "out", "linked", "n_commas")
+    enough = F.col("chars") >= PROSE_CHARS
+    # What holds too little to be prose holds none.
+    return subtree_sums(elements, by, enough, prose=F.col("tag").isin(*PROSE_TAGS) & enough).withColumns({"visible": F.greatest(F.col("chars") - F.col("unseen"), F.lit(0)), "veiled": F.coalesce(hidden(), F.lit(False))})
 
 
 def _within(test: Column) -> Column:

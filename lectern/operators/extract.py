@@ -36,18 +36,18 @@ def metadata(rows: DataFrame) -> DataFrame:
     content, said = collapse(attr("content")), lambda test: test & (collapse(attr("content")) != "")
     meta = F.col("tag") == "meta"
     named = lambda key, name: first(content, said(meta & (attr(key) == name)))
-    author = (attr("rel") == "author") | has_class("byline") | has_class("author-name") | (attr("itemprop") == "author")
-    plain = rows.groupBy("page_id").agg(
+    author = (attr("rel") == "author") | ((attr("class") != "") & (has_class("byline") | has_class("author-name"))) | (attr("itemprop") == "author")
+    plain = rows.filter(F.col("tag").isin("meta", "html")).groupBy("page_id").agg(
         F.coalesce(named("property", "og:title"), named("name", "twitter:title")).alias("social_title"),
         F.coalesce(named("name", "author"), named("property", "article:author")).alias("author"),
         named("property", "og:site_name").alias("site"),
         first(attr("lang"), F.col("tag") == "html").alias("html_lang"),
         first(content, said(meta & (F.lower(attr("http-equiv")) == "content-language"))).alias("content_lang"),
     )
-    kind = F.when(F.col("tag") == "title", "title").when(F.col("tag") == "h1", "h1").when(author & ~F.col("is_text") & (F.col("tag") != "meta"), "by")
+    kind = F.when(F.col("tag") == "title", "title").when(F.col("tag") == "h1", "h1").when(~F.col("is_text") & (F.col("tag") != "meta") & author, "by")
     picks = rows.withColumn("what", kind).filter("what IS NOT NULL").withColumn("k", F.row_number().over(Window.partitionBy("page_id", "what").orderBy("seq"))).filter("k = 1").select("page_id", "seq", "t_from", "t_to", "what")
     texts = whole_text(rows, picks).groupBy("page_id").agg(*[F.max(F.when(F.col("what") == w, F.nullif("text", F.lit("")))).alias(w) for w in ("title", "h1", "by")])
-    both = plain.join(texts, "page_id", "left")
+    both = plain.join(texts, "page_id", "full")
     byline = F.coalesce("author", F.when(F.char_length("by") <= MOST_BYLINE, F.col("by")))
     return both.select("page_id", F.coalesce("social_title", "title", "h1").alias("meta_title"), byline.alias("byline"), "site", "html_lang", "content_lang")
 
@@ -79,8 +79,7 @@ def extract(pages: DataFrame, registry=REGISTRY, reader: bool = True, adapters:
     light = pages.drop("html")
     # All later steps read this table, so pages are parsed once.
     parsed = with_sheets(stored(nodes(pages), "parsed"))
-    stamped = with_stamps(parsed.withColumn("source", F.lit(""))).drop("source")
-    rows = stored(stamped.join(light.select("page_id", "adapter"), "page_id"), "nodes")
+    rows = stored(with_stamps(parsed).join(light.select("page_id", "adapter"), "page_id"), "nodes")
     elements = stored(features(rows), "features")
     dense = winners(elements).select("page_id", F.lit("density").alias("source"), "c_seq", "c_end")
     if reader:

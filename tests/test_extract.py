@@ -1,6 +1,7 @@
 """Pages to blocks: kinds, hidden and loose content, density, adapters, metadata, fallbacks."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.operators.adapters import REGISTRY
 from lectern.operators.density import article_score, features
@@ -141,3 +142,16 @@ def test_other_sources(spark):
     from pyspark.sql import functions as F
 
     assert [r.x for r in spark.createDataFrame([("a/B.PDF#p",), ("a.pdf/x",)], "u string").select(is_pdf(F.col("u")).alias("x")).collect()] == [True, False]
+
+
+def test_nodes_are_gone_through_once_for_blocks(spark):
+    """Windows and sums over all nodes were computed again for each of the later steps that read blocks: five times in one plan."""
+    from lectern.operators.blocks import blocks_from, with_stamps
+    from lectern.operators.density import winners
+
+    rows = with_stamps(nodes(spark.createDataFrame([(1, PAGES[1][1])], "page_id long, html string")))
+    found = blocks_from(rows, winners(features(rows)).select("page_id", F.lit("density").alias("source"), "c_seq", "c_end"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # One numbers the claims of stamps, and one the stamps that are claimed.
+    assert plan.count("Window [") <= 3
+    assert "Second one is unclosed" in " ".join(r.text for r in found.collect())
