@@ -19,6 +19,9 @@ from lectern.functions.text import clean_code, collapse
 from lectern.operators.nodes import SEPARATOR, TEXT
 from lectern.schema import KINDS
 
+#: What a table function is told of a node, and of how much markup its part of the pages is at most, but for one page.
+NODE_COLUMNS = ("page_id", "seq", "end", "parent", "tag", "attrs", "text")
+PART_BYTES = 2 << 20
 BLOCKS_SCHEMA = "page_id long, adapter string, at int, kind string, level int, text string, seq int"
 
 
@@ -92,6 +95,14 @@ def adapter_function(adapters: Sequence[PageAdapter]):
     return udtf(Adapt, returnType=BLOCKS_SCHEMA)
 
 
+def with_urls(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    """NODE_COLUMNS and url of the nodes of `pages` (page_id, url, html), dealt by page to parts of bounded size: each part is
+    sorted by one task, whose memory would grow with the pages if their number of parts did not."""
+    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    parts = max(nodes.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+    return nodes.select(*NODE_COLUMNS).repartition(parts, "page_id").join(pages.select("page_id", "url"), "page_id")
+
+
 def register(spark: SparkSession, adapters: Sequence[PageAdapter], name: str = "adapt_pages") -> None:
     """Makes the adapters callable as SELECT * FROM name(TABLE(nodes) PARTITION BY page_id ORDER BY seq)."""
     spark.udtf.register(name, adapter_function(adapters))

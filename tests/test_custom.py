@@ -2,7 +2,7 @@
 
 import pytest
 
-from lectern.operators.custom import register
+from lectern.operators.custom import PART_BYTES, register, with_urls
 from lectern.operators.extract import extract
 from lectern.operators.nodes import nodes
 
@@ -73,3 +73,15 @@ def test_sql(spark, pages):
     nodes(pages).join(pages.select("page_id", "url"), "page_id").createOrReplaceTempView("page_nodes")
     got = spark.sql("SELECT page_id, adapter, count(*) AS n FROM adapt_pages(TABLE(page_nodes) PARTITION BY page_id ORDER BY seq) GROUP BY ALL").collect()
     assert {(r.page_id, r.adapter, r.n) for r in got} == {(1, "recipes", 3), (2, "rest", 2), (5, "recipes", 2)}
+
+
+def test_parts_of_pages_are_of_bounded_size(spark):
+    """Pages were sorted in as many parts as the session has for shuffles, so that a task's memory grew with the table."""
+    from pyspark.sql import functions as F
+
+    few = spark.createDataFrame([(k, "https://x.example/", "<p>short") for k in range(40)], "page_id long, url string, html string")
+    long = few.withColumn("html", F.concat(F.lit("<p>"), F.repeat(F.lit("prose "), PART_BYTES // 24)))
+    parts = lambda pages: with_urls(nodes(pages), pages).select("page_id", "url", F.spark_partition_id().alias("part")).distinct().collect()
+    assert max(r.part for r in parts(few)) < spark.sparkContext.defaultParallelism
+    got = parts(long)
+    assert len(got) == 40 and len({r.part for r in got}) > spark.sparkContext.defaultParallelism and {r.url for r in got} == {"https://x.example/"}
